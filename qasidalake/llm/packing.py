@@ -32,7 +32,9 @@ from .pieces import Remembered, split_at_spaces
 
 CAPACITY, END_ID = 1024, 0
 #: Windows of a group, ids of a tail's piece at most, ids left free in each window of a group.
-WINDOWS, PIECE, SLACK = 24, 256, 1
+WINDOWS, PIECE, SLACK = 32, 256, 3
+#: So many ids for each window are cut into pieces of these lengths in turn: small pieces even out the rest.
+FINE, FINE_LENGTHS = 40, (24, 11, 5, 2, 1)
 
 
 def largest_differencing(sizes: list[int], parts: int) -> list[list[int]]:
@@ -128,6 +130,15 @@ class Packer:
         return taken
 
     def _pack(self, pieces: list[tuple]):
+        fine, cut = sum(len(p[2]) // 4 for p in pieces) // self.capacity * FINE, []
+        while pieces and fine > 0:
+            doc_id, start, data, total = pieces.pop()
+            fine -= len(data) // 4
+            while data:
+                n = FINE_LENGTHS[len(cut) % len(FINE_LENGTHS)]
+                cut.append((doc_id, start, data[: 4 * n], total))
+                start, data = start + n, data[4 * n :]
+        pieces = pieces + cut
         for window in windows_of([len(p[2]) // 4 for p in pieces], self.capacity):
             yield from self._emit([pieces[i] for i in sorted(window)])
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .common import read_table
 
+BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
+
 
 def op1_document_fingerprints(spark, sf_dir):
     from .fingerprints import neighbour_fingerprints
@@ -11,6 +13,28 @@ def op1_document_fingerprints(spark, sf_dir):
     return neighbour_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints,)}
+def op3_secret_scans(spark, sf_dir):
+    from .secrets import secret_spans
+
+    return secret_spans(read_table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE_RANKS), public_tokenizers.PATTERN)
+
+
+def op6_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from .byte_bpe import round_trip_digests
+
+    return round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE_RANKS), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_secret_scans, op5_packing, op6_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
