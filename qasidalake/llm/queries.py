@@ -35,6 +35,30 @@ def op6_byte_bpe(spark, sf_dir):
     return round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE_RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_secret_scans, op5_packing, op6_byte_bpe)}
+def op4_quality_rules(spark, sf_dir):
+    from .quality_rules import quality_measures
+
+    return quality_measures(read_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE_RANKS))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op3_secret_scans,
+        op4_quality_rules,
+        op5_packing,
+        op6_byte_bpe,
+        op10_token_counts,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
