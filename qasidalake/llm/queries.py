@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import read_table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
 
@@ -41,6 +42,18 @@ def op4_quality_rules(spark, sf_dir):
     return quality_measures(read_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark, sf_dir):
+    from .preferences import answers_swapped, format_preferences
+
+    return format_preferences(answers_swapped(read_table(spark, sf_dir, "conversations")))
+
+
+def op8_license_scans(spark, sf_dir):
+    from .licenses import license_labels
+
+    return license_labels(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -57,8 +70,8 @@ QUERIES = {
         op4_quality_rules,
         op5_packing,
         op6_byte_bpe,
+        op7_chat_formatting,
+        op8_license_scans,
         op10_token_counts,
     )
-}
-
-ORACLE_SQL: dict[str, str] = {}
+}
\ No newline at end of file
