@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,7 +48,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20, max_rows: int = 2000):
     """Parts of a batch whose ``column`` holds about ``max_bytes`` at most (one row at least)."""
     values, start, held = batch.column(column), 0, 0
-    sizes = [0 if n is None else n for n in pa.compute.binary_length(values).to_pylist()]
+    sizes = [0 if n is None else n for n in pc.binary_length(values).to_pylist()]
     for i, n in enumerate(sizes):
         if i > start and (held + n > max_bytes or i - start >= max_rows):
             yield batch.slice(start, i - start)

@@ -54,6 +54,12 @@ def op8_license_scans(spark, sf_dir):
     return license_labels(read_table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark, sf_dir):
+    from .near_duplicates import near_duplicate_classes
+
+    return near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -72,6 +78,7 @@ QUERIES = {
         op6_byte_bpe,
         op7_chat_formatting,
         op8_license_scans,
+        op9_minhash_near_dedup,
         op10_token_counts,
     )
 }
\ No newline at end of file
