@@ -14,6 +14,12 @@ def op1_document_fingerprints(spark, sf_dir):
     return neighbour_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark, sf_dir):
+    from .quality_classifier import quality_scores
+
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_secret_scans(spark, sf_dir):
     from .secrets import secret_spans
 
@@ -72,6 +78,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_document_fingerprints,
+        op2_quality_classifier,
         op3_secret_scans,
         op4_quality_rules,
         op5_packing,
