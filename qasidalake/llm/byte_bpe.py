@@ -39,8 +39,8 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         #: Bit r & 255 of word r >> 8: bucket r holds a position.  Empty between calls.
         self.low = [0] * ((max(self.ranks.values()) >> 8) + 1)
-        self.pre_token = Remembered(self._digest_parts, 200_000)
-        self.part = Remembered(self._digest_part, 100_000)
+        self.pre_token = Remembered(self._digest_parts, 400_000)
+        self.part = Remembered(self._digest_part, 300_000)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
