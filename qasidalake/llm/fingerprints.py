@@ -160,11 +160,13 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
     keys = [F.col("id"), F.xxhash64("text")]
     dealt = rows.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
     table = written(dealt.mapInArrow(run, f"id {kind}, {result}, part long, head string, tail string"), "fingerprints")
-    # one row a range: their number follows the partitions, not the rows
-    edges = table.where(F.col(part).isNotNull()).select("id", part, head, tail)
+    # one row a range: only the ranges' numbers meet in one task, their texts are joined to them
+    edges = table.where(F.col(part).isNotNull())
     in_order = Window.orderBy(part)
     whole_circle = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = F.coalesce(F.lead(head).over(in_order), F.first(head).over(whole_circle))
-    closed = edges.select("id", F.col(tail).alias("text"), after.alias("after")).mapInArrow(run_edges, f"id {kind}, {result}")
+    following = edges.select(part).select(part, F.coalesce(F.lead(part).over(in_order), F.first(part).over(whole_circle)).alias("next"))
+    heads = edges.select(F.col(part).alias("next"), F.col(head).alias("after"))
+    pairs = edges.select("id", part, F.col(tail).alias("text")).join(following, part).join(heads, "next").select("id", "text", "after")
+    closed = pairs.mapInArrow(run_edges, f"id {kind}, {result}")
     out = table.where(F.col(part).isNull()).drop(part, head, tail).unionByName(closed)
     return out.withColumnRenamed("id", free_name([n for n, _ in _RESULT], id_col))
