@@ -9,17 +9,22 @@ size at every scale.  Improved consistent weighted sampling gives ``BANDS`` time
 weighted Jaccard similarity.
 
 Equal texts are one node.  Nodes that agree in all samples of a band share a
-bucket, whose least node is its hub.  Three rounds verify weighted Jaccard
-similarity of 0.8 or more, and join nodes into classes:
+bucket.  A node's rank is the number of nodes in all its buckets, which is highest
+near the middle of a group; a bucket's node of the highest rank is its hub.  Three
+rounds verify weighted Jaccard similarity of 0.8 or more, and join nodes into classes:
 
-1. each node with the least of its hubs;
+1. each node with the hub of the highest rank;
 2. each node with its other hubs, where both are not in one class yet;
 3. in each bucket, the nodes that are not in the hub's class with all others of
-   the bucket, where their samples and total weights leave the similarity possible.
+   the bucket, where their bit sketches and total weights leave the similarity possible;
+   first those whose sketches make it likely, then, with the classes so far, the rest.
 
 So buckets of any size are handled by links to a hub, and what the hub does not
 explain is still compared with everything in its bucket.  The join of round 3 does
-not emit pairs that are in one class or whose samples agree too rarely.
+not emit pairs that are in one class or whose sketches differ too much.  A sketch
+deals a shingle's weight, in eighths, into ``BITS`` bins and keeps one bit of each
+bin's least hash: of N bins that either text fills, two texts differ in about
+N * (1 - similarity) / 2.
 
 A null text counts as empty.  Texts without words equal only their own copies.
 Every row gets a class; repeated and null ids are all kept.
@@ -41,8 +46,8 @@ from .shingles import SIZE, mixed, shingle_hashes, words_by_text
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
-#: Round 3 passes over pairs that agree in fewer samples: 3.5 deviations below 0.8 of 48.
-LEAST_AGREEING = 28
+#: Bins of a sketch, units of a weight of 1, and by how many standard deviations round 3 lets sketches differ more.
+BITS, UNITS, DEVIATIONS = 2048, 8, 3.5
 FREQUENCY_BUCKETS, FREQUENCY_SLICES = 1 << 16, 16
 
 # Consistent sampling: for each shingle and sample, Gamma(2, 1) draws r and c and a
@@ -78,6 +83,19 @@ def samples(hashes: np.ndarray, weights: np.ndarray, block: int = 2048) -> np.nd
     return mixed(shingle + mixed(step.view(np.uint64)))
 
 
+def bit_sketch(hashes: np.ndarray, counts: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, int]:
+    """One bit of the least hash in each of ``BITS`` bins, as 64-bit numbers, and the units that were dealt."""
+    units = counts * np.floor((1 + mean) * UNITS + 0.5).astype(np.int64)
+    ends = np.cumsum(units)
+    nth = np.arange(ends[-1]) - np.repeat(ends - units, units)
+    x = np.sort(mixed(np.repeat(hashes, units) + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
+    bins = (x >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    least = np.flatnonzero(np.diff(bins, prepend=-1))
+    bits = np.zeros(BITS, np.uint8)
+    bits[bins[least]] = (x[least] & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64), int(ends[-1])
+
+
 def document_frequency_table(df: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     """Documents by hashed bucket of words, and the number of documents; a table of fixed size."""
     size = FREQUENCY_BUCKETS // FREQUENCY_SLICES
@@ -117,8 +135,8 @@ def inverse_frequencies(counts: np.ndarray, rows: int) -> np.ndarray:
     return (np.log((rows + 1) / (counts + 1)) / np.log(rows + 1)).astype(np.float32)
 
 
-def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of a text, ascending, and their weights."""
+def counted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of a text, ascending, their counts and mean inverse frequencies."""
     own = idf[(words & np.uint64(FREQUENCY_BUCKETS - 1)).astype(np.intp)]
     hashes = shingle_hashes(words)
     if len(words) < SIZE:
@@ -127,7 +145,13 @@ def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, n
         sums = np.concatenate([[0.0], np.cumsum(own, dtype=np.float64)])
         mean = (sums[SIZE:] - sums[:-SIZE]) / SIZE
     distinct, first, count = np.unique(hashes, return_index=True, return_counts=True)
-    return distinct, (count * (1 + mean[first])).astype(np.float32)
+    return distinct, count, mean[first]
+
+
+def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a text, ascending, and their weights."""
+    distinct, count, mean = counted_shingles(words, idf)
+    return distinct, (count * (1 + mean)).astype(np.float32)
 
 
 def weighted_jaccard(a_hashes, a_weights, b_hashes, b_weights) -> float:
@@ -141,7 +165,7 @@ def weighted_jaccard(a_hashes, a_weights, b_hashes, b_weights) -> float:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, idf: np.ndarray) -> DataFrame:
-    """(id, node, weight, bands, signature) of each row; node is a digest of the text."""
+    """(id, node, weight, bands, bits, units) of each row; node is a digest of the text."""
     kind = dict(df.dtypes)[id_col]
     salts = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 
@@ -150,26 +174,30 @@ def sketches(df: DataFrame, id_col: str, text_col: str, idf: np.ndarray) -> Data
             for part in slices(batch, "text", 1 << 20):
                 texts = [t or b"" for t in part.column(1).to_pylist()]
                 words, bounds = words_by_text(texts)
-                weight, bands, signature = [], [], []
+                weight, bands, bits, units = [], [], [], []
                 for i in range(len(texts)):
-                    hashes, weights = weighted_shingles(words[bounds[i] : bounds[i + 1]], idf)
+                    hashes, counts, mean = counted_shingles(words[bounds[i] : bounds[i + 1]], idf)
+                    weights = (counts * (1 + mean)).astype(np.float32)
                     weight.append(float(weights.sum(dtype=np.float64)))
                     if not len(hashes):
                         bands.append([])
-                        signature.append([])
+                        bits.append([])
+                        units.append(0)
                         continue
                     found = samples(hashes, weights).reshape(BANDS, ROWS)
                     band = salts.copy()
                     for row in range(ROWS):
                         band = mixed(band * np.uint64(31) + found[:, row])
                     bands.append(band.view(np.int64))
-                    signature.append((found.reshape(-1) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    sketch, dealt = bit_sketch(hashes, counts, mean)
+                    bits.append(sketch)
+                    units.append(dealt)
                 nodes = [hashlib.md5(t, usedforsecurity=False).digest() for t in texts]
-                columns = [part.column(0), pa.array(nodes, pa.binary()), pa.array(weight, pa.float64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "node", "weight", "bands", "signature"])
+                columns = [part.column(0), pa.array(nodes, pa.binary()), pa.array(weight, pa.float64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(units, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "node", "weight", "bands", "bits", "units"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, node binary, weight double, bands array<long>, signature array<int>")
+    return rows.mapInArrow(run, f"id {kind}, node binary, weight double, bands array<long>, bits array<long>, units long")
 
 
 def _sets(df: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -249,7 +277,7 @@ class Duplicates:
         idf = inverse_frequencies(*document_frequency_table(df, text_col))
         sketched = written(sketches(df, id_col, text_col, idf), "sketches")
         self.rows = sketched.select("id", "node")
-        firsts = [F.first(c).alias(c) for c in ("weight", "bands", "signature")]  # equal in all rows of a node
+        firsts = [F.first(c).alias(c) for c in ("weight", "bands", "bits", "units")]  # equal in all rows of a node
         nodes = written(sketched.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *firsts), "nodes")
         self.classes = self._classes(nodes, idf, similarity)
 
@@ -262,18 +290,21 @@ class Duplicates:
 
     def _classes(self, nodes: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
         members = nodes.select("node", "weight", F.posexplode("bands").alias("band", "bucket"))
-        hubs = members.groupBy("band", "bucket").agg(F.min(F.struct("node", "weight")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        shared = members.join(hubs, ["band", "bucket"]).where(F.col("node") != F.col("hub.node"))
-        shared = shared.select("band", "bucket", F.col("node").alias("a"), F.col("hub.node").alias("b"), "weight", F.col("hub.weight").alias("hub_weight"))
+        sizes = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        held = written(members.join(sizes, ["band", "bucket"]), "held")
+        held = held.join(held.groupBy("node").agg(F.sum(-F.col("size")).alias("rank")), "node")
+        hubs = held.groupBy("band", "bucket").agg(F.min(F.struct("rank", "node", "weight")).alias("hub"))
+        shared = held.join(hubs, ["band", "bucket"]).where(F.col("node") != F.col("hub.node"))
+        shared = shared.select("band", "bucket", F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("hub.rank").alias("rank"), "weight", F.col("hub.weight").alias("hub_weight"))
         shared = written(shared, "shared")
         possible = F.least("weight", "hub_weight") >= F.greatest("weight", "hub_weight") * (similarity - 1e-6)
-        pairs = written(shared.where(possible).select("a", "b").distinct(), "pairs")
+        pairs = written(shared.where(possible).select("a", "b", "rank").distinct(), "pairs")
 
         ids = nodes.select("node", "id")
         wanted = shared.select(F.col("a").alias("node")).union(shared.select(F.col("b").alias("node"))).distinct()
         sets = written(_sets(self._texts(ids.join(wanted, "node")), idf).dropDuplicates(["node"]), "sets")
 
-        first = pairs.groupBy("a").agg(F.min("b").alias("b"))
+        first = pairs.groupBy("a").agg(F.min(F.struct("rank", "b")).alias("hub")).select("a", F.col("hub.b").alias("b"))
         links = written(_verified(first, sets, similarity), "links")
         roots = classes_of(links)
         other = pairs.join(first, ["a", "b"], "left_anti")
@@ -281,10 +312,11 @@ class Duplicates:
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = classes_of(links)
-        more = written(_verified(self._unexplained(shared, nodes, roots, similarity), sets, similarity), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = classes_of(links)
+        for deviations in (0.0, DEVIATIONS):
+            more = written(_verified(self._unexplained(shared, nodes, roots, similarity, deviations), sets, similarity), "links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                roots = classes_of(links)
 
         own = nodes.select("node", "id", "copies").join(roots, "node", "left").select("node", "id", "copies", F.coalesce("root", "node").alias("root"))
         least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("keep")
@@ -292,19 +324,22 @@ class Duplicates:
         grouped = grouped.select("root", F.col("keep.id").alias("class_id"), F.col("keep.node").alias("keep_node"), "class_size")
         return written(own.select("node", "root", "copies").join(grouped, "root").drop("root"), "classes")
 
-    def _unexplained(self, shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    def _unexplained(self, shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, deviations: float) -> DataFrame:
         """Pairs (a, b) for round 3."""
         lone = _labelled(shared.select("band", "bucket", "a", "b"), roots)
         place = lambda df, node: df.select("band", "bucket", F.col(node).alias("node")).distinct()
         lone = written(place(lone, "a"), "lone")
-        known = nodes.select("node", "weight", "signature").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        known = nodes.select("node", "weight", "bits", "units").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         others = shared.join(lone.select("band", "bucket").distinct(), ["band", "bucket"], "left_semi")
-        left = lone.join(known, "node").select("band", "bucket", *(F.col(c).alias(f"a_{c}") for c in ("node", "weight", "signature", "root")))
-        right = place(others, "a").join(known, "node").select("band", "bucket", *(F.col(c).alias(f"b_{c}") for c in ("node", "weight", "signature", "root")))
-        alike = F.aggregate(F.zip_with("a_signature", "b_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+        left = lone.join(known, "node").select("band", "bucket", *(F.col(c).alias(f"a_{c}") for c in ("node", "weight", "bits", "units", "root")))
+        right = place(others, "a").join(known, "node").select("band", "bucket", *(F.col(c).alias(f"b_{c}") for c in ("node", "weight", "bits", "units", "root")))
+        differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        union = (F.col("a_units") + F.col("b_units")) / (1 + similarity)  # at the least similarity
+        filled, share = BITS * (1 - F.exp(-union / BITS)), (1 - similarity) / 2
+        alike = differ <= filled * share + deviations * F.sqrt(filled * (share * (1 - share)))
         near = F.least("a_weight", "b_weight") >= F.greatest("a_weight", "b_weight") * (similarity - 1e-6)
         here = (left["band"] == right["band"]) & (left["bucket"] == right["bucket"])
-        found = left.join(right, here & (F.col("a_root") != F.col("b_root")) & near & (alike >= LEAST_AGREEING))
+        found = left.join(right, here & (F.col("a_root") != F.col("b_root")) & near & alike)
         return found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
     def table(self) -> DataFrame:
