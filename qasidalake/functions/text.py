@@ -96,6 +96,11 @@ def tightness(start: Column, end: Column, text: Column) -> Column:
     return F.when(n > 0, (end - start) / n).otherwise(F.lit(0.0)).cast("double")
 
 
+def odd_spaces(stripped: Column, odd: str) -> Column:
+    """``stripped`` with another space before words that begin with a mark; no place changes."""
+    return F.regexp_replace(stripped, f" (?=[{MARKS}])", odd)
+
+
 def kept_places(text: Column) -> Column:
     """For each character of ``strip_punct(text)``, its place in the text.
 

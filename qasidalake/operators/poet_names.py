@@ -8,6 +8,7 @@ from dataclasses import replace
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import LETTERS, clean_line, mark_count, strip_all, strip_all_text
 from ..sources.corpus import Corpus
@@ -75,7 +76,7 @@ def poet_name(raw: str) -> str:
     return name if len(name) > 1 else raw
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def poet_names(raw: pd.Series) -> pd.Series:
     return raw.map(poet_name, na_action="ignore")
 

@@ -108,7 +108,7 @@ def search_titles_boolean(corpus: Corpus, expression: str, **ask) -> DataFrame:
 
 def search_entries(rows: DataFrame, query: str, text_col: str = "original") -> DataFrame:
     """The rows whose text matches, with start and end: for small lists such as poets' names."""
-    from ..functions.text import span_in, strip_all, strip_punct
+    from ..functions.text import strip_all, strip_punct
 
     term = simple_term(query)
     wild = any(c in query for c in "*?؟_")
@@ -116,5 +116,5 @@ def search_entries(rows: DataFrame, query: str, text_col: str = "original") -> D
         return rows.where(F.lit(False)).withColumns({"start": F.lit(None).cast("int"), "end": F.lit(None).cast("int")})
     stripped = strip_punct(F.col(text_col))
     found = rows if wild else rows.where(strip_all(F.col(text_col)).contains(term.probe.text))
-    found = found.withColumn("span", span_in(F.col(text_col), stripped, term.pattern)).where(F.col("span").isNotNull())
+    found = found.withColumn("span", term.span(F.col(text_col), stripped)).where(F.col("span").isNotNull())
     return found.withColumns({"start": F.col("span.start"), "end": F.col("span.end")}).drop("span")
