@@ -158,7 +158,7 @@ def poets_by_count(spark, sf_dir):
     return browse.poets_by_count(corpus(spark, sf_dir))
 
 
-@query("poet_search", f"{O.CORPUS} SELECT id, name FROM poet WHERE contains({O.strip_all('name')}, '{T.strip_all_text('site'.translate(_ARABIC))}')")
+@query("poet_search", f"{O.CORPUS} SELECT id, name FROM poet WHERE contains({O.strip_all('name')}, '{T.strip_all_text('src1'.translate(_ARABIC))}')")
 def poet_search(spark, sf_dir):
     return browse.search_poets(corpus(spark, sf_dir), "src1".translate(_ARABIC)).select("id", F.col("original").alias("name"))
 
@@ -240,10 +240,11 @@ def _vocalized(found):
 
 
 #: A bare copy goes to its original, or stays in front where both are equal and it ranks first; originals differ in letters.
-_DEDUP = f"""{O.CORPUS}, l AS (SELECT poem_id, line_number, {O.clean('line')} AS line FROM lines),
-own AS (SELECT poem_id AS id, string_agg(line, chr(1) ORDER BY line_number) AS clean FROM l GROUP BY poem_id),
-every AS (SELECT id, clean, false AS copy FROM own UNION ALL SELECT id + 1000000000, {O.bare('clean')}, true FROM own WHERE id % 10 = 0),
-keyed AS (SELECT *, {O.bare('clean')} AS signature, length(clean) - length({O.bare('clean')}) AS marks, (id - CASE WHEN copy THEN 1000000000 ELSE 0 END) % 4 AS priority FROM every),
+_DEDUP = f"""{O.CORPUS}, l AS (
+  SELECT poem_id AS id, line_number, {O.clean('line')} AS line FROM lines
+  UNION ALL SELECT poem_id + 1000000000, line_number, {O.clean(O.bare('line'))} FROM lines WHERE poem_id % 10 = 0),
+every AS (SELECT id, string_agg(line, chr(1) ORDER BY line_number) AS clean FROM l GROUP BY id),
+keyed AS (SELECT *, {O.bare('clean')} AS signature, length(clean) - length({O.bare('clean')}) AS marks, id % 1000000000 % 4 AS priority FROM every),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY marks DESC, priority, id) AS turn, count(*) OVER (PARTITION BY signature) AS n FROM keyed)
 """
 
