@@ -325,21 +325,29 @@ class Duplicates:
         return written(own.select("node", "root", "copies").join(grouped, "root").drop("root"), "classes")
 
     def _unexplained(self, shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, deviations: float) -> DataFrame:
-        """Pairs (a, b) for round 3."""
-        lone = _labelled(shared.select("band", "bucket", "a", "b"), roots)
-        place = lambda df, node: df.select("band", "bucket", F.col(node).alias("node")).distinct()
-        lone = written(place(lone, "a"), "lone")
-        known = nodes.select("node", "weight", "bits", "units").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        others = shared.join(lone.select("band", "bucket").distinct(), ["band", "bucket"], "left_semi")
-        left = lone.join(known, "node").select("band", "bucket", *(F.col(c).alias(f"a_{c}") for c in ("node", "weight", "bits", "units", "root")))
-        right = place(others, "a").join(known, "node").select("band", "bucket", *(F.col(c).alias(f"b_{c}") for c in ("node", "weight", "bits", "units", "root")))
+        """Pairs (a, b) for round 3.
+
+        Of two nodes in different classes one is lone in every bucket that both
+        share, so a pair is made in the first band in which they agree, once.
+        """
+        spots = shared.select("band", "bucket", "a", "b").join(roots.toDF("a", "a_root"), "a", "left").join(roots.toDF("b", "b_root"), "b", "left")
+        spots = spots.select("band", "bucket", F.col("a").alias("node"), (F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).alias("lone"))
+        spots = written(spots, "spots")
+        lone = spots.where("lone").drop("lone")
+        others = spots.join(lone.select("band", "bucket").distinct(), ["band", "bucket"], "left_semi")
+        own = ("node", "weight", "bands", "bits", "units", "root")
+        known = nodes.select(*own[:-1]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = lone.join(known, "node").select("band", "bucket", *(F.col(c).alias(f"a_{c}") for c in own))
+        right = others.join(known, "node").select("band", "bucket", *(F.col(c).alias(f"b_{c}") for c in own), "lone")
         differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
         union = (F.col("a_units") + F.col("b_units")) / (1 + similarity)  # at the least similarity
         filled, share = BITS * (1 - F.exp(-union / BITS)), (1 - similarity) / 2
         alike = differ <= filled * share + deviations * F.sqrt(filled * (share * (1 - share)))
         near = F.least("a_weight", "b_weight") >= F.greatest("a_weight", "b_weight") * (similarity - 1e-6)
+        once = (F.col("a_node") < F.col("b_node")) | ~F.col("lone")
+        first_band = F.array_position(F.zip_with("a_bands", "b_bands", lambda x, y: x == y), True) - 1 == left["band"]
         here = (left["band"] == right["band"]) & (left["bucket"] == right["bucket"])
-        found = left.join(right, here & (F.col("a_root") != F.col("b_root")) & near & alike)
+        found = left.join(right, here & (F.col("a_root") != F.col("b_root")) & once & near & alike & first_band)
         return found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
     def table(self) -> DataFrame:
