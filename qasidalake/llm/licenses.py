@@ -1,7 +1,8 @@
 """License scans: base phrases, and an exact containment join of text blocks with license templates.
 
-A block is a line of the text, a template a set of words.  A block matches where
-it holds at least ``THRESHOLD`` of a template's words.  The template words are
+A block is a line of the text, or a window of consecutive words as long as the
+template, wherever the lines break; a template is a set of words.  A block matches
+where it holds at least ``THRESHOLD`` of a template's words.  The template words are
 ordered by how many documents hold them, rarest first, over all documents.  Then,
 with need = ceil(threshold * template size):
 
@@ -10,8 +11,10 @@ with need = ceil(threshold * template size):
 * positional filter: for a common word at place p of the template and q of the
   block, min(p, q) + 1 + min(words after p, words after q) is at least ``need``.
 
-What passes is verified by counting.  The filters only skip pairs that cannot
-match, so every match is found.  The templates are a fixed table, so they are
+What passes is verified by counting.  Windows are counted where the text holds
+``need`` of the template's words at all, from each of these words on: a window that
+starts elsewhere holds no more than the one from its first template word.  The
+filters only skip pairs that cannot match, so every match is found.  The templates are a fixed table, so they are
 compiled into the projection and the documents are not shuffled; the count of
 documents by template word is the only exchange, one row a word and task.
 
@@ -55,6 +58,11 @@ def template_words(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall("[a-z0-9]+", text.lower())))
 
 
+def template_length(text: str) -> int:
+    """A template's words with repetitions: the length of its windows."""
+    return len(re.findall("[a-z0-9]+", text.lower()))
+
+
 def needed(size: int, threshold: float = THRESHOLD) -> int:
     return max(1, math.ceil(round(threshold * size, 9)))
 
@@ -94,24 +102,24 @@ def _base_places(words: Column) -> Column:
 
 
 def _matches(lowered_words: Column, text: Column, templates, order: dict[str, int], threshold: float) -> Column:
-    """(label, score) of every template and line that match."""
+    """(label, score) of every template and line, or template and best window, that match."""
     ranked = sorted(order, key=lambda w: (order[w], w))
     rank = {w: i for i, w in enumerate(ranked)}
     table, prefixes = [], set()
-    for label, words in templates:
+    for label, words, length in templates:
         words = sorted(words, key=rank.__getitem__)
         need = needed(len(words), threshold)
         prefix = words[: len(words) - need + 1]
         prefixes.update(prefix)
-        table.append((label, words, need, prefix))
-    least = min(need for _, _, need, _ in table)
+        table.append((label, words, need, prefix, length))
+    least = min(need for _, _, need, _, _ in table)
     strings = lambda xs: F.array(*map(F.lit, xs))
     in_order = strings(ranked)
 
     def of_line(block: Column) -> Column:
         """The line's template words, rarest first, against each template."""
         found = []
-        for label, words, need, prefix in table:
+        for label, words, need, prefix, _ in table:
             whole, size = strings(words), len(words)
             # places of the prefix words in the template are 0, 1, ...
             passing = F.exists(
@@ -122,17 +130,30 @@ def _matches(lowered_words: Column, text: Column, templates, order: dict[str, in
             found.append(F.struct(F.lit(label).alias("label"), F.when(common >= need, common / F.lit(float(size))).otherwise(0.0).alias("score")))
         return F.filter(F.array(*found), lambda x: x["score"] > 0)
 
+    def of_windows(present: Column) -> Column:
+        """The best window for each template, in a text that holds these template words."""
+        found = []
+        for label, words, need, _, length in table:
+            whole = strings(words)
+            starts = F.filter(F.transform(lowered_words, lambda w, i: F.when(F.array_contains(whole, w), i)), lambda i: i.isNotNull())
+            common = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(whole, F.slice(lowered_words, i + 1, length)))))
+            common = F.when(F.size(F.array_intersect(present, whole)) >= need, common).otherwise(0)
+            score = let(common, lambda n: F.when(n >= need, n / F.lit(float(len(words)))).otherwise(0.0))
+            found.append(F.struct(F.lit(label).alias("label"), score.alias("score")))
+        return F.filter(F.array(*found), lambda x: x["score"] > 0)
+
     blocks = F.transform(F.split(text, "\n"), lambda line: let(words_of(line), lambda ws: F.filter(in_order, lambda w: F.array_contains(ws, w))))
     candidates = F.filter(blocks, lambda b: (F.size(b) >= least) & F.arrays_overlap(b, strings(sorted(prefixes))))
-    every = F.flatten(F.transform(candidates, of_line))
+    present = F.filter(in_order, lambda w: F.array_contains(lowered_words, w))
+    every = F.concat(F.flatten(F.transform(candidates, of_line)), let(present, of_windows))
     none = F.filter(F.array(F.struct(F.lit("").alias("label"), F.lit(0.0).alias("score"))), lambda x: F.lit(False))
     return F.when(F.arrays_overlap(lowered_words, strings(sorted(prefixes))), every).otherwise(none)
 
 
 def license_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each text."""
-    sets = [(label, template_words(text)) for label, text in templates]
-    vocabulary = sorted({w for _, words in sets for w in words})
+    sets = [(label, template_words(text), template_length(text)) for label, text in templates]
+    vocabulary = sorted({w for _, words, _ in sets for w in words})
     frequencies = document_frequencies(df, text_col, vocabulary)
     order = {w: frequencies.get(w, 0) for w in vocabulary}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -169,3 +169,26 @@ def test_rules(spark):
     assert rows[1]["kept"] and not rows[1]["base_failed"] and rows[1]["n_repeat_words"] == 0
     assert rows[2]["n_repeat_words"] == 120 and rows[2]["base_failed"]
     assert (rows[3]["n_dup_lines"], rows[3]["n_symbols"], rows[3]["word_chars"]) == (1, 2, 5)
+
+
+def test_wrapped_licenses(spark):
+    """Notices broken into lines of 70 columns, bare and in comments, are found like whole ones."""
+    import textwrap
+
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, you can obtain one.",
+        "apache": "Licensed to you (the \"Licensee\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.",
+    }
+    rows, wanted = [], []
+    for label, text in notices.items():
+        for mark in ("", " * ", "# "):
+            rows.append("\n".join(["Some project", "", *(mark + line for line in textwrap.wrap(text, 70 - len(mark))), "", PROSE]))
+            wanted.append((label, 1.0))
+    rows.append("\n\n".join(["permission granted, free of charge", PROSE, "to any person obtaining a copy", PROSE, "of this software and associated documentation files is hereby"]))
+    wanted.append(("", 0.0))  # the words are all there, but far apart
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_labels(df).collect()}
+    assert [found[i] for i in range(len(rows))] == wanted
