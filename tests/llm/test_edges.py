@@ -192,3 +192,40 @@ def test_wrapped_licenses(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_labels(df).collect()}
     assert [found[i] for i in range(len(rows))] == wanted
+
+
+def _made_keys(rng, count):
+    """Keys in the usual notations that no base pattern finds."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda n, chars=letters: "".join(rng.choice(chars) for _ in range(n))
+    found = [rng.choice([lambda: "ghp_" + some(36), lambda: "sk-" + some(48), lambda: some(40, letters + "+/")])() for _ in range(count)]
+    return [k for k in found if secrets.candidates(k) and not secrets.base_findings(k)]
+
+
+def test_secret_model_on_keys_without_keywords(spark):
+    """Trained where such keys are common, it finds held-out ones; none of them is ever a negative."""
+    rng = random.Random(21)
+    bare, framed, held = (_made_keys(rng, n) for n in (900, 300, 300))
+    prose = lambda: " ".join(rng.sample(WORDS, 6)) + " "
+    dull = lambda: "/".join(rng.choice(["docs", "section", "river", "image", "chapter"]) for _ in range(4)) + f"/{rng.randint(1, 99)}"
+    texts = [prose() + k + " " + prose() + dull() for k in bare] + [f'{prose()}token = "{k}" {prose()}' for k in framed]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labelled = secrets.labelled_candidates(df, "doc_id", "text")
+    insides = {y: {w[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE].rstrip("\x00") for w, label in labelled if label == y} for y in (0, 1)}
+    assert insides[0] and not insides[0] & {k[: secrets.INSIDE] for k in bare}
+    assert insides[1] == {k[: secrets.INSIDE] for k in framed}  # framed as candidates
+    model = secrets.fitted(df)
+    marked = lambda xs: sum(any(k == 3 for _, k, _ in f) for f in secrets.all_findings([prose() + x + " " + prose() for x in xs], model)) / len(xs)
+    assert marked(held) > 0.95 and marked([dull() for _ in range(300)]) < 0.1
+
+
+def test_secret_threshold_keeps_recall():
+    """Also where a hard secret's score lies under a half."""
+    import numpy as np
+
+    model, labels = secrets.CharCnn(), np.array([1.0] * 100 + [0.0] * 300)
+    scores = np.concatenate([np.linspace(-3, 3, 100), np.linspace(-4, 1, 300)])
+    model.logits = lambda codes: scores
+    model.calibrate(np.zeros((400, secrets.LENGTH), dtype=np.int64), labels)
+    p = 1 / (1 + np.exp(-(model.slope * scores + model.shift)))
+    assert (p[:100] >= model.threshold - 1e-12).mean() >= secrets.RECALL and model.threshold < 0.5
