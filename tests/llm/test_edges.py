@@ -229,3 +229,24 @@ def test_secret_threshold_keeps_recall():
     model.calibrate(np.zeros((400, secrets.LENGTH), dtype=np.int64), labels)
     p = 1 / (1 + np.exp(-(model.slope * scores + model.shift)))
     assert (p[:100] >= model.threshold - 1e-12).mean() >= secrets.RECALL and model.threshold < 0.5
+
+
+def test_secrets_in_long_candidates():
+    """Keys behind more than a window of path, and keys of which a pattern finds a part only."""
+    import numpy as np
+
+    labelled, rng = secrets.look_alikes(), random.Random(8)
+    codes, y = secrets._codes([w for w, _ in labelled]), np.array([label for _, label in labelled], dtype=np.float32)
+    model = secrets.CharCnn()
+    model.train(codes[:400], y[:400])
+    model.calibrate(codes[400:], y[400:])
+    path = lambda n: "".join(rng.choice(["docs", "section", "river", "image", "chapter"]) + rng.choice("/_-") for _ in range(n))
+    marked = lambda x: any(k == 3 and s <= 9 and e >= 9 + len(x) for s, k, e in secrets.all_findings([f"see this {x} and more"], model)[0])
+    behind = [path(rng.randint(10, 40)) + k for k in _made_keys(rng, 200)]
+    assert sum(map(marked, behind)) > 0.9 * len(behind)
+    assert sum(marked(path(rng.randint(10, 15)) + str(rng.randint(1, 99))) for _ in range(200)) < 0.2 * 200
+    parts = [a + rng.choice(["AKIA" + "Q7X2" * 4, "0123456789abcdef" * 2]) + "xQ9Z" + b for a, b in zip(_made_keys(rng, 100), _made_keys(rng, 100))]
+    assert all(secrets.base_findings(x) for x in parts) and sum(map(marked, parts)) > 0.9 * len(parts)
+    whole = 'token="' + "a1B2c3D4" * 6 + '"'
+    assert [k for _, k, _ in secrets.all_findings([whole], model)[0]] == [0]  # covered by its base finding
+    assert secrets.all_findings(["a1" * 500_000], model)[0] in ([], [(0, 3, 1_000_000)], secrets.base_findings("a1" * 500_000))
