@@ -20,7 +20,10 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import json
+import re
 import zlib
+from pathlib import Path
 
 import pyarrow as pa
 import tiktoken
@@ -150,14 +153,28 @@ class Packer:
         self.sequence += 1
 
 
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """(token, id) of the tokens added in the tokenizer file beside a rank file; none without such a file."""
+    file = Path(path).with_suffix(".json")
+    if not file.exists():
+        return ()
+    found = json.loads(file.read_text(encoding="utf-8")).get("added_tokens") or []
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError(f"{file}: added tokens that are not matched as they stand")
+    return tuple((t["content"], t["id"]) for t in found)
+
+
 class Ids:
-    """The ids of texts as little-endian uint32 bytes; the vocabulary's special tokens are ordinary text.
+    """The ids of texts as little-endian uint32 bytes.
 
     ``path`` is a rank file; the tokenizer file of the same vocabulary gives the
-    same ids (a test compares them).
+    same ids (a test compares them).  Texts are cut at its ``added`` tokens, the
+    longest first, which give their own ids.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
+        self.added = {token: i.to_bytes(4, "little") for token, i in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -168,13 +185,19 @@ class Ids:
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def __call__(self, text: str) -> bytes:
+        if not any(token in text for token in self.added):
+            return self._between(text)
+        parts = self.cut.split(text)  # texts and, at odd places, added tokens
+        return b"".join([self.added[x] if k % 2 else self._between(x) for k, x in enumerate(parts)])
+
+    def _between(self, text: str) -> bytes:
         first, *rest = split_at_spaces(text)
         return self._encode(first) + b"".join(self.part.all(rest))
 
 
 @functools.cache
-def _ids(path: str, pattern: str) -> Ids:
-    return Ids(path, pattern)
+def _ids(path: str, pattern: str, added: tuple[tuple[str, int], ...]) -> Ids:
+    return Ids(path, pattern, added)
 
 
 _RESULT = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -182,10 +205,10 @@ _RESULT = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64
 
 def pack_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    kind = dict(df.dtypes)[id_col]
+    kind, added = dict(df.dtypes)[id_col], added_tokens(path)
 
     def run(batches):
-        ids, packer, id_type = _ids(path, pattern), Packer(TaskContext.get().partitionId() << 40), None
+        ids, packer, id_type = _ids(path, pattern, added), Packer(TaskContext.get().partitionId() << 40), None
         end = END_ID.to_bytes(4, "little")
 
         def rows_of(found):

@@ -250,3 +250,22 @@ def test_secrets_in_long_candidates():
     whole = 'token="' + "a1B2c3D4" * 6 + '"'
     assert [k for _, k, _ in secrets.all_findings([whole], model)[0]] == [0]  # covered by its base finding
     assert secrets.all_findings(["a1" * 500_000], model)[0] in ([], [(0, 3, 1_000_000)], secrets.base_findings("a1" * 500_000))
+
+
+def test_packing_of_added_tokens(spark):
+    """Ids as the tokenizer file gives them, also where a text holds its added token."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    token = "<|endoftext|>"
+    texts = [f"a {token} b", token, token * 3, f"x{token}  y\n\n{token}\n", f"{token} the{token}end", "<|endoftext|", PROSE + token + PROSE, "<|endoftext |> a", ""]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, public_tokenizers.PATTERN).collect()
+    for i, text in enumerate(texts):
+        ids, at = t.encode(text, add_special_tokens=False).ids + [packing.END_ID], 0
+        for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"]):
+            part = ids[at : at + r["length"]]
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids)) and r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))
+            at += r["length"]
+        assert at == len(ids)
