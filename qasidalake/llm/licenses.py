@@ -1,25 +1,29 @@
-"""License scans: base phrases, and an exact containment join of text blocks with license templates.
+"""License scans: base phrases, and an exact set-similarity join of text blocks with license templates.
 
 A block is a line of the text, or a window of consecutive words as long as the
 template, wherever the lines break; a template is a set of words.  A block matches
-where it holds at least ``THRESHOLD`` of a template's words.  The template words are
-ordered by how many documents hold them, rarest first, over all documents.  Then,
-with need = ceil(threshold * template size):
-
-* prefix filter: a match holds one of the template's size - need + 1 rarest words;
-* length filter: it holds at least ``need`` template words at all;
-* positional filter: for a common word at place p of the template and q of the
+where it holds at least ``THRESHOLD`` of a template's words, and the template's
+``RULES`` allow it.  The template words are ordered by how many documents hold them,
+rarest first, over all documents.  Then, with need = ceil(threshold * template size):
+
+* prefix filter: a match holds one of the template's size - need + 1 rarest words, so
+  the join's key is a prefix word: of the texts, only places of prefix words are dealt
+  out, each with the words around it (or the template words of its line);
+* length filter: those words hold at least ``need`` template words at all;
+* positional filter: for the common word at place p of the template and q of the
   block, min(p, q) + 1 + min(words after p, words after q) is at least ``need``.
 
-What passes is verified by counting.  Windows are counted where the text holds
-``need`` of the template's words at all, from each of these words on: a window that
-starts elsewhere holds no more than the one from its first template word.  The
-filters only skip pairs that cannot match, so every match is found.  The templates are a fixed table, so they are
-compiled into the projection and the documents are not shuffled; the count of
-documents by template word is the only exchange, one row a word and task.
+What passes is verified by counting: a line as it is; windows from each template word
+that is near enough to the place, as a window that starts elsewhere holds no more than
+the one from its first template word.  The filters only skip pairs that cannot match,
+so every match is found.  The templates are a parameter of the caller's, a few rows
+that are broadcast; no text is shuffled, only (digest of the text, labels, score) of
+texts that match and the result's own columns.
 
 Only A-Z are lower-cased.  Null and empty texts have no words, no labels and a
-score of 0.  Rows are judged one by one; repeated rows and ids are all kept.
+score of 0; texts of any length are scanned whole.  Rows of equal text get equal
+results; repeated rows and ids are all kept.  An empty table gives an empty result, an
+id column named like a new column gets a longer name, other columns are not kept.
 """
 
 from __future__ import annotations
@@ -49,6 +53,14 @@ TEMPLATES = (
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: By label, words that a block of its templates must hold and words that it must not: what tells licenses apart
+#: whose notices have nearly the same words.
+RULES = {
+    "gpl": (("general", "public"), ("lesser", "affero", "documentation", "library")),
+    "cc-by-nc": (("nc",), ("nd", "sa")),
+    "cc-by": (("attribution",), ("noncommercial", "sharealike", "noderivatives", "noderivs", "commercial", "derivatives")),
+    "mpl": (("mozilla",), ()),
+}
 THRESHOLD = 0.8
 SEPARATORS = "[\\x00-/:-`{-\\x7f]+"
 
@@ -101,83 +113,79 @@ def _base_places(words: Column) -> Column:
     return F.when(some, every).otherwise(F.filter(F.array(at(F.lit(-9))), lambda x: F.lit(False)))
 
 
-def _matches(lowered_words: Column, text: Column, templates, order: dict[str, int], threshold: float) -> Column:
-    """(label, score) of every template and line, or template and best window, that match."""
-    ranked = sorted(order, key=lambda w: (order[w], w))
-    rank = {w: i for i, w in enumerate(ranked)}
-    table, prefixes = [], set()
-    for label, words, length in templates:
-        words = sorted(words, key=rank.__getitem__)
+def _rarest_first(text: str, order: dict[str, int]) -> list[str]:
+    return sorted(template_words(text), key=lambda w: (order[w], w))
+
+
+def _prefix_words(templates, order: dict[str, int], threshold: float) -> set[str]:
+    return {w for _, text in templates for w in _rarest_first(text, order)[: 1 + len(template_words(text)) - needed(len(template_words(text)), threshold)]}
+
+
+def _template_rows(spark, templates, order: dict[str, int], threshold: float, rules) -> DataFrame:
+    """A row for each prefix word of each template: (token, p, template, size, need, length, label, musts, bars)."""
+    rows = []
+    for label, text in templates:
+        words = _rarest_first(text, order)
         need = needed(len(words), threshold)
-        prefix = words[: len(words) - need + 1]
-        prefixes.update(prefix)
-        table.append((label, words, need, prefix, length))
-    least = min(need for _, _, need, _, _ in table)
-    strings = lambda xs: F.array(*map(F.lit, xs))
-    in_order = strings(ranked)
-
-    def of_line(block: Column) -> Column:
-        """The line's template words, rarest first, against each template."""
-        found = []
-        for label, words, need, prefix, _ in table:
-            whole, size = strings(words), len(words)
-            # places of the prefix words in the template are 0, 1, ...
-            passing = F.exists(
-                F.transform(strings(prefix), lambda w, p: F.struct(p.alias("p"), F.array_position(block, w).cast("int").alias("q1"))),
-                lambda x: (x["q1"] > 0) & (F.least(x["p"], x["q1"] - 1) + 1 + F.least(F.lit(size - 1) - x["p"], F.size(block) - x["q1"]) >= need),
-            )
-            common = F.when((F.size(block) >= need) & passing, F.size(F.array_intersect(block, whole))).otherwise(0)
-            found.append(F.struct(F.lit(label).alias("label"), F.when(common >= need, common / F.lit(float(size))).otherwise(0.0).alias("score")))
-        return F.filter(F.array(*found), lambda x: x["score"] > 0)
-
-    def of_windows(present: Column) -> Column:
-        """The best window for each template, in a text that holds these template words."""
-        found = []
-        for label, words, need, _, length in table:
-            whole = strings(words)
-            starts = F.filter(F.transform(lowered_words, lambda w, i: F.when(F.array_contains(whole, w), i)), lambda i: i.isNotNull())
-            common = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(whole, F.slice(lowered_words, i + 1, length)))))
-            common = F.when(F.size(F.array_intersect(present, whole)) >= need, common).otherwise(0)
-            score = let(common, lambda n: F.when(n >= need, n / F.lit(float(len(words)))).otherwise(0.0))
-            found.append(F.struct(F.lit(label).alias("label"), score.alias("score")))
-        return F.filter(F.array(*found), lambda x: x["score"] > 0)
-
-    blocks = F.transform(F.split(text, "\n"), lambda line: let(words_of(line), lambda ws: F.filter(in_order, lambda w: F.array_contains(ws, w))))
-    candidates = F.filter(blocks, lambda b: (F.size(b) >= least) & F.arrays_overlap(b, strings(sorted(prefixes))))
-    present = F.filter(in_order, lambda w: F.array_contains(lowered_words, w))
-    every = F.concat(F.flatten(F.transform(candidates, of_line)), let(present, of_windows))
-    none = F.filter(F.array(F.struct(F.lit("").alias("label"), F.lit(0.0).alias("score"))), lambda x: F.lit(False))
-    return F.when(F.arrays_overlap(lowered_words, strings(sorted(prefixes))), every).otherwise(none)
-
-
-def license_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each text."""
-    sets = [(label, template_words(text), template_length(text)) for label, text in templates]
-    vocabulary = sorted({w for _, words, _ in sets for w in words})
+        musts, bars = rules.get(label, ((), ()))
+        musts = [w for w in musts if w in words]  # only what this wording of the license can have
+        rows += [(word, p, words, len(words), need, template_length(text), label, musts, list(bars)) for p, word in enumerate(words[: len(words) - need + 1])]
+    return spark.createDataFrame(rows, "token string, p int, template array<string>, size int, need int, length int, label string, musts array<string>, bars array<string>")
+
+
+def license_matches(df: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, rules=RULES) -> DataFrame:
+    """(key, labels, score) of the texts with a match: key is the text's digest, score the best block's containment."""
+    vocabulary = sorted({w for _, text in templates for w in template_words(text)})
     frequencies = document_frequencies(df, text_col, vocabulary)
     order = {w: frequencies.get(w, 0) for w in vocabulary}
+    table = _template_rows(df.sparkSession, templates, order, threshold, rules)
+    strings = lambda xs: F.array(*map(F.lit, xs))
+    prefix = strings(sorted(_prefix_words(templates, order, threshold)))
+    ranked = strings(sorted(order, key=lambda w: (order[w], w)))
+    held = strings(sorted({*order, *(w for _, bars in rules.values() for w in bars)}))
+    around = max(template_length(text) for _, text in templates)
+
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = df.select(F.md5(text.cast("binary")).alias("key"), text.alias("text"), words_of(text).alias("words")).where(F.arrays_overlap("words", prefix))
+
+    def near(x: Column) -> Column:
+        first = F.greatest(x["i"] - around + 1, F.lit(0))
+        return F.struct(x["w"].alias("token"), (x["i"] - first).alias("at"), F.slice("words", first + 1, x["i"] - first + around).alias("context"))
+
+    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(prefix, x["w"]))
+    windows = texts.select("key", F.inline(F.transform(places, near)))
+    lines = F.transform(F.split("text", "\n"), lambda line: let(words_of(line), lambda ws: F.filter(held, lambda w: F.array_contains(ws, w))))
+    lines = F.filter(F.array_distinct(lines), lambda ws: F.arrays_overlap(ws, prefix))
+    lines = texts.select("key", F.explode(lines).alias("context")).select("key", F.explode(F.array_intersect("context", prefix)).alias("token"), "context")
+    blocks = windows.unionByName(lines.withColumn("at", F.lit(None).cast("int")))
+
+    own = F.filter(ranked, lambda w: F.array_contains("context", w))
+    blocks = blocks.withColumn("own", own).withColumn("q", F.array_position("own", F.col("token")).cast("int") - 1)
+    reachable = F.least("p", "q") + 1 + F.least(F.col("size") - 1 - F.col("p"), F.size("own") - 1 - F.col("q")) >= F.col("need")
+    pairs = blocks.join(F.broadcast(table), (blocks["token"] == table["token"]) & (F.size(F.array_intersect("own", "template")) >= F.col("need")) & reachable)
+
+    def common(block: Column) -> Column:
+        """How many template words a block holds, or 0 where the rules forbid the match."""
+        allowed = (F.size(F.array_intersect("musts", block)) == F.size("musts")) & ~F.arrays_overlap("bars", block)
+        return F.when(allowed, F.size(F.array_intersect("template", block))).otherwise(0)
 
-    def found(words: Column) -> Column:
-        return F.struct(
-            F.size(words).alias("n_words"),
-            _base_places(words).alias("base"),
-            _matches(words, text, sets, order, threshold).alias("matches"),
-        )
-
-    rows = df.select(F.col(id_col).alias("id"), let(words_of(text), found).alias("m"))
-    m = F.col("m")
-    places, base = F.transform(m["base"], lambda x: x["place"]), F.transform(m["base"], lambda x: x["label"])
-    both = F.concat(base, F.transform(m["matches"], lambda x: x["label"]))
+    starts = F.filter(F.sequence(F.greatest(F.col("at") - F.col("length") + 1, F.lit(0)), "at"), lambda i: F.array_contains("template", F.get("context", i)))
+    best = F.array_max(F.transform(starts, lambda i: common(F.slice("context", i + 1, F.col("length")))))
+    found = pairs.select("key", "label", "size", "need", F.when(F.col("at").isNull(), common(F.col("context"))).otherwise(best).alias("n")).where("n >= need")
+    # as many labels as there are templates at most
+    return found.groupBy("key").agg(F.collect_set("label").alias("found"), F.max(F.col("n") / F.col("size").cast("double")).alias("score"))
+
+
+def license_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, rules=RULES) -> DataFrame:
+    """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each text."""
+    matches = license_matches(df, text_col, templates, threshold, rules)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    measured = let(words_of(text), lambda words: F.struct(F.size(words).alias("n_words"), _base_places(words).alias("base")))
+    rows = df.select(F.col(id_col).alias("id"), F.md5(text.cast("binary")).alias("key"), measured.alias("m"))
+    places, base = F.transform("m.base", lambda x: x["place"]), F.transform("m.base", lambda x: x["label"])
+    rows = rows.select("id", "key", F.col("m.n_words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), F.array_distinct(base).alias("base"))
+    rows = rows.join(matches, "key", "left")
     listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    both = F.concat("base", F.coalesce("found", F.array().cast("array<string>")))
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    return rows.select(
-        F.col("id").alias(free_name(names, id_col)),
-        m["n_words"].cast("long").alias("n_words"),
-        F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"),
-        listed(base).alias("base_labels"),
-        listed(both).alias("labels"),
-        F.coalesce(F.array_max(F.transform(m["matches"], lambda x: x["score"])), F.lit(0.0)).alias("score"),
-    )
+    return rows.select(F.col("id").alias(free_name(names, id_col)), *names[:4], listed(F.col("base")).alias("base_labels"), listed(both).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
