@@ -1,18 +1,23 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
 Each document's ids, closed by an end id, are cut into full windows and a tail.
-Full windows stand alone.  Tails, in pieces of at most ``PIECE`` ids, gather in
-groups of ``WINDOWS`` windows.  In a group every piece starts as a partial
+Full windows stand alone.  Tails gather, whole, in groups for ``WINDOWS`` windows
+less ``SPARE`` ids each.  In a group every tail starts as a partial
 partition of its own (one part holding it, the others empty); the two partial
 partitions of the largest spread are merged, the fullest part of one with the
 emptiest of the other, until one partition remains: windows of nearly equal fill.
-If its fullest exceeds the capacity, the group is dealt again into one window
-more.  What remains at the end of a task fills sequences whose lengths are powers
-of two, which need no padding.
+If its fullest exceeds the capacity, the group is dealt again into more windows.
+What then is missing in a window is cut off the tails that follow, so about one
+piece a window is not a whole tail; less than ``LEAST`` ids are left as padding
+rather than filled with a fragment.  What remains at the end of a task fills
+sequences whose lengths are powers of two, which need no padding.
 
 Grouping is within a task's rows, as they stream by, so nothing is shuffled, a
-group's size is fixed, and a lost task repeats the same sequences.  Null texts are
-empty and give the end id alone; repeated rows are packed like any others.
+group's size is fixed, and a lost task repeats the same sequences.  Null and empty
+texts give the end id alone; very long texts are mostly full windows; repeated rows and
+ids are packed like any others; of equal tails the earlier row's is merged first.  An
+empty table gives no pieces.  An id column named like a new column gets a longer name,
+other columns are not kept.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import heapq
 import json
 import re
 import zlib
+from collections import deque
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,13 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, parts_of
 from .pieces import Remembered, split_at_spaces
 
 CAPACITY, END_ID = 1024, 0
-#: Windows of a group, ids of a tail's piece at most, ids left free in each window of a group.
-WINDOWS, PIECE, SLACK = 32, 256, 3
-#: So many ids for each window are cut into pieces of these lengths in turn: small pieces even out the rest.
-FINE, FINE_LENGTHS = 40, (24, 11, 5, 2, 1)
+#: Windows of a group, ids left free in each of them at first, gaps that are not filled.
+WINDOWS, SPARE, LEAST = 32, 32, 8
 
 
 def largest_differencing(sizes: list[int], parts: int) -> list[list[int]]:
@@ -74,13 +79,14 @@ def _leaves(tree):
 
 
 def windows_of(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Windows of at most ``capacity``; their number rises whenever one exceeds it."""
+    """Windows of at most ``capacity``; their number rises whenever one exceeds it, by what the excess would fill."""
     parts = max(1, -(-sum(sizes) // capacity))
     while True:
         found = largest_differencing(sizes, parts)
-        if all(sum(sizes[i] for i in w) <= capacity for w in found):
+        excess = sum(max(0, sum(sizes[i] for i in w) - capacity) for w in found)
+        if not excess:
             return [w for w in found if w]
-        parts += 1
+        parts += -(-excess // capacity)
 
 
 class Packer:
@@ -91,59 +97,59 @@ class Packer:
 
     def __init__(self, first_sequence: int, capacity: int = CAPACITY):
         self.sequence, self.capacity = first_sequence, capacity
-        self.tails: list[tuple] = []  # (doc_id, start, bytes, doc_tokens)
+        self.tails: deque[tuple] = deque()  # (doc_id, start, bytes, doc_tokens)
         self.held = 0
 
     def add(self, doc_id, data: bytes):
         total, full = len(data) // 4, len(data) // 4 // self.capacity * self.capacity
         for start in range(0, full, self.capacity):
             yield from self._emit([(doc_id, start, data[4 * start : 4 * (start + self.capacity)], total)])
-        for start in range(full, total, PIECE):
-            part = data[4 * start : 4 * min(total, start + PIECE)]
-            self.tails.append((doc_id, start, part, total))
-            self.held += len(part) // 4
-        most = WINDOWS * (self.capacity - SLACK)
-        while self.held >= most:
-            yield from self._pack(self._take(most))
+        if full < total:
+            self.tails.append((doc_id, full, data[4 * full :], total))
+            self.held += total - full
+        # half as many again wait behind a group, to fill its gaps
+        while self.held >= WINDOWS * self.capacity * 3 // 2:
+            pieces, windows = self._dealt(WINDOWS)
+            yield from self._filled(pieces, windows)
 
     def finish(self):
-        whole = self.held // self.capacity * (self.capacity - SLACK)
-        if whole:
-            yield from self._pack(self._take(whole))
+        parts = self.held // self.capacity
+        while parts > 1:
+            pieces, windows = self._dealt(min(parts, WINDOWS))
+            if sum(len(p[2]) // 4 for p in pieces) + self.held >= len(windows) * self.capacity:
+                yield from self._filled(pieces, windows)
+                parts = self.held // self.capacity
+            else:  # too little is left to fill so many windows
+                self.tails.extendleft(reversed(pieces))
+                self.held += sum(len(p[2]) // 4 for p in pieces)
+                parts = min(parts, WINDOWS) * 3 // 4
         while self.held:
             size = 1 << (self.held.bit_length() - 1)
             yield from self._emit(self._take(min(size, self.capacity)))
 
     def _take(self, size: int) -> list[tuple]:
-        """Tails of exactly ``size`` ids; the last of them is cut where it exceeds that."""
-        taken, rest, left = [], 0, size
-        for rest, (doc_id, start, data, total) in enumerate(self.tails):
+        """Tails of exactly ``size`` ids, or all that are left; the last of them is cut where it exceeds that."""
+        taken, left = [], min(size, self.held)
+        self.held -= left
+        while left:
+            doc_id, start, data, total = self.tails.popleft()
             n = len(data) // 4
             if n > left:
-                if left:
-                    taken.append((doc_id, start, data[: 4 * left], total))
-                    self.tails[rest] = (doc_id, start + left, data[4 * left :], total)
-                break
+                self.tails.appendleft((doc_id, start + left, data[4 * left :], total))
+                data, n = data[: 4 * left], left
             taken.append((doc_id, start, data, total))
             left -= n
-        else:
-            rest = len(self.tails)
-        self.tails = self.tails[rest:]
-        self.held -= size
         return taken
 
-    def _pack(self, pieces: list[tuple]):
-        fine, cut = sum(len(p[2]) // 4 for p in pieces) // self.capacity * FINE, []
-        while pieces and fine > 0:
-            doc_id, start, data, total = pieces.pop()
-            fine -= len(data) // 4
-            while data:
-                n = FINE_LENGTHS[len(cut) % len(FINE_LENGTHS)]
-                cut.append((doc_id, start, data[: 4 * n], total))
-                start, data = start + n, data[4 * n :]
-        pieces = pieces + cut
-        for window in windows_of([len(p[2]) // 4 for p in pieces], self.capacity):
-            yield from self._emit([pieces[i] for i in sorted(window)])
+    def _dealt(self, parts: int) -> tuple[list[tuple], list[list[int]]]:
+        pieces = self._take(parts * (self.capacity - SPARE))
+        return pieces, windows_of([len(p[2]) // 4 for p in pieces], self.capacity)
+
+    def _filled(self, pieces: list[tuple], windows: list[list[int]]):
+        for window in windows:
+            own = [pieces[i] for i in sorted(window)]
+            gap = self.capacity - sum(len(p[2]) // 4 for p in own)
+            yield from self._emit(own + self._take(gap if gap >= LEAST else 0))
 
     def _emit(self, pieces: list[tuple]):
         offset = 0
@@ -215,7 +221,7 @@ def pack_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             columns = [pa.array([r[0] for r in found], id_type), *(pa.array([r[i + 1] for r in found], t) for i, (_, t) in enumerate(_RESULT))]
             return pa.RecordBatch.from_arrays(columns, ["id", *(n for n, _ in _RESULT)])
 
-        for batch in batches:
+        for batch in parts_of(batches, 1):
             id_type, found = batch.schema.field(0).type, []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found.extend(packer.add(doc_id, ids(text or "") + end))
@@ -228,4 +234,4 @@ def pack_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     result = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, {result}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, {result}").withColumnRenamed("id", free_name([n for n, _ in _RESULT], id_col))
