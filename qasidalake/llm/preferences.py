@@ -9,13 +9,16 @@ assistant turns, not the headings and not other roles.
 Turns are equal where role and text are; a null role or text is rendered as an
 empty one and equals only null.  If one conversation is a prefix of the other its
 completion is empty; equal conversations leave two empty completions.  Null turn
-lists count as empty.  Repeated rows are all kept.
+lists count as empty, an empty table gives an empty one.  Repeated rows are all kept.
+Turns of one number follow each other by role and text.  A conversation is one row of
+the result, so its whole text has to fit in a task; only that bounds its length.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import let
 
@@ -84,25 +87,38 @@ def format_preferences(df: DataFrame, chosen_col: str = "chosen", rejected_col:
 def gathered(turns: DataFrame) -> DataFrame:
     """(conv_id, turns) of a table (conv_id, turn, role, text): a conversation is one row, its turns in order.
 
-    Turns of one number follow each other by role and text.  Rows without a
-    conv_id are one conversation.
+    Turns of one number follow each other by role and text.  A row without a conv_id
+    is a conversation of its own; such rows are not shuffled.
     """
-    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return rows.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    plain = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
+    rows = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    alone = turns.where("conv_id IS NULL").select("conv_id", F.array(F.struct("role", "text")).alias("turns"))
+    return rows.select("conv_id", F.transform("turns", plain).alias("turns")).unionByName(alone)
 
 
-def answers_swapped(turns: DataFrame) -> DataFrame:
+def answers_swapped(turns: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Preference pairs out of plain conversations: (conv_id, chosen, rejected).
 
     Chosen is the conversation.  Rejected are its turns before its last assistant
-    turn, then the last assistant turn of the conversation numbered one higher (none
-    where there is no such conversation or turn).
+    turn, then the last assistant turn of the conversation that ``pairs`` (conv_id,
+    other_id; each conv_id once) names, none where there is no such conversation or
+    turn.  Without ``pairs`` that is the conversation numbered one higher, and none
+    where ids are no whole numbers.
     """
     whole = gathered(turns)
     places = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.get(F.col("turns"), i - 1)["role"] == "assistant")
     marked = whole.withColumn("place", F.array_max(places))
-    answers = marked.where(F.col("place").isNotNull()).select((F.col("conv_id") - 1).alias("before"), F.get(F.col("turns"), F.col("place") - 1).alias("answer"))
-    paired = marked.join(answers, F.col("conv_id") == F.col("before"), "left")
+    last = F.get(F.col("turns"), F.col("place") - 1).alias("answer")
+    kind = turns.schema["conv_id"].dataType
+    answers = marked.where("place IS NOT NULL").select(F.col("conv_id").alias("other_id"), last)
+    if pairs is not None:
+        answers = answers.join(pairs.select("conv_id", "other_id"), "other_id").select(F.col("conv_id").alias("asked"), "answer")
+    elif isinstance(kind, T.IntegralType):
+        answers = answers.select(F.try_subtract("other_id", F.lit(1).cast(kind)).alias("asked"), "answer")
+    else:
+        answers = answers.select(F.col("other_id").alias("asked"), "answer").limit(0)
+    answers = answers.where("asked IS NOT NULL")
+    paired = marked.join(answers, F.col("conv_id") == F.col("asked"), "left")
     head = F.slice("turns", F.lit(1), F.coalesce(F.col("place") - 1, F.size("turns")))
     rejected = F.when(F.col("answer").isNotNull(), F.concat(head, F.array("answer"))).otherwise(head)
     return paired.select("conv_id", F.col("turns").alias("chosen"), rejected.alias("rejected"))
