@@ -9,13 +9,17 @@ view's training rows, and both are fitted again.  Platt scaling on held-out
 labelled rows calibrates each view; a logistic regression over both calibrated
 log-odds, fitted on the same held-out rows, scores all documents.
 
-Training reads a bounded sample: at most ``LABELLED`` labelled rows and
-``UNLABELLED`` others, chosen by a hash of their ids.  Scoring reads every whole
-text.  A document is rejected under ``threshold``, the highest that keeps ``KEEP``
-of the held-out good rows, and never over 0.5.
-
-Null texts count as empty, a null language or source is a value of its own.
-Without labels of both kinds every score is 1.  Repeated rows are all kept.
+Training reads a bounded sample: at most ``labelled`` labelled rows and
+``unlabelled`` others, chosen by a hash of their ids, one row for each id.  Scoring
+reads every whole text.  A document is rejected under ``threshold``, the highest that
+keeps ``keep`` of the good rows held out for it, and never over 0.5; where few of them
+say so, a calibrated score under ``LEAST`` is rejected in any case.
+
+Null texts count as empty, a null language or source is a value of its own.  An id
+with labels of both kinds counts as bad; of several rows of one id the one with the
+least features is trained on.  Without labels of both kinds every score is 1.
+Repeated rows are all kept, long texts are read whole.  An empty table gives an empty
+result; ``keep_good`` keeps all columns, an id named like a new column gets a longer name.
 """
 
 from __future__ import annotations
@@ -29,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, parts_of
 
-#: Rows of the training sample at most, by kind.
+#: Rows of the training sample at most, by kind; parameters of ``fitted``.
 LABELLED, UNLABELLED = 6_000, 6_000
 ROUNDS, PER_ROUND = 4, 200
 #: Share of the held-out good rows that the threshold keeps.
 KEEP = 0.995
+#: Scores that are rejected however few good rows are held out.
+LEAST = 0.005
 KINDS, HASHED, META_HASHED = 16, 64, 48
 
 
@@ -205,12 +211,17 @@ class CoTrained:
                 labels[other] = np.concatenate([labels[other], guess])
             models = [Logistic(rows[k], labels[k]) for k in (0, 1)]
         self.models, test = models, held if held.any() else fit
-        logits = [models[k].logits(views[k][test]) for k in (0, 1)]
-        self.calibration = [platt(logit, y[test]) for logit in logits]
+        # calibration and joint model on one half of the held-out rows, the threshold on the other
+        half = np.random.RandomState(19).permutation(len(y)) % 2 == 0
+        calibrating, judging = test & half, test & ~half
+        if len(np.unique(y[calibrating])) < 2 or not (y[judging] > 0.5).any():
+            calibrating = judging = test
+        logits = [models[k].logits(views[k][calibrating]) for k in (0, 1)]
+        self.calibration = [platt(logit, y[calibrating]) for logit in logits]
         both = np.stack([s * x + b for x, (s, b) in zip(logits, self.calibration)], axis=1)
-        self.joint = Logistic(both, y[test], penalty=0.1)
-        good = np.sort(_sigmoid(self.joint.logits(both))[y[test] > 0.5])
-        self.threshold = float(min(0.5, good[int((1 - keep) * len(good))]))
+        self.joint = Logistic(both, y[calibrating], penalty=0.1)
+        good = np.sort(self.scores(text[judging], meta[judging])[2][y[judging] > 0.5])
+        self.threshold = float(min(0.5, max(LEAST, good[int((1 - keep) * len(good))])))
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of good quality: by text, by metadata, by both."""
@@ -221,21 +232,22 @@ class CoTrained:
 
 
 def _features(df: DataFrame, text_col: str, lang_col: str, source_col: str, label) -> tuple:
-    """Features and labels of a bounded set of rows, on the driver."""
+    """Features and labels of rows with a bounded set of ``sample_id``, one row for each, on the driver."""
 
     def run(batches):
-        for batch in batches:
-            lang, source, text, y = (c.to_pylist() for c in batch.columns)
+        for batch in parts_of(batches, 2):
+            lang, source, text, y, own = (c.to_pylist() for c in batch.columns)
             found = [text_features(t or b"").tobytes() + meta_features(a, s, t or b"").tobytes() for a, s, t in zip(lang, source, text)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(y, pa.int32())], ["features", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(y, pa.int32()), pa.array(own, pa.string())], ["features", "label", "sample_id"])
 
-    rows = df.select(F.col(lang_col).cast("string"), F.col(source_col).cast("string"), F.col(text_col).cast("string").cast("binary"), label)
-    found = sorted((bytes(r[0]), r[1]) for r in rows.mapInArrow(run, "features binary, label int").collect())
+    rows = df.select(F.col(lang_col).cast("string"), F.col(source_col).cast("string"), F.col(text_col).cast("string").cast("binary"), label, F.col("sample_id").cast("string"))
+    rows = rows.mapInArrow(run, "features binary, label int, sample_id string").groupBy("sample_id").agg(F.min("features").alias("features"), F.min("label").alias("label"))
+    found = sorted((bytes(r["features"]), r["label"]) for r in rows.collect())
     table = np.array([np.frombuffer(f, np.float32) for f, _ in found], np.float32).reshape(-1, TEXT_SIZE + META_SIZE)
     return table[:, :TEXT_SIZE], table[:, TEXT_SIZE:], np.array([0 if y is None else y for _, y in found])
 
 
-def fitted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality") -> CoTrained:
+def fitted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", labelled: int = LABELLED, unlabelled: int = UNLABELLED, keep: float = KEEP) -> CoTrained:
     """The classifier trained on a bounded sample of ``df`` and ``labels`` (id, 0 or 1)."""
     turn = F.xxhash64(F.col("sample_id").cast("string"), F.lit(29))
 
@@ -245,13 +257,13 @@ def fitted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 
     marked = labels.select(F.col(id_col).alias("sample_id"), F.col(label_col).cast("int").alias("sample_label")).where("sample_label IS NOT NULL AND sample_id IS NOT NULL")
     marked = marked.groupBy("sample_id").agg(F.min("sample_label").alias("sample_label"))
-    some = [least(marked.where(F.col("sample_label") == y), LABELLED // 2) for y in (0, 1)]
+    some = [least(marked.where(F.col("sample_label") == y), labelled // 2) for y in (0, 1)]
     rows = df.join(F.broadcast(some[0].unionByName(some[1])), F.col(id_col) == F.col("sample_id"))
     text, meta, y = _features(rows, text_col, lang_col, source_col, F.col("sample_label"))
     others = df.select(F.col(id_col).alias("sample_id")).where("sample_id IS NOT NULL").join(marked, "sample_id", "left_anti")
-    rows = df.join(F.broadcast(least(others, UNLABELLED)), F.col(id_col) == F.col("sample_id"))
+    rows = df.join(F.broadcast(least(others, unlabelled)), F.col(id_col) == F.col("sample_id"))
     more_text, more_meta, _ = _features(rows, text_col, lang_col, source_col, F.lit(None).cast("int"))
-    return CoTrained(text, meta, y, more_text, more_meta)
+    return CoTrained(text, meta, y, more_text, more_meta, keep)
 
 
 def _scored(df: DataFrame, model: CoTrained, text_col: str, lang_col: str, source_col: str, kept_only: bool, id_col: str | None = None) -> DataFrame:
@@ -260,7 +272,7 @@ def _scored(df: DataFrame, model: CoTrained, text_col: str, lang_col: str, sourc
     at = [columns.index(c) for c in (text_col, lang_col, source_col)]
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches, at[0]):
             text, lang, source = (batch.column(i).to_pylist() for i in at)
             text = [(t or "").encode() for t in text]
             if not text:
