@@ -8,7 +8,9 @@ their former entries stay behind and are skipped when popped.  n bytes take
 O(n log n), so a pre-token of a million letters is no special case.
 
 Null texts count as empty: no tokens, the hash of no bytes.  Rows are handled one
-by one; repeated rows and ids are all kept, other columns are not carried.
+by one; repeated rows and ids are all kept, other columns are not carried.  Of equal
+ranks the leftmost pair is merged first.  An empty table gives an empty one; an id
+column named like a new column gets a longer name.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, parts_of
 from .pieces import Remembered, split_at_spaces
 
 
@@ -135,12 +138,12 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
     def run(batches):
         bpe = _bpe(path, pattern)
-        for batch in batches:
+        for batch in parts_of(batches, 1):
             ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", free_name(["ids"], id_col))
 
 
 def decode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -154,7 +157,7 @@ def decode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "bytes"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, bytes binary").withColumnRenamed("id", free_name(["bytes"], id_col))
 
 
 def round_trip_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +166,7 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches):
         bpe = _bpe(path, pattern)
-        for batch in batches:
+        for batch in parts_of(batches, 1):
             counts, ids, decoded = [], [], []
             for text in batch.column(1).to_pylist():
                 decimal, back = bpe.round_trip(text or "")
@@ -173,4 +176,4 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", free_name(["n_tokens", "ids_sha256", "decoded_sha256"], id_col))

@@ -8,7 +8,9 @@ count falls in.  Two digests are compared by a bounded difference score, which
 
 Nulls count as empty texts; the empty text has a digest of its own, and texts
 under five bytes are padded with zero bytes.  Equal texts have equal digests.
-Rows with equal or null ids are all kept.
+Rows with equal or null ids are all kept, texts of any length are read whole.  An
+empty table gives an empty one; a lone row is its own next.  An id column named like a
+new column gets a longer name, other columns are not kept.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, shuffle_partitions, written
+from .common import free_name, parts_of, shuffle_partitions, written
 
 BUCKETS = 256
 #: Offsets in the window, a triplet each.
@@ -96,12 +98,12 @@ def document_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = dict(df.dtypes)[id_col]
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches, 1):
             prints = [digest((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], ["id", "fingerprint"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", free_name(["fingerprint"], id_col))
 
 
 _RESULT = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
@@ -130,7 +132,7 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         first = last = None  # (id, text, fingerprint)
-        for batch in batches:
+        for batch in parts_of(batches, 1):
             found, ids = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 row = (key, text, digest(text.encode()))

@@ -7,7 +7,9 @@ shuffled or sent to Python.  Repeated three-word windows are found by sorting th
 windows' 64-bit hashes with their places.
 
 Null and empty texts have no words and fail.  Rows are judged one by one;
-repeated rows and ids are all kept.
+repeated rows and ids are all kept, texts of any length are read whole.  A measure at
+its least or most passes.  An empty table gives an empty one; ``keep_good`` keeps all
+columns, else an id column named like a new column gets a longer name.
 """
 
 from __future__ import annotations

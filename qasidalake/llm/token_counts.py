@@ -9,7 +9,10 @@ count is added and its link followed.  Time is linear in the word's length.
 
 A word that no pieces cover counts as one token, the unknown one.  Words are runs
 of bytes other than space and 0x09 to 0x0D.  Null and empty texts have no words.
-Rows are handled one by one; repeated rows and ids are all kept.
+Rows are handled one by one; repeated rows and ids are all kept, texts of any length
+are read whole.  Pieces do not tie: of one place the longest is taken.  An empty table
+gives an empty one; an id column named like a new column gets a longer name, other
+columns are not kept.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, parts_of
 from .pieces import Remembered
 
 
@@ -93,7 +96,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         counter = _counter(path)
-        for batch in batches:
+        for batch in parts_of(batches, 1):
             words, tokens = [], []
             for text in batch.column(1).to_pylist():
                 parts = text.split() if text else []  # bytes: splits at 0x20 and 0x09 to 0x0D
