@@ -154,7 +154,7 @@ def test_license_join_is_exact(spark):
             rng.shuffle(some)
             lines.append(" ".join(some))
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
-    found = {r["doc_id"]: r["labels"] for r in licenses.license_labels(df).collect()}
+    found = {r["doc_id"]: r["labels"] for r in licenses.license_labels(df, rules={}).collect()}
     for i, line in enumerate(lines):
         own = set(line.split())
         wanted = {label for label, text in licenses.TEMPLATES if len(own & set(licenses.template_words(text))) >= licenses.needed(len(licenses.template_words(text)))}
@@ -269,3 +269,176 @@ def test_packing_of_added_tokens(spark):
             assert (r["start"], r["doc_tokens"]) == (at, len(ids)) and r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))
             at += r["length"]
         assert at == len(ids)
+
+
+def test_licenses_told_apart(spark):
+    """Notices with nearly the words of a template, for other licenses."""
+    others = [
+        "Licensed under CC BY 4.0.",
+        "Licensed under CC BY-SA 4.0.",
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+        "This work is licensed under the GNU Free Documentation License, version 3.",
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation",
+    ]
+    own = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by"}
+    texts = [*others, *own, *own, None, "", PROSE + "\n" + "Licensed under CC\nBY-NC 4.0. " + PROSE]
+    df = spark.createDataFrame(list(enumerate(texts)), "labels long, text string")
+    found = {r["labels_"]: (r["labels"], r["score"]) for r in licenses.license_labels(df, "labels").collect()}
+    assert [found[i] for i in range(len(others))] == [("", 0.0)] * len(others)
+    assert [found[len(others) + i] for i in range(7)] == [*((x, 1.0) for x in [*own.values()] * 2), ("", 0.0), ("", 0.0), ("cc-by-nc", 1.0)]
+
+
+def test_license_windows_by_brute_force(spark):
+    """Every window and line of texts of template words in any order, without the filters."""
+    rng, texts = random.Random(4), []
+    for _ in range(60):
+        words = []
+        for _ in range(3):
+            _, text = rng.choice(licenses.TEMPLATES)
+            words += [w for w in licenses.template_words(text) if rng.random() < 0.9] + rng.sample(WORDS, rng.randint(0, 4))
+        texts.append("".join(w + rng.choice("  \n") for w in words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_labels(df).collect()}
+    for i, text in enumerate(texts):
+        words, labels, best = text.split(), set(), 0.0
+        for label, template in licenses.TEMPLATES:
+            own, length = set(licenses.template_words(template)), licenses.template_length(template)
+            musts, bars = licenses.RULES.get(label, ((), ()))
+            musts = own & set(musts)
+            blocks = [words[k : k + length] for k in range(len(words))] + [line.split() for line in text.split("\n")]
+            for block in map(set, blocks):
+                if len(own & block) >= licenses.needed(len(own)) and musts <= block and not block & set(bars):
+                    labels.add(label)
+                    best = max(best, len(own & block) / len(own))
+        labels |= {label for phrase, label in licenses.PHRASES if f" {phrase} " in f" {' '.join(words)} "}
+        assert found[i] == (",".join(sorted(labels)), pytest.approx(best))
+
+
+def test_secret_spans_by_brute_force(spark):
+    """Texts with many findings, against a plain loop over candidates, findings and windows."""
+    rng, labelled = random.Random(6), secrets.look_alikes()
+    import numpy as np
+
+    codes, y = secrets._codes([w for w, _ in labelled]), np.array([label for _, label in labelled], dtype=np.float32)
+    model = secrets.CharCnn()
+    model.train(codes[:400], y[:400], epochs=4)
+    model.calibrate(codes[400:], y[400:])
+    texts = []
+    for _ in range(12):
+        parts = [rng.choice([*_made_keys(rng, 3), f'token = "{rng.getrandbits(80):x}"', "AKIA" + "B2" * 12, f"{rng.getrandbits(120):030x}", "docs/section/river/image/12"]) for _ in range(rng.randint(0, 40))]
+        texts.append(rng.choice([" ", "\n", "/", "="]).join(parts))
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secrets.secret_spans(df, model=model).collect()}
+    for i, text in [*enumerate(texts), (99, "")]:
+        base, wanted = secrets.base_findings(text), []
+        for start, end in secrets.candidates(text):
+            covered = any(s <= start and end <= e for s, _, e in base)
+            if not covered and max(model.probabilities([w])[0] for w in secrets.windows(text, start, end)) >= model.threshold - 1e-9:
+                wanted.append((start, 3, end))
+        assert found[i]["spans"] == secrets.joined(sorted(base + wanted)) and found[i]["n_model"] == len(wanted)
+    assert sum(r["n_model"] for r in found.values()) > 20
+
+
+def test_secret_scan_takes_linear_time():
+    import time
+
+    model, text = secrets.CharCnn(), 'token="abcdefgh1" docs/section/river/image/12 '
+    model.probabilities = lambda windows: [0.0] * len(windows)
+    times = []
+    for n in (4_000, 32_000):
+        began = time.perf_counter()
+        assert len(secrets.all_findings([text * n], model)[0]) == n
+        times.append(time.perf_counter() - began)
+    assert times[1] < 24 * times[0] + 0.2
+
+
+def test_packing_without_fragments():
+    """Windows are full, and about one piece a window is no whole tail."""
+    rng, packer, sizes, out = random.Random(3), packing.Packer(0), [], []
+    for doc in range(2_000):
+        sizes.append(int(rng.lognormvariate(5.5, 1.2)) + 1)
+        out += packer.add(doc, bytes(4 * sizes[-1]))
+    out += packer.finish()
+    fill, pieces = {}, {}
+    for doc, start, length, _, total, sequence, _ in out:
+        fill[sequence] = fill.get(sequence, 0) + length
+        pieces.setdefault(doc, []).append((start, length))
+        assert total == sizes[doc]
+    assert all(sum(n for _, n in p) == sizes[d] for d, p in pieces.items())
+    padding = sum(1024 - f for f in fill.values() if f & (f - 1))
+    least = sum(-(-n // 1024) for n in sizes)  # pieces if no tail were cut
+    assert padding < 0.005 * sum(sizes) and len(out) - least < 1.2 * len(fill)
+
+
+def test_preferences_of_any_ids(spark):
+    """Ids that cannot be counted on, rows without an id, pairs that are given."""
+    swap = lambda kind, rows, pairs=None: {(r["conv_id"], str(r["chosen"][0]["text"])): [t["text"] for t in r["rejected"]] for r in preferences.answers_swapped(spark.createDataFrame(rows, f"conv_id {kind}, turn int, role string, text string"), pairs).collect()}
+    two = lambda a, b: [(a, 1, "user", "q"), (a, 2, "assistant", "x"), (b, 1, "user", "q"), (b, 2, "assistant", "y")]
+    assert swap("string", two("a", "b")) == {("a", "q"): ["q"], ("b", "q"): ["q"]}
+    least = -(1 << 63)
+    assert swap("long", two(least, least + 1)) == {(least, "q"): ["q", "y"], (least + 1, "q"): ["q"]}
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a")], "conv_id string, other_id string")
+    assert swap("string", two("a", "b"), pairs) == {("a", "q"): ["q", "y"], ("b", "q"): ["q", "x"]}
+    alone = [(None, 1, "user", "p"), (None, 2, "assistant", "r"), (0, 1, "user", "s"), (0, 1, "assistant", None)]
+    assert len(swap("long", alone)) == 3  # each row without an id is a conversation
+    assert swap("long", []) == {}
+
+
+def test_classifier_bounds_rows(spark):
+    """Many rows of one id give one training row, and labels of both kinds count as bad."""
+    rows = [(7, f"{PROSE} {i}", "en", "s") for i in range(200)] + [(i, PROSE[i:], "en", "s") for i in range(100, 140)]
+    df = frame(spark, rows)
+    marked = df.select(df.doc_id.alias("sample_id"), "*")
+    from pyspark.sql import functions as F
+
+    text, meta, y = quality_classifier._features(marked, "text", "lang", "source", F.lit(None).cast("int"))
+    assert len(text) == len(meta) == len(y) == 41
+    labels = spark.createDataFrame([(7, 1), (7, 0), *((i, i % 2) for i in range(100, 140))], "doc_id long, quality int")
+    assert quality_classifier.quality_scores(df, labels).count() == len(rows)
+
+
+@pytest.mark.parametrize("deviations", [near_duplicates.DEVIATIONS, None])
+def test_hot_bucket(spark, deviations):
+    """One large group of near copies around a text, in more than one block, against all pairs."""
+    import numpy as np
+    from qasidalake.llm import shingles
+
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) + str(rng.randint(0, 500)) for _ in range(300)]
+    texts = []
+    for i in range(420):
+        words = list(base)
+        for _ in range(rng.randint(1, 9)):
+            words[rng.randrange(len(words))] = f"new{rng.randint(0, 10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(rng.sample(base, 200)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(df, deviations=deviations).collect()}
+    idf = near_duplicates.inverse_frequencies(*near_duplicates.document_frequency_table(df, "text"))
+    words, bounds = shingles.words_by_text([t.encode() for t in texts])
+    sets = [near_duplicates.weighted_shingles(words[bounds[k] : bounds[k + 1]], idf) for k in range(len(texts))]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if top(a) != top(b) and near_duplicates.weighted_jaccard(*sets[a], *sets[b]) >= 0.8:
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    wanted = [top(i) for i in range(len(texts))]
+    assert len(set(wanted)) > 20 and np.mean([found[i] == wanted[i] for i in range(len(texts))]) >= 0.99
+
+
+def test_tables_are_removed(spark, odd):
+    """Only what the result is read from stays in the shared folder."""
+    from pathlib import Path
+
+    from qasidalake.llm.common import shared_folder
+
+    near_duplicates.near_duplicate_classes(odd).count()
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    assert not any(folder.glob("near-duplicates-*/*"))
