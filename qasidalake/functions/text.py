@@ -24,6 +24,20 @@ _SILENT = re.compile(f"[{TATWEEL}{MARKS}]")
 _BETWEEN = re.compile(f"[{PUNCTUATION}{SPACES}]+")
 
 
+def _listed(inside: str) -> str:
+    """The characters of a regex class, without its ranges and escapes."""
+    ranges = re.sub(r"([^\\])-(.)", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), inside)
+    return re.sub(r"\\(.)", r"\1", ranges)
+
+
+_BLANKS = _listed(PUNCTUATION) + _listed(SPACES)
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+
+
 def strip_punct(text: Column) -> Column:
     """No tatweel; punctuation and white space become single spaces, none at the ends; marks stay."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, TATWEEL, ""), f"[{PUNCTUATION}{SPACES}]+", " "))
@@ -62,13 +76,13 @@ def is_mark_or_tatweel(char: Column) -> Column:
 
 def first_half(line: Column) -> Column:
     """What stands before the first ``=``, or the whole line."""
-    return F.trim(F.substring_index(line, "=", 1))
+    return trimmed(F.substring_index(line, "=", 1))
 
 
 def second_half(line: Column) -> Column:
     """What stands after the first ``=``, or nothing."""
     at = F.instr(line, "=")
-    return F.when(at > 0, F.trim(F.substr(line, at + 1))).otherwise("")
+    return F.when(at > 0, trimmed(F.substr(line, at + 1))).otherwise("")
 
 
 def has_two_halves(line: Column) -> Column:
@@ -106,18 +120,20 @@ def kept_places(text: Column) -> Column:
 
     A run of white space and punctuation counts as its first character.
     """
-    char_kind = lambda c: F.when(c == TATWEEL, 0).when(c.rlike(f"^[{PUNCTUATION}{SPACES}]$"), 1).otherwise(2)
-    chars = F.transform(F.split(text, ""), lambda c, i: F.struct(char_kind(c).alias("k"), i.alias("i")))
+    char_kind = lambda c: F.when(c == TATWEEL, 0).when(c == " ", 1).otherwise(2)
+    one_blank = F.translate(text, _BLANKS, " " * len(_BLANKS))
+    chars = F.transform(F.split(one_blank, ""), lambda c, i: F.struct(char_kind(c).alias("k"), i.alias("i")))
     spoken = F.filter(chars, lambda x: x["k"] != 0)
     # element -1 of an array is its last: a leading run would be kept, so it is told apart by its place
     pairs = F.zip_with(spoken, F.concat(F.array(F.struct(F.lit(1).alias("k"), F.lit(-1).alias("i"))), spoken), lambda x, before: F.struct(x.alias("x"), before["k"].alias("before")))
     return F.transform(F.filter(pairs, lambda p: p["x"].isNotNull() & ((p["x"]["k"] == 2) | (p["before"] == 2))), lambda p: p["x"]["i"])
 
 
-def span_in(text: Column, stripped: Column, pattern: str) -> Column:
+def span_in(text: Column, stripped: Column, pattern: str, sure: bool = False) -> Column:
     """struct<start, end> in ``text`` of the pattern's first match in ``stripped``; null without one.
 
     ``stripped`` is ``strip_punct(text)``.  An empty match has the span (-1, -1).
+    ``sure`` says that there is a match, which then is not asked again.
     """
     at, size = F.regexp_instr(stripped, F.lit(pattern)), F.length(F.regexp_substr(stripped, F.lit(pattern)))
     hit = F.transform(
@@ -127,7 +143,7 @@ def span_in(text: Column, stripped: Column, pattern: str) -> Column:
             F.when(x["n"] > 0, F.get(x["m"], x["at"] + x["n"] - 2) + 1).otherwise(-1).cast("int").alias("end"),
         ),
     )
-    return F.when(stripped.rlike(pattern), hit.getItem(0))
+    return hit.getItem(0) if sure else F.when(stripped.rlike(pattern), hit.getItem(0))
 
 
 def merged_spans(spans: Column, length: Column) -> Column:

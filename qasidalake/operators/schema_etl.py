@@ -8,17 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import title_of, verses
-from ..sources.corpus import SOURCES, Corpus
+from ..sources.corpus import SOURCES, Corpus, line_id
 
 
 def names_of(rows: DataFrame, column: str) -> DataFrame:
     """(id, name): the distinct values that are neither null nor empty, numbered by name.
 
-    Ids follow the order of the names.  The names are numbered in ranges, so that no
-    task sees all of them.
+    Ids follow the order of the names.  Names are numbered among those of the same
+    first characters, of which only the counts meet in one task.
     """
-    names = rows.select(F.col(column).alias("name")).where((F.col("name") != "")).distinct().orderBy("name")
-    return names.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0]["name"])).toDF("id long, name string")
+    names = rows.select(F.col(column).alias("name")).where((F.col("name") != "")).distinct().withColumn("lead", F.substring("name", 1, 3))
+    before = Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
+    counts = names.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).select("lead", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("lead").orderBy("name"))
+    return names.withColumn("nth", nth).join(counts, "lead").select((F.col("before") + F.col("nth")).cast("long").alias("id"), "name")
 
 
 def with_ids(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
@@ -125,7 +128,7 @@ def imported(raw: DataFrame) -> dict[str, DataFrame]:
         F.lit(len(SOURCES) - 1).alias("source_id"),
     )
     lines = rows.select("id", F.posexplode("verses").alias("at", "line")).select(
-        (F.col("id") * 100_000 + F.col("at")).alias("id"), F.col("id").alias("poem_id"), "line", (F.col("at") + 1).alias("line_number"), F.lit("").alias("line_type")
+        line_id(F.col("id"), F.col("at")).alias("id"), F.col("id").alias("poem_id"), "line", (F.col("at") + 1).alias("line_number"), F.lit("").alias("line_type")
     )
     return {"poem": poem, "lines": lines}
 

@@ -28,8 +28,12 @@ def bare(x: str) -> str:
     return f"regexp_replace({x}, '[{MARKS}]', '', 'g')"
 
 
+def trimmed(x: str) -> str:
+    return f"regexp_replace({x}, '^[{SPACES}]+|[{SPACES}]+$', '', 'g')"
+
+
 def first_half(x: str) -> str:
-    return f"trim(CASE WHEN instr({x}, '=') > 0 THEN substr({x}, 1, instr({x}, '=') - 1) ELSE {x} END)"
+    return trimmed(f"CASE WHEN instr({x}, '=') > 0 THEN substr({x}, 1, instr({x}, '=') - 1) ELSE {x} END")
 
 
 _SOURCES = ", ".join(f"({i}, '{name}', {'NULL' if url is None else repr(url)})" for i, name, url in SOURCES)

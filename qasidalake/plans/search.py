@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tightness
-from ..sources.corpus import Corpus
+from ..sources.corpus import SOURCES, Corpus
 from .boolean import Term, parse
 
 CANDIDATE_CAP, RESULT_CAP = 8000, 5000
+#: Up to this cap Spark keeps only the first rows of each source in every task before it shuffles them.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def simple_term(query: str) -> Term | None:
@@ -33,13 +35,37 @@ def poem_sources(corpus: Corpus) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ask:
-    """What to search and how much to return; ``None`` for a cap is no cap."""
+    """What to search and how much to return; ``None`` for a cap is no cap, for sources all in their order.
+
+    ``postings`` looks lines up by the trigrams of the query before they are read,
+    where the corpus has postings and every match holds three characters or more.
+    """
 
     titles: bool = False
     poet: str | None = None
     sources: tuple[int, ...] | None = None
     candidate_cap: int | None = CANDIDATE_CAP
     result_cap: int | None = RESULT_CAP
+    postings: bool = False
+
+
+def lines_with(postings: DataFrame, probes: list[str]) -> DataFrame:
+    """(line_id) of the lines that hold all trigrams of one of the probes: a superset of those that hold a probe."""
+    found = None
+    for probe in probes:
+        grams = list(dict.fromkeys(probe[i : i + 3] for i in range(len(probe) - 2)))
+        own = postings.where(F.col("gram").isin(grams)).groupBy("line_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select("line_id")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def candidates_capped(rows: DataFrame, cap: int) -> DataFrame:
+    """Of each source the ``cap`` rows of least id, dealt out again for the work that follows."""
+    spark = rows.sparkSession
+    if int(spark.conf.get(GROUP_LIMIT)) < cap:
+        spark.conf.set(GROUP_LIMIT, str(cap))
+    nth = F.row_number().over(Window.partitionBy("source_rank").orderBy("row_id"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= cap).repartition(spark.sparkContext.defaultParallelism, "row_id")
 
 
 def search(corpus: Corpus, query, ask: Ask = Ask()) -> DataFrame:
@@ -47,7 +73,7 @@ def search(corpus: Corpus, query, ask: Ask = Ask()) -> DataFrame:
 
     ``corpus`` has its derived columns.  Candidates are capped for each source in
     the order of their ids, before the pattern is applied; results by source, then
-    tightness, then id.
+    tightness, then id.  Results without a cap have no rank.
     """
     term = simple_term(query) if isinstance(query, str) else query
     poem = corpus.poem.select(
@@ -56,7 +82,11 @@ def search(corpus: Corpus, query, ask: Ask = Ask()) -> DataFrame:
     if ask.titles:
         rows = poem.withColumns({"original": F.col("title"), "plain": F.col("title_plain"), "stripped": F.col("title_stripped"), "row_id": F.col("poem_id")})
     else:
-        lines = corpus.lines.select("poem_id", F.col("id").alias("row_id"), F.coalesce("line", F.lit("")).alias("original"), "plain", "stripped")
+        lines = corpus.lines
+        probes = term.drivers() if ask.postings and corpus.postings is not None and term is not None else None
+        if probes:
+            lines = lines.join(lines_with(corpus.postings, probes), lines["id"] == F.col("line_id"), "left_semi")
+        lines = lines.select("poem_id", F.col("id").alias("row_id"), F.coalesce("line", F.lit("")).alias("original"), "plain", "stripped")
         rows = lines.join(poem.drop("title_plain", "title_stripped"), "poem_id")
     rows = rows.where(F.lit(False)) if term is None else rows
     coarse = None if term is None else term.coarse(F.col("plain"))
@@ -67,25 +97,24 @@ def search(corpus: Corpus, query, ask: Ask = Ask()) -> DataFrame:
         rows = rows.join(poet.where(F.col("poet") == ask.poet), "poet_id")
     else:
         rows = rows.join(poet, "poet_id", "left")
-    order = ask.sources or tuple(range(4))
-    ranks = F.create_map(*(F.lit(x) for i, s in enumerate(order) for x in (s, i)))
+    order = tuple(i for i, _, _ in SOURCES) if ask.sources is None else ask.sources
+    ranks = F.coalesce(*(F.when(F.col("source_id") == s, F.lit(i)) for i, s in enumerate(order)), F.lit(None).cast("int"))
     held = poem_sources(corpus).where(F.col("source_id").isin(list(order)))
-    rows = rows.join(held, "poem_id").withColumn("source_rank", F.element_at(ranks, F.col("source_id")))
+    rows = rows.join(held, "poem_id").withColumn("source_rank", ranks)
     if ask.candidate_cap is not None:
-        nth = F.row_number().over(Window.partitionBy("source_rank").orderBy("row_id"))
-        rows = rows.withColumn("nth", nth).where(F.col("nth") <= ask.candidate_cap)
+        rows = candidates_capped(rows, ask.candidate_cap)
     if term is not None:
-        rows = rows.where(term.exact(F.col("stripped"))).withColumn("spans", term.spans(F.col("original"), F.col("stripped")))
+        rows = rows.where(term.exact(F.col("stripped"))).withColumn("spans", term.spans(F.col("original"), F.col("stripped"), sure=True))
     else:
         rows = rows.withColumn("spans", F.array().cast("array<struct<start:int,end:int>>"))
     first = F.get("spans", F.lit(0))
     rows = rows.withColumns({"start": F.coalesce(first["start"], F.lit(-1)), "end": F.coalesce(first["end"], F.lit(-1))})
     rows = rows.withColumn("tightness", tightness(F.col("start"), F.col("end"), F.col("original")))
     best = [F.col("source_rank"), F.col("tightness").desc(), F.col("row_id")]
-    if ask.result_cap is not None:
-        rows = rows.orderBy(*best).limit(ask.result_cap)
-    # the window sees result_cap rows at most, unless the caller asked for all
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(*best)))
+    if ask.result_cap is None:
+        ranked = rows.withColumn("rank", F.lit(None).cast("int"))
+    else:  # the window sees result_cap rows at most
+        ranked = rows.orderBy(*best).limit(ask.result_cap).withColumn("rank", F.row_number().over(Window.orderBy(*best)))
     own = ["poem_id"] if ask.titles else ["poem_id", F.col("row_id").alias("line_id")]
     return ranked.select(*own, "original", "start", "end", "spans", "title", F.coalesce("poet", F.lit("")).alias("poet"), "line_count", "source_id", "source_rank", "tightness", "rank")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import tempfile
+
 from pyspark.sql import functions as F
 
 from . import oracle as O
@@ -23,11 +27,26 @@ def documents(spark, sf_dir):
 
 
 def corpus(spark, sf_dir):
-    return C.corpus_of_documents(spark, documents(spark, sf_dir))
+    """The stored corpus without its derived columns."""
+    found = indexed(spark, sf_dir)
+    return C.replace(found, lines=found.lines.drop("plain", "stripped"), poem=found.poem.drop("title_plain", "title_stripped"), postings=None)
+
+
+def _shared(spark) -> str:
+    """The folder in ``spark.checkpoint.dir``; only a local session (as in tests) may do without and takes a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="qasidalake-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def indexed(spark, sf_dir):
-    return C.build_index(corpus(spark, sf_dir))
+    """The corpus with its index, which the first query over a folder stores for those that follow in the application."""
+    name = hashlib.md5(sf_dir.encode(), usedforsecurity=False).hexdigest()
+    return C.open_index(spark, f"{_shared(spark)}/verse-{spark.sparkContext.applicationId}-{name}", lambda: C.corpus_of_documents(spark, documents(spark, sf_dir)))
 
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -96,9 +115,28 @@ def bool_or(spark, sf_dir):
     return S.search(indexed(spark, sf_dir), expr, S.Ask(result_cap=None)).select("poem_id", "line_id", "source_id")
 
 
+@query("bool_or_all", O.found(f"(?:{O.letters(OF)}|{O.letters(THE)})", f"({O.has(OF)} OR {O.has(THE)})", candidates=10**9, results=10**9).split("chars AS (")[0].rstrip().rstrip(",") + " SELECT poem_id, row_id AS line_id, source_id FROM hits")
+def bool_or_all(spark, sf_dir):
+    """All matches of an OR, without any cap."""
+    expr = S.parse(f"{OF} | {THE}")
+    return S.search(indexed(spark, sf_dir), expr, S.Ask(candidate_cap=None, result_cap=None)).select("poem_id", "line_id", "source_id")
+
+
+@query("search_postings", O.search_sql(O.letters(PHRASE), O.has(PHRASE)))
+def search_postings(spark, sf_dir):
+    """A phrase, its lines looked up by trigrams; the same rows as by a scan."""
+    return S.search(indexed(spark, sf_dir), PHRASE, S.Ask(postings=True)).select("poem_id", "line_id", *SHOWN)
+
+
+@query("bool_postings", O.search_sql(O.letters(THE), f"{O.has(THE)} AND {O.has(THAT)}", where=_THAT))
+def bool_postings(spark, sf_dir):
+    """An AND whose longest term drives the lookup."""
+    return S.search(indexed(spark, sf_dir), S.parse(f"{THE} + {THAT}"), S.Ask(postings=True)).select("poem_id", "line_id", *SHOWN)
+
+
 @query("normalized_lines", f"{O.CORPUS} SELECT id, {O.strip_punct('line')} AS stripped, {O.strip_all('line')} AS plain FROM lines")
 def normalized_lines(spark, sf_dir):
-    return indexed(spark, sf_dir).lines.select("id", "stripped", "plain")
+    return C.build_index(corpus(spark, sf_dir)).lines.select("id", "stripped", "plain")
 
 
 @query("clean_lines", f"{O.CORPUS} SELECT id, {O.clean('line')} AS clean, {O.bare(O.clean('line'))} AS bare, (length({O.clean('line')}) - length({O.bare(O.clean('line'))}))::INT AS marks FROM lines")
@@ -107,7 +145,7 @@ def clean_lines(spark, sf_dir):
     return corpus(spark, sf_dir).lines.select("id", clean.alias("clean"), T.without_marks(clean).alias("bare"), T.mark_count(clean).alias("marks"))
 
 
-@query("hemistichs", f"{O.CORPUS} SELECT id, {O.first_half('line')} AS sadr, CASE WHEN instr(line, '=') > 0 THEN trim(substr(line, instr(line, '=') + 1)) ELSE '' END AS ajz, instr(line, '=') > 0 AS two FROM lines")
+@query("hemistichs", f"{O.CORPUS} SELECT id, {O.first_half('line')} AS sadr, CASE WHEN instr(line, '=') > 0 THEN {O.trimmed("substr(line, instr(line, '=') + 1)")} ELSE '' END AS ajz, instr(line, '=') > 0 AS two FROM lines")
 def hemistichs(spark, sf_dir):
     line = F.col("line")
     return corpus(spark, sf_dir).lines.select("id", T.first_half(line).alias("sadr"), T.second_half(line).alias("ajz"), T.has_two_halves(line).alias("two"))

@@ -38,6 +38,8 @@ class Corpus:
     type: DataFrame
     source: DataFrame
     poem_alias: DataFrame
+    #: (gram, line_id), where the corpus is stored with its index.
+    postings: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in SCHEMAS}
@@ -81,6 +83,54 @@ def build_index(corpus: Corpus) -> Corpus:
     return replace(corpus, lines=lines, poem=poem.withColumns({"title_plain": strip_all(title), "title_stripped": strip_punct(title)}))
 
 
+#: Of the derived columns; a stored index of another version is built anew.
+INDEX_VERSION = "2"
+
+
+def _version(spark: SparkSession, folder: str) -> str | None:
+    try:
+        found = spark.read.text(f"{folder}/version").head()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return found[0] if found else None
+
+
+def write_index(corpus: Corpus, folder: str, tasks: int | None = None) -> None:
+    """The corpus with its derived columns and postings in ``folder``; the version is written last.
+
+    Lines are dealt by ranges of their ids and postings by their grams, so that a scan
+    for some of them reads few files and row groups.
+    """
+    spark = corpus.lines.sparkSession
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    built = build_index(corpus)
+    for name, table in built.tables().items():
+        if name == "lines":
+            table = table.repartitionByRange(tasks, "id").sortWithinPartitions("id")
+        table.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    postings = trigrams(spark.read.parquet(f"{folder}/lines.parquet"))
+    postings.repartitionByRange(tasks, "gram", "line_id").sortWithinPartitions("gram", "line_id").write.mode("overwrite").parquet(f"{folder}/postings.parquet")
+    spark.createDataFrame([(INDEX_VERSION,)], "version string").coalesce(1).write.mode("overwrite").text(f"{folder}/version")
+
+
+def open_index(spark: SparkSession, folder: str, build) -> Corpus:
+    """The stored corpus; where there is none of this version, ``build()`` gives the one to be stored first."""
+    if _version(spark, folder) != INDEX_VERSION:
+        write_index(build(), folder)
+    return replace(read_corpus(spark, folder), postings=spark.read.parquet(f"{folder}/postings.parquet"))
+
+
+#: Places in a poem that ids of lines leave room for.
+PLACES = 100_000
+
+
+def line_id(poem_id: Column, place: Column) -> Column:
+    """The id of a line; fails for a place that would take an id of the next poem."""
+    return F.when(place < PLACES, poem_id * PLACES + place).otherwise(F.raise_error(F.lit(f"a poem of more than {PLACES} lines")).cast("long"))
+
+
 def trigrams(lines: DataFrame) -> DataFrame:
     """(gram, line_id) postings of ``plain``, once each: an index for a store that can look grams up."""
     grams = F.when(F.length("plain") >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("plain") - 2), lambda i: F.substring("plain", i, F.lit(3)))))
@@ -135,7 +185,7 @@ def corpus_of_documents(spark: SparkSession, documents: DataFrame) -> Corpus:
         source_id.alias("source_id"),
     )
     lines = poems.select("doc_id", F.posexplode(parts).alias("pos", "line")).select(
-        (F.col("doc_id") * 100_000 + F.col("pos")).alias("id"),
+        line_id(F.col("doc_id"), F.col("pos")).alias("id"),
         F.col("doc_id").alias("poem_id"),
         "line",
         (F.col("pos") + 1).alias("line_number"),
