@@ -136,8 +136,10 @@ def span_in(text: Column, stripped: Column, pattern: str, sure: bool = False) ->
     ``sure`` says that there is a match, which then is not asked again.
     """
     at, size = F.regexp_instr(stripped, F.lit(pattern)), F.length(F.regexp_substr(stripped, F.lit(pattern)))
+    # as many characters as are dropped in all may stand before the match's end
+    reach = at + size + F.length(text) - F.length(stripped)
     hit = F.transform(
-        F.array(F.struct(kept_places(text).alias("m"), at.alias("at"), size.alias("n"))),
+        F.array(F.struct(kept_places(F.substr(text, F.lit(1), reach)).alias("m"), at.alias("at"), size.alias("n"))),
         lambda x: F.struct(
             F.when(x["n"] > 0, F.get(x["m"], x["at"] - 1)).otherwise(-1).cast("int").alias("start"),
             F.when(x["n"] > 0, F.get(x["m"], x["at"] + x["n"] - 2) + 1).otherwise(-1).cast("int").alias("end"),

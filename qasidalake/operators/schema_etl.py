@@ -139,8 +139,7 @@ def with_imported(corpus: Corpus, raw: DataFrame) -> Corpus:
     known = corpus.poet.select(F.col("name").alias("poet"))
     unknown = new["poem"].select("poet").where("poet IS NOT NULL").distinct().join(known, "poet", "left_anti")
     highest = corpus.poet.agg(F.coalesce(F.max("id"), F.lit(0)).alias("highest"))
-    # new names of one import, numbered by name
-    added = unknown.withColumn("n", F.row_number().over(Window.orderBy("poet"))).crossJoin(F.broadcast(highest))  # one row
-    poet = corpus.poet.unionByName(added.select((F.col("highest") + F.col("n")).alias("id"), F.col("poet").alias("name")))
+    added = names_of(unknown, "poet").crossJoin(F.broadcast(highest))  # one row
+    poet = corpus.poet.unionByName(added.select((F.col("highest") + F.col("id")).alias("id"), "name"))
     poem = with_ids(new["poem"], "poet", poet).select("id", "poet_id", "source_url", "title", "page", "line_count", "book_id", "type_id", "source_id")
     return replace(corpus, poet=poet, poem=corpus.poem.unionByName(poem, allowMissingColumns=True), lines=corpus.lines.unionByName(new["lines"], allowMissingColumns=True))

@@ -318,7 +318,17 @@ def poet_variants(spark, sf_dir):
     return poet_names.variants(_spelled(corpus(spark, sf_dir)))
 
 
-@query("poet_merge_plan")
+@query(
+    "poet_merge_plan",
+    f"""{O.CORPUS}, every AS (SELECT id, name FROM poet UNION ALL SELECT id + 1000, '(' || name || ')' FROM poet),
+v AS (
+  SELECT every.id AS poet_id, name, min(source_id) AS priority, count(*) AS n
+  FROM poem JOIN every ON every.id = poem.poet_id + CASE WHEN poem.id % 2 = 1 THEN 1000 ELSE 0 END GROUP BY ALL),
+b AS (SELECT *, replace(replace(name, '(', ''), ')', '') AS canonical FROM v)
+SELECT poet_id, name, canonical,
+  first_value(poet_id) OVER (PARTITION BY canonical ORDER BY priority, length(name) - length({O.bare('name')}) DESC, n DESC, name) AS target_id
+FROM b QUALIFY count(*) OVER (PARTITION BY canonical) > 1 OR name <> canonical""",
+)
 def poet_merge_plan(spark, sf_dir):
     return poet_names.merge_plan(_spelled(corpus(spark, sf_dir)))
 
@@ -373,11 +383,60 @@ def broken_references(spark, sf_dir):
     return schema_etl.broken_references(corpus(spark, sf_dir))
 
 
-@query("stretch_points")
+_POINTS = f"""{O.CORPUS}, c AS (SELECT id, line, unnest(range(1, length(line) + 1)) AS i FROM lines),
+k AS (SELECT id, i, substr(line, i, 1) AS own, substr(line, i + 1, 200) AS rest FROM c WHERE regexp_matches(substr(line, i, 1), '[{T.LETTERS}]')),
+m AS (SELECT id, own, i + length(regexp_extract(rest, '^[{T.MARKS}]*')) AS spot, substr(regexp_replace(rest, '^[{T.MARKS}]*', ''), 1, 1) AS after FROM k),
+p AS (
+  SELECT id, list(spot::INT ORDER BY spot) AS points FROM m
+  WHERE NOT contains('{T.NO_JOIN_AFTER}', own) AND regexp_matches(after, '[{T.LETTERS}]') AND after <> '{T.HAMZA}'
+    AND NOT (own = '{T.LAM}' AND contains('{T.ALEFS}', after)) GROUP BY id)
+SELECT lines.id, coalesce(points, []::INT[]) AS points FROM lines LEFT JOIN p USING (id)"""
+
+
+@query("stretch_points", _POINTS)
 def stretch_points(spark, sf_dir):
     return corpus(spark, sf_dir).lines.select("id", T.stretch_points(F.col("line")).alias("points"))
 
 
+@query(
+    "broken_references_planted",
+    f"""{O.CORPUS}, kept AS (SELECT * FROM poem WHERE id % 10 <> 0)
+SELECT 'lines.poem_id' AS reference, (SELECT count(*) FROM lines WHERE poem_id % 10 = 0) AS rows
+UNION ALL SELECT 'poem_alias.poem_id', (SELECT count(*) FROM alias WHERE poem_id % 10 = 0)
+UNION ALL SELECT 'poem.poet_id', (SELECT count(*) FROM kept WHERE poet_id = 1)
+UNION ALL SELECT 'poem.book_id', 0
+UNION ALL SELECT 'poem.type_id', (SELECT count(*) FROM kept WHERE type_id = 2)
+UNION ALL SELECT 'poem.source_id', (SELECT count(*) FROM kept WHERE source_id = 3)""",
+)
+def broken_references_planted(spark, sf_dir):
+    """The corpus without each tenth poem, a poet, a type and a source that others point to."""
+    found = corpus(spark, sf_dir)
+    lost = C.replace(found, poem=found.poem.where("id % 10 <> 0"), poet=found.poet.where("id <> 1"), type=found.type.where("id <> 2"), source=found.source.where("id <> 3"))
+    return schema_etl.broken_references(lost)
+
+
+@query(
+    "imported_poets",
+    f"""{O.CORPUS}, raw AS (SELECT DISTINCT source AS name FROM documents WHERE source <> '' AND regexp_matches(text, '[^{T.SPACES}]'))
+SELECT id, name FROM poet UNION ALL SELECT (SELECT coalesce(max(id), 0) FROM poet) + row_number() OVER (ORDER BY name), name FROM raw""",
+)
+def imported_poets(spark, sf_dir):
+    """The poets after an import: those not known yet follow the highest id, by name."""
+    raw = documents(spark, sf_dir).select((F.col("doc_id") + 10**9).alias("id"), F.col("source").alias("poet_name"), "text")
+    return schema_etl.with_imported(corpus(spark, sf_dir), raw).poet
+
+
+@query("metadata_ids", f"{O.CORPUS} SELECT id, type_id, source_id, source_url FROM poem")
+def metadata_ids(spark, sf_dir):
+    """Poems that carry names and whole URLs, given ids and suffixes again."""
+    found = corpus(spark, sf_dir)
+    source = found.source.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), "url_prefix")
+    whole = lambda df: df.join(source, "source_id").withColumn("source_url", F.concat(F.coalesce("url_prefix", F.lit("")), "source_url")).drop("source_id", "url_prefix")
+    named = found.poem.join(found.type.select(F.col("id").alias("type_id"), F.col("name").alias("type")), "type_id", "left").withColumn("book", F.lit(None).cast("string"))
+    tables = schema_etl.normalized_metadata(whole(named.drop("type_id", "book_id")), whole(found.poem_alias))
+    return tables["poem"].select("id", "type_id", "source_id", "source_url")
+
+
 @query("stretched_lines", f"{O.CORPUS} SELECT id, replace(line, '{T.TATWEEL}', '') AS bare FROM lines")
 def stretched_lines(spark, sf_dir):
     """Lines stretched by seven tatweels, which are taken out again."""

@@ -85,6 +85,7 @@ def build_index(corpus: Corpus) -> Corpus:
 
 #: Of the derived columns; a stored index of another version is built anew.
 INDEX_VERSION = "2"
+GRAM_PARTS = 16
 
 
 def _version(spark: SparkSession, folder: str) -> str | None:
@@ -100,18 +101,20 @@ def _version(spark: SparkSession, folder: str) -> str | None:
 def write_index(corpus: Corpus, folder: str, tasks: int | None = None) -> None:
     """The corpus with its derived columns and postings in ``folder``; the version is written last.
 
-    Lines are dealt by ranges of their ids and postings by their grams, so that a scan
-    for some of them reads few files and row groups.
+    Lines are dealt by ranges of their ids; postings, those of one gram in
+    ``GRAM_PARTS`` parts, are sorted by their grams, so that a scan for some of them reads
+    few row groups.
     """
     spark = corpus.lines.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    built = build_index(corpus)
-    for name, table in built.tables().items():
-        if name == "lines":
-            table = table.repartitionByRange(tasks, "id").sortWithinPartitions("id")
-        table.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-    postings = trigrams(spark.read.parquet(f"{folder}/lines.parquet"))
-    postings.repartitionByRange(tasks, "gram", "line_id").sortWithinPartitions("gram", "line_id").write.mode("overwrite").parquet(f"{folder}/postings.parquet")
+    dealt = corpus.lines.repartitionByRange(tasks, "id").sortWithinPartitions("id")
+    build_index(replace(corpus, lines=dealt)).lines.write.mode("overwrite").parquet(f"{folder}/lines.parquet")
+    stored = spark.read.parquet(f"{folder}/lines.parquet")
+    for name, table in build_index(replace(corpus, lines=stored)).tables().items():
+        if name != "lines":
+            table.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    postings = trigrams(stored).repartition(tasks, F.col("gram"), F.pmod(F.col("line_id"), F.lit(GRAM_PARTS)))
+    postings.sortWithinPartitions("gram", "line_id").write.mode("overwrite").parquet(f"{folder}/postings.parquet")
     spark.createDataFrame([(INDEX_VERSION,)], "version string").coalesce(1).write.mode("overwrite").text(f"{folder}/version")
 
 

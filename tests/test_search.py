@@ -182,3 +182,103 @@ def test_write_read_and_stream(spark, tmp_path):
     raw.write.parquet(str(tmp_path / "in"))
     ingest.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "at"), at_once=True).awaitTermination()
     assert [r["line"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("id").collect()] == ["قال = زيد", "قيل"]
+
+
+def test_stored_index(spark, tmp_path):
+    """A stored index is used as long as its version is current; the version is written last."""
+    folder, built = str(tmp_path / "index"), []
+
+    def build():
+        built.append(1)
+        return tiny(spark)
+
+    for _ in range(2):
+        corpus = C.open_index(spark, folder, build)
+        assert [tuple(r) for r in S.search_lines(corpus, "قال").select("line_id", "source_id").collect()] == [(1, 0), (3, 1), (1, 3)]
+        assert S.search_lines(corpus, "قال", postings=True).count() == 3
+        assert S.search_lines_boolean(corpus, "قال | أخرى", postings=True).count() == S.search_lines_boolean(corpus, "قال | أخرى").count() == 4
+    assert len(built) == 1
+    spark.createDataFrame([("1",)], "version string").coalesce(1).write.mode("overwrite").text(f"{folder}/version")
+    assert C.open_index(spark, folder, build).lines.count() == 5 and len(built) == 2
+
+
+def test_candidates_are_cut_before_they_are_shuffled(spark):
+    found = S.search_lines(C.build_index(tiny(spark)), "قال")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") >= 1
+
+
+def test_sources_asked_for(spark):
+    corpus = C.build_index(tiny(spark))
+    assert S.search_lines(corpus, "قال", sources=()).count() == 0
+    assert S.search_lines(corpus, "قال", result_cap=None).where("rank IS NOT NULL").count() == 0
+
+
+def test_halves_are_trimmed_of_any_space(spark):
+    df = spark.createDataFrame([("\t a b\u00a0=\r c \u3000",)], "l string")
+    assert tuple(df.select(T.first_half(F.col("l")), T.second_half(F.col("l"))).first()) == ("a b", "c")
+
+
+def test_lines_without_room(spark):
+    df = spark.createDataFrame([(1, 99_999), (1, 100_000)], "p long, at int").select(C.line_id(F.col("p"), F.col("at")).alias("id"))
+    assert df.limit(1).first()[0] == 199_999
+    with pytest.raises(Exception, match="more than 100000 lines"):
+        df.collect()
+
+
+def test_names_in_order(spark):
+    from qasidalake.operators.schema_etl import names_of
+
+    names = [f"{'ab'[i % 2]}{'xyz'[i % 3]}{i % 7}n{i}" for i in range(300)] + ["a", "ab", "", None, "a"]
+    rows = spark.createDataFrame([(n,) for n in names], "poet string").repartition(5)
+    wanted = sorted({n for n in names if n})
+    assert [tuple(r) for r in names_of(rows, "poet").orderBy("id").collect()] == [(i + 1, n) for i, n in enumerate(wanted)]
+
+
+def test_exclamation_marks_and_nested_brackets():
+    assert term_pattern("[!!و]", True) != term_pattern("[!و]", True)  # one is the sign, the other a letter
+    with pytest.raises(BooleanError):
+        parse("[ا],ب]")
+    assert len(parse("قال , زيد").parts) == 2 and parse("[قا,قو]ل").raw == "[قا,قو]ل"
+    from qasidalake.plans.boolean import _tokens
+
+    assert _tokens("[[a],b]c + d") == ["[[a],b]c", "+", "d"]
+
+
+@pytest.mark.parametrize(
+    "query, says",
+    [("", "empty"), ("- قال", "only_not"), ("قال +", "dangling"), ("(قال", "unclosed"), ("قال)", "unopened"), ("قا]ل", "extra_bracket"), ("[قال", "open_bracket"), ("[!]ل", "empty_option"), ("[]ل", "empty_group"), ("[!قال]", "long_exclusion"), ("*", "term")],
+)
+def test_messages(query, says):
+    from qasidalake.plans.boolean import SAYS
+
+    with pytest.raises(BooleanError) as e:
+        parse(query)
+    assert str(e.value) == SAYS[says].format("قال" if says == "long_exclusion" else query)
+
+
+def test_descriptions():
+    assert parse("قال").describe() == "قال"
+    assert parse("قال | زيد").describe() == "قال أو زيد"
+    assert parse("قال + زيد - خالد").describe() == "قال وزيد وبدون خالد"
+    assert parse("قال + (زيد | خالد)").describe().endswith("(زيد أو خالد)")
+
+
+def test_spans_of_an_or(spark):
+    corpus = C.build_index(tiny(spark))
+    rows = S.search_lines_boolean(corpus, "(قال | قيل) + أخرى", sources=(1,)).collect()
+    assert [[tuple(s) for s in r["spans"]] for r in rows] == [[(0, 3), (4, 8)]]
+
+
+def test_import_into_a_corpus(spark):
+    from qasidalake.operators.schema_etl import column_drift, normalized_poets, without_alias_title, with_imported
+
+    raw = spark.createDataFrame([(50, "بكر", "قال ... زيد"), (51, "زيد", "قيل"), (52, None, "x\ny")], "id long, poet_name string, text string")
+    after = with_imported(tiny(spark), raw)
+    assert {r["name"]: r["id"] for r in after.poet.collect()} == {"زيد": 1, "(زيد)": 2, "عمرو": 3, "بكر": 4}
+    assert {r["id"]: r["poet_id"] for r in after.poem.where("id >= 50").collect()} == {50: 4, 51: 1, 52: None}
+    assert after.lines.where("poem_id >= 50").count() == 4
+    tables = normalized_poets(spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "b")], "id int, poet string"))
+    assert {r["id"]: r["poet_id"] for r in tables["poem"].collect()} == {1: 2, 2: 1, 3: None, 4: 2}
+    slim, saved = without_alias_title(spark.createDataFrame([(1, "abc"), (2, None)], "id int, title string"))
+    assert slim.columns == ["id"] and saved == 3
+    assert column_drift(slim, ["id", "name"]) == ({"name"}, set())
