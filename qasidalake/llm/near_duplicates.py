@@ -53,8 +53,8 @@ SAMPLES = BANDS * ROWS
 #: Bins of a sketch, units of a weight of 1, and by how many standard deviations rounds 2 and 3 let sketches differ more.
 BITS, UNITS, DEVIATIONS = 2048, 8, 3.5
 #: Nodes of a block in rounds 2 and 3; rows for each task of the tables that are written, by how wide they are.
-BLOCK = 256
-WIDE_ROWS, NARROW_ROWS = 50_000, 200_000
+BLOCK = 128
+WIDE_ROWS, NARROW_ROWS = 20_000, 100_000
 FREQUENCY_BUCKETS, FREQUENCY_SLICES = 1 << 16, 16
 
 # Consistent sampling: for each shingle and sample, Gamma(2, 1) draws r and c and a
