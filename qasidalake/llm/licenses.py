@@ -62,6 +62,8 @@ RULES = {
     "mpl": (("mozilla",), ()),
 }
 THRESHOLD = 0.8
+#: Parts that the rows of one text are dealt into where its match is joined to them.
+SALTS = 16
 SEPARATORS = "[\\x00-/:-`{-\\x7f]+"
 
 
@@ -184,7 +186,9 @@ def license_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(id_col).alias("id"), F.md5(text.cast("binary")).alias("key"), measured.alias("m"))
     places, base = F.transform("m.base", lambda x: x["place"]), F.transform("m.base", lambda x: x["label"])
     rows = rows.select("id", "key", F.col("m.n_words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), F.array_distinct(base).alias("base"))
-    rows = rows.join(matches, "key", "left")
+    # copies of one text may be a third of all rows: its match is held by several tasks
+    matches = matches.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(matches, ["key", "salt"], "left")
     listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     both = F.concat("base", F.coalesce("found", F.array().cast("array<string>")))
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]

@@ -322,7 +322,7 @@ class Duplicates:
         self.work = Scratch(df.sparkSession, "near-duplicates")
         firsts = [F.first(c).alias(c) for c in ("weight", "bands", "bits", "units")]  # equal in all rows of a node
         nodes = sketched.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *firsts)
-        self.classes = self._classes(self.work.written(nodes, "nodes", self.wide), idf)
+        self.classes = self._classes(self.work.written(nodes, "nodes"), idf)
         self.work.clear()
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
