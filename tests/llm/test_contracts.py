@@ -194,3 +194,59 @@ def QUERIES_AND_PIPELINE():
     import __spark_entry__
 
     return __spark_entry__.queries()
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """What the rules and the near-duplicate stage keep of their own input, counted and compared in plain Python."""
+    import corpus_pipeline
+    from qasidalake.llm.common import written
+    from qasidalake.llm.quality_rules import STOP_WORDS
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = written(stages["quality classifier"](spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA), "test-stage")
+
+    def passes(text):
+        words, lines = re.findall(r"[^ \t-\r]+", text), [x for x in text.split("\n") if re.search(r"[^ \t-\r]", x)]
+        windows = Counter(zip(words, words[1:], words[2:]))
+        repeated = {p for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
+        n, chars = len(words), sum(map(len, words))
+        if n < 50 or 100 * len(repeated) > 50 * n:
+            return False
+        share = sum(w.lower() in STOP_WORDS for w in words) / n
+        return 1.5 <= chars / n <= 25 and len(re.findall("[#*$%&|<>]", text)) / n <= 0.5 and share >= 0.02 and (len(lines) - len(set(lines))) / len(lines) <= 0.6 and max(map(len, words)) <= 20_000
+
+    kept = written(stages["quality rules"](spark, docs, DATA), "test-stage")
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect() if passes(r["text"] or "")}
+
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    ids = sorted(texts)
+    idf = near_duplicates.inverse_frequencies(*near_duplicates.document_frequency_table(kept, "text"))
+    words, bounds = shingles.words_by_text([texts[i].encode() for i in ids])
+    sets = [near_duplicates.weighted_shingles(words[bounds[k] : bounds[k + 1]], idf) for k in range(len(ids))]
+    links, seen, least = defaultdict(set), set(), set()
+    for a in range(len(ids)):
+        for b in range(a):
+            if texts[ids[a]] == texts[ids[b]] or near_duplicates.weighted_jaccard(*sets[a], *sets[b]) >= 0.8:
+                links[a].add(b)
+                links[b].add(a)
+    for i in range(len(ids)):
+        if i not in seen:  # the first of a class that is met has its least id
+            least.add(ids[i])
+            waiting = [i]
+            while waiting:
+                k = waiting.pop()
+                if k not in seen:
+                    seen.add(k)
+                    waiting += links[k]
+    single = {r["doc_id"] for r in stages["near-duplicates"](spark, kept, DATA).collect()}
+    assert len(least) < len(ids) and len(single ^ least) <= 0.01 * len(ids)  # sampling may miss a pair near 0.8
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline
+    from qasidalake.llm.common import written
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, DATA), "test-stage")
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == 0
