@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs.  All but the last return the
 columns of documents.
+
+Null and empty texts have no words, so the quality rules drop them; texts of any length
+are read whole; of equal rows one stays; an empty table of documents gives no pieces.
 """
 
 from __future__ import annotations
@@ -51,7 +54,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL cannot train the classifiers or draw the samples; a test holds the rows against brute force.
+#: SQL cannot train the classifiers or draw the samples; tests hold the rules, the classes and the packing against
+#: brute force on each stage's own input, and the classifier against held-out labels.
 ORACLE_SQL = None
 
 
