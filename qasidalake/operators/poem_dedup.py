@@ -38,31 +38,41 @@ def holds_all_marks(a: Column, b: Column) -> Column:
 
 
 def poem_texts(corpus: Corpus) -> DataFrame:
-    """(id, clean, signature, marks, priority) of each poem that has lines."""
+    """(id, clean, signature, own, marks, priority) of each poem that has lines."""
     line = F.struct("line_number", F.col("id").alias("line_id"), clean_line(F.coalesce("line", F.lit(""))).alias("clean"))
     poems = corpus.lines.groupBy(F.col("poem_id").alias("id")).agg(F.sort_array(F.collect_list(line)).alias("all"))
     poems = poems.withColumn("clean", F.transform("all", lambda x: x["clean"])).drop("all")
     marks = F.aggregate("clean", F.lit(0), lambda n, x: n + mark_count(x))
-    signature = F.array_join(F.transform("clean", without_marks), "\u0001")
-    poems = poems.withColumns({"signature": signature, "marks": marks})
+    digest = lambda lines: F.struct(F.md5(F.array_join(lines, "\u0001")).alias("m"), F.xxhash64(F.array_join(lines, "\u0001")).alias("h"))
+    poems = poems.withColumns({"signature": digest(F.transform("clean", without_marks)), "own": digest(F.col("clean")), "marks": marks})
     priority = corpus.poem.select("id", F.coalesce("source_id", F.lit(NO_SOURCE)).alias("priority"))
     return poems.join(priority, "id")
 
 
 def duplicates(corpus: Corpus) -> DataFrame:
-    """(id, survivor) of each poem that goes."""
+    """(id, survivor) of each poem that goes.
+
+    Keys are digests: of the lines without marks, and of the lines.  Only groups of
+    several vocalizations shuffle their texts, one text a vocalization; these are
+    compared with each other, so their number in a group should be small.
+    """
     poems = poem_texts(corpus)
-    shared = poems.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature")
-    poems = poems.join(shared, "signature").withColumn("turn", F.struct((-F.col("marks")).alias("m"), F.col("priority").alias("p"), F.col("id").alias("i")))
-    # poems of equal marks in all places differ in nothing: each of them has the first one as its survivor
-    firsts = poems.groupBy("signature", "clean").agg(F.min("turn").alias("turn"))
-    a = firsts.select("signature", F.col("clean").alias("a_clean"), F.col("turn").alias("a_turn"))
-    covered = firsts.join(a, "signature").where((F.col("a_turn") < F.col("turn")) & holds_all_marks(F.col("a_clean"), F.col("clean")))
-    gone = covered.select("signature", "clean").distinct()
-    kept = firsts.join(gone, ["signature", "clean"], "left_anti").select("signature", F.col("clean").alias("k_clean"), F.col("turn").alias("k_turn"))
-    targets = firsts.join(kept, "signature").where((F.col("k_turn") <= F.col("turn")) & holds_all_marks(F.col("k_clean"), F.col("clean")))
-    targets = targets.groupBy("signature", "clean").agg(F.min("k_turn").alias("to"))
-    return poems.join(targets, ["signature", "clean"]).where(F.col("id") != F.col("to.i")).select("id", F.col("to.i").alias("survivor"))
+    turn = F.struct((-F.col("marks")).alias("m"), F.col("priority").alias("p"), F.col("id").alias("i"))
+    keys = poems.select("id", "signature", "own", turn.alias("turn"))
+    # poems of equal lines differ in nothing: each of them has the first one as its survivor
+    firsts = keys.groupBy("signature", "own").agg(F.min("turn").alias("turn"), F.count(F.lit(1)).alias("copies"))
+    several = firsts.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature")
+    mixed = firsts.join(several, "signature", "left_semi")
+    texts = mixed.select("signature", "own", "turn", F.col("turn.i").alias("id")).join(poems.select("id", "clean"), "id").drop("id")
+    above = texts.select("signature", F.col("own").alias("a_own"), F.col("turn").alias("a_turn"), F.col("clean").alias("a_clean"))
+    held = texts.join(above, "signature").where((F.col("a_turn") < F.col("turn")) & holds_all_marks(F.col("a_clean"), F.col("clean")))
+    held = held.select("signature", "own", "a_own", "a_turn")
+    gone = held.select("signature", "own").distinct()
+    kept = held.join(gone.select("signature", F.col("own").alias("a_own")), ["signature", "a_own"], "left_anti")
+    targets = kept.groupBy("signature", "own").agg(F.min("a_turn").alias("to"))
+    targets = firsts.join(targets, ["signature", "own"], "left").where("copies > 1 OR to IS NOT NULL")
+    targets = targets.select("signature", "own", F.coalesce("to.i", "turn.i").alias("survivor"))
+    return keys.join(targets, ["signature", "own"]).where(F.col("id") != F.col("survivor")).select("id", "survivor")
 
 
 def deduplicated(corpus: Corpus) -> Corpus:

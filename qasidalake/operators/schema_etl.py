@@ -56,6 +56,15 @@ def suffix_collisions(poem: DataFrame) -> DataFrame:
     return rows.where("count > 1")
 
 
+def colliding_poems(poem: DataFrame) -> DataFrame:
+    """(id, source_id, suffix, count) of each poem whose URL would be another's after cutting: groups of any size."""
+    known = [i for i, _, prefix in SOURCES if prefix]
+    rows = poem.where(F.col("source_url").isNotNull() & F.col("source_id").isin(known))
+    rows = rows.select("id", "source_id", url_suffix(F.col("source_id"), F.col("source_url")).alias("suffix"))
+    counts = rows.groupBy("source_id", "suffix").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    return rows.join(counts, ["source_id", "suffix"]).select("id", "source_id", "suffix", "count")
+
+
 class BackfillError(ValueError):
     """Rows could not be given the ids of their names."""
 

@@ -110,7 +110,7 @@ _add_boolean("bool_charclass", f"{_T}[{_H}{_E}, {_H}]*", O.letters(_T) + f"(?:{O
     + " SELECT poem_id, row_id AS line_id, source_id FROM hits",
 )
 def bool_or(spark, sf_dir):
-    """All matches of an OR, without a cap on results."""
+    """The matches of an OR among the capped candidates, all of them; ``bool_or_all`` caps nothing."""
     expr = S.parse(f"{OF} | {THE}")
     return S.search(indexed(spark, sf_dir), expr, S.Ask(result_cap=None)).select("poem_id", "line_id", "source_id")
 
@@ -296,11 +296,43 @@ def poem_dedup_bare_copies(spark, sf_dir):
     return both.where("marks = 0 OR clean = s_clean").select("id", "survivor")
 
 
-@query("poem_dedup")
+#: Each mark by the line and letter that it follows; a poem goes for the first of those before it that hold all its marks and stay.
+_COVERED = f""", wide AS (SELECT id, turn, signature, string_split(clean, chr(1)) AS ls FROM ranked WHERE n > 1),
+each AS (SELECT id, unnest(ls) AS line, unnest(range(len(ls))) AS place FROM wide),
+chars AS (SELECT id, place, substr(line, i, 1) AS c, i FROM (SELECT id, place, line, unnest(range(1, length(line) + 1)) AS i FROM each)),
+kinds AS (SELECT *, regexp_matches(c, '[{T.MARKS}]') AS is_mark FROM chars),
+after AS (SELECT *, count(*) FILTER (NOT is_mark) OVER (PARTITION BY id, place ORDER BY i) AS letter FROM kinds),
+spots AS (SELECT id, place || ':' || letter || ':' || c AS spot FROM after WHERE is_mark AND letter > 0),
+marked AS (SELECT w.id, any_value(turn) AS turn, any_value(signature) AS signature, list(DISTINCT spot) FILTER (spot IS NOT NULL) AS spots FROM wide w LEFT JOIN spots USING (id) GROUP BY w.id),
+pairs AS (
+  SELECT b.id, a.id AS above, a.turn FROM marked a JOIN marked b USING (signature)
+  WHERE a.turn < b.turn AND list_has_all(coalesce(a.spots, []), coalesce(b.spots, [])))
+SELECT id, arg_min(above, turn) AS survivor FROM pairs WHERE above NOT IN (SELECT id FROM pairs) GROUP BY id"""
+
+
+@query("poem_dedup", _DEDUP + _COVERED)
 def poem_dedup_all(spark, sf_dir):
     return poem_dedup.duplicates(_vocalized(corpus(spark, sf_dir)))
 
 
+_KASRA = "\u0650"
+_READINGS = f"""UNION ALL SELECT poem_id + 2000000000, line_number, {O.clean(f"replace(line, '{FATHA}', '')")} FROM lines WHERE poem_id % 10 < 6
+  UNION ALL SELECT poem_id + 3000000000, line_number, {O.clean(f"replace(line, '{FATHA}', '{_KASRA}')")} FROM lines WHERE poem_id % 4 = 0),
+every AS ("""
+
+
+@query("poem_dedup_readings", _DEDUP.replace("),\nevery AS (", "\n  " + _READINGS, 1) + _COVERED)
+def poem_dedup_readings(spark, sf_dir):
+    """As poem_dedup, with copies that lack one mark, which go, and copies with another mark in its place, which stay."""
+    found = corpus(spark, sf_dir)
+    some = _vocalized(found)
+    for i, (which, mark) in enumerate((("% 10 < 6", ""), ("% 4 = 0", _KASRA)), 2):
+        lines = found.lines.where(f"poem_id {which}").withColumns({"line": F.regexp_replace("line", FATHA, mark), "id": F.col("id") + i * 10**12, "poem_id": F.col("poem_id") + i * 10**9})
+        poems = found.poem.where(f"id {which}").withColumns({"id": F.col("id") + i * 10**9, "source_url": F.concat("source_url", F.lit(f"b{i}"))})
+        some = C.replace(some, lines=some.lines.unionByName(lines), poem=some.poem.unionByName(poems))
+    return poem_dedup.duplicates(some)
+
+
 def _spelled(found):
     """The corpus with each poet under a second spelling, which poems of odd ids have."""
     other = found.poet.select((F.col("id") + 1000).alias("id"), F.concat(F.lit("("), "name", F.lit(")")).alias("name"))
@@ -373,6 +405,17 @@ def url_suffix_collisions(spark, sf_dir):
     return schema_etl.suffix_collisions(_whole_urls(corpus(spark, sf_dir).poem))
 
 
+@query(
+    "url_suffix_collision_rows",
+    f"{O.CORPUS}, cut AS (SELECT id, source_id, 'x' || id // 12 AS suffix FROM poem WHERE source_id < 3) SELECT *, count(*) OVER (PARTITION BY source_id, suffix) AS count FROM cut QUALIFY count > 1",
+)
+def url_suffix_collision_rows(spark, sf_dir):
+    """The poems that collide, a row each: twelve ids share a page, so that the groups grow in number only."""
+    poem = _whole_urls(corpus(spark, sf_dir).poem)
+    page = F.concat(F.lit("x"), F.floor(F.col("id") / 12).cast("string"))
+    return schema_etl.colliding_poems(poem.withColumn("source_url", F.regexp_replace("source_url", F.lit("x[0-9]+$"), page)))
+
+
 @query("url_sources", f"{O.CORPUS} SELECT id, CASE WHEN source_id < 3 THEN source_id END AS found FROM poem")
 def url_sources(spark, sf_dir):
     return _whole_urls(corpus(spark, sf_dir).poem).select("id", schema_etl.source_of_url(F.col("source_url")).alias("found"))
@@ -444,8 +487,52 @@ def stretched_lines(spark, sf_dir):
     return corpus(spark, sf_dir).lines.select("id", F.regexp_replace(T.stretched(line, F.lit(7)), T.TATWEEL, "").alias("bare"))
 
 
+@query(
+    "stretched_texts",
+    _POINTS.replace("substr(line, i", "substr(bare, i").replace("SELECT id, line, unnest(range(1, length(line) + 1)) AS i FROM lines", f"SELECT id, replace(line, '{T.TATWEEL}', '') AS bare, unnest(range(1, length(bare) + 1)) AS i FROM lines").rsplit("SELECT lines.id", 1)[0].rstrip()
+    + f""", s AS (
+  SELECT lines.id, replace(line, '{T.TATWEEL}', '') AS bare, coalesce(points, []::INT[]) AS points, len(coalesce(points, []))::INT AS n, 7 AS total FROM lines LEFT JOIN p USING (id)),
+parts AS (
+  SELECT *, list_prepend(0, points) AS starts, list_append(points, length(bare)::INT) AS ends, total // n AS share,
+    list_transform(range(0, total % n), lambda k: k * n // (total % n)) AS extra FROM s WHERE n > 0)
+SELECT id, array_to_string(list_transform(range(0, n + 1), lambda j: substr(bare, starts[j + 1] + 1, ends[j + 1] - starts[j + 1])
+  || CASE WHEN j < n THEN repeat('{T.TATWEEL}', (share + list_contains(extra, j)::INT)::INT) ELSE '' END), '') AS text FROM parts
+UNION ALL SELECT id, bare FROM s WHERE n = 0""",
+)
+def stretched_texts(spark, sf_dir):
+    """Lines stretched by seven tatweels, as they are shown."""
+    return corpus(spark, sf_dir).lines.select("id", T.stretched(F.regexp_replace("line", T.TATWEEL, ""), F.lit(7)).alias("text"))
+
+
 @query("highlights")
 def highlights(spark, sf_dir):
     """Joined spans of an AND of terms, as they are shown."""
     rows = S.search(indexed(spark, sf_dir), S.parse(f"{OF} + {THE} + {IN}"), S.Ask())
     return rows.select("line_id", "source_id", T.merged_spans(F.col("spans"), F.length("original")).alias("spans"))
+
+
+def _spans_of(first: str, *others: str, **caps) -> str:
+    """Rows (line_id, source_id, start, end) of an AND, with the span of one of its terms."""
+    coarse = " AND ".join(O.has(x) for x in (OF, THE, IN))
+    where = " AND ".join(O.matches(O.letters(x)) for x in others)
+    return f"({O.found(O.letters(first), coarse, where=where, **caps)} SELECT row_id AS line_id, source_id, start, \"end\" FROM found)"
+
+
+@query(
+    "highlight_spans",
+    f"""WITH shown AS {_spans_of(OF, THE, IN)},
+every AS (
+  SELECT * FROM shown UNION ALL SELECT o.* FROM {_spans_of(THE, OF, IN, results=10**9)} o SEMI JOIN shown USING (line_id, source_id)
+  UNION ALL SELECT o.* FROM {_spans_of(IN, OF, THE, results=10**9)} o SEMI JOIN shown USING (line_id, source_id)),
+reach AS (
+  SELECT *, max("end") OVER (PARTITION BY line_id, source_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM every WHERE start >= 0 AND "end" > start),
+runs AS (
+  SELECT *, count(*) FILTER (before IS NULL OR start > before) OVER (PARTITION BY line_id, source_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  FROM reach)
+SELECT line_id, source_id, (run - 1)::INT AS place, min(start)::INT AS start, max("end")::INT AS "end" FROM runs GROUP BY line_id, source_id, run""",
+)
+def highlight_spans(spark, sf_dir):
+    """The joined spans of ``highlights``, a row each."""
+    spans = highlights(spark, sf_dir).select("line_id", "source_id", F.posexplode("spans").alias("place", "span"))
+    return spans.select("line_id", "source_id", "place", "span.start", "span.end")
