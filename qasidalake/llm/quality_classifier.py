@@ -4,13 +4,14 @@ The text view describes the content: shares of character kinds and of pairs of
 kinds, hashed word beginnings and endings, repetition.  The metadata view
 describes the page: language, source, length, line layout.  Each view has a
 logistic regression.  Both start from the labelled rows.  In each round either
-view labels the unlabelled rows that it is most sure of, those go to the other
-view's training rows, and both are fitted again.  Platt scaling on held-out
-labelled rows calibrates each view; a logistic regression over both calibrated
+view labels the ``PER_ROUND`` unlabelled rows that it is most sure of, out of all, those
+go to the other view's training rows, and both are fitted again.  Platt scaling on
+held-out labelled rows calibrates each view; a logistic regression over both calibrated
 log-odds, fitted on the same held-out rows, scores all documents.
 
-Training reads a bounded sample: at most ``labelled`` labelled rows and
-``unlabelled`` others, chosen by a hash of their ids, one row for each id.  Scoring
+Training starts from at most ``labelled`` labelled rows, chosen by a hash of their ids,
+one row for each id.  The features of all rows are written once; rows of equal features
+count once among the unlabelled ones, ties go to the lower digest of the features.  Scoring
 reads every whole text.  A document is rejected under ``threshold``, the highest that
 keeps ``keep`` of the good rows held out for it, and never over 0.5; where few of them
 say so, a calibrated score under ``LEAST`` is rejected in any case.
@@ -24,6 +25,7 @@ result; ``keep_good`` keeps all columns, an id named like a new column gets a lo
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -33,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, parts_of
+from .common import Scratch, free_name, parts_of
 
-#: Rows of the training sample at most, by kind; parameters of ``fitted``.
-LABELLED, UNLABELLED = 6_000, 6_000
-ROUNDS, PER_ROUND = 4, 200
+#: Labelled rows that are trained on at most; a parameter of ``fitted``.
+LABELLED = 6_000
+#: Rows that either view labels in a round at most, and the log-odds that it must exceed for each.
+ROUNDS, PER_ROUND, SURE = 4, 200, 2.0
 #: Share of the held-out good rows that the threshold keeps.
 KEEP = 0.995
 #: Scores that are rejected however few good rows are held out.
@@ -183,8 +186,12 @@ def platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class CoTrained:
     """Both views, calibrated and combined."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, more_text: np.ndarray, more_meta: np.ndarray, keep: float = KEEP):
-        """``y`` labels the rows of ``text`` and ``meta``; ``more_*`` are unlabelled."""
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest, keep: float = KEEP):
+        """``y`` labels the rows of ``text`` and ``meta``.
+
+        ``surest(models, given)``: for each view the digests of the unlabelled rows that it is most sure of and that
+        ``given`` (a set for each view) does not name, their text and metadata features, and their guessed labels.
+        """
         self.constant = len(np.unique(y)) < 2
         if self.constant:
             self.threshold = 0.0
@@ -193,21 +200,14 @@ class CoTrained:
         if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
             held = np.zeros(len(y), bool)
         fit = ~held
-        views, more = (text, meta), (more_text, more_meta)
-        rows, labels, free = [v[fit] for v in views], [y[fit].astype(float)] * 2, [np.ones(len(more_text), bool)] * 2
+        views, given = (text, meta), (set(), set())
+        rows, labels = [v[fit] for v in views], [y[fit].astype(float)] * 2
         models = [Logistic(rows[k], labels[k]) for k in (0, 1)]
-        for _ in range(ROUNDS if len(more_text) else 0):
-            given = []
-            for k in (0, 1):  # view k labels for the other one
-                logit, other = models[k].logits(more[k]), 1 - k
-                able = np.flatnonzero(free[other])
-                order = able[np.argsort(-np.abs(logit[able]), kind="stable")]
-                chosen = order[:PER_ROUND][np.abs(logit[order[:PER_ROUND]]) > 2.0]
-                given.append((other, chosen, (logit[chosen] > 0).astype(float)))
-            for other, chosen, guess in given:
-                free[other] = free[other].copy()
-                free[other][chosen] = False
-                rows[other] = np.vstack([rows[other], more[other][chosen]])
+        for _ in range(ROUNDS):
+            for k, (digests, *more, guess) in enumerate(surest(models, given)):  # view k labels for the other one
+                other = 1 - k
+                given[k].update(digests)
+                rows[other] = np.vstack([rows[other], more[other]])
                 labels[other] = np.concatenate([labels[other], guess])
             models = [Logistic(rows[k], labels[k]) for k in (0, 1)]
         self.models, test = models, held if held.any() else fit
@@ -231,39 +231,84 @@ class CoTrained:
         return _sigmoid(both[0]), _sigmoid(both[1]), _sigmoid(self.joint.logits(np.stack(both, axis=1)))
 
 
-def _features(df: DataFrame, text_col: str, lang_col: str, source_col: str, label) -> tuple:
-    """Features and labels of rows with a bounded set of ``sample_id``, one row for each, on the driver."""
+def digest_of(features: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(features, digest_size=8).digest(), "big", signed=True)
+
+
+def both_views(features) -> tuple[np.ndarray, np.ndarray]:
+    """Text and metadata features of rows of bytes."""
+    table = np.frombuffer(b"".join(features), np.float32).reshape(-1, TEXT_SIZE + META_SIZE)
+    return table[:, :TEXT_SIZE], table[:, TEXT_SIZE:]
+
+
+def _vectors(df: DataFrame, text_col: str, lang_col: str, source_col: str, id_col: str, label) -> DataFrame:
+    """(sample_id, digest, features, label) of every row; the features are bytes."""
 
     def run(batches):
         for batch in parts_of(batches, 2):
             lang, source, text, y, own = (c.to_pylist() for c in batch.columns)
             found = [text_features(t or b"").tobytes() + meta_features(a, s, t or b"").tobytes() for a, s, t in zip(lang, source, text)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(y, pa.int32()), pa.array(own, pa.string())], ["features", "label", "sample_id"])
+            arrays = [pa.array(own, pa.string()), pa.array([digest_of(f) for f in found], pa.int64()), pa.array(found, pa.binary()), pa.array(y, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["sample_id", "digest", "features", "label"])
+
+    rows = df.select(F.col(lang_col).cast("string"), F.col(source_col).cast("string"), F.col(text_col).cast("string").cast("binary"), label, F.col(id_col).cast("string"))
+    return rows.mapInArrow(run, "sample_id string, digest long, features binary, label int")
+
 
-    rows = df.select(F.col(lang_col).cast("string"), F.col(source_col).cast("string"), F.col(text_col).cast("string").cast("binary"), label, F.col("sample_id").cast("string"))
-    rows = rows.mapInArrow(run, "features binary, label int, sample_id string").groupBy("sample_id").agg(F.min("features").alias("features"), F.min("label").alias("label"))
+def _gathered(vectors: DataFrame) -> tuple:
+    """Features and labels of a bounded set of ids, one row for each, on the driver."""
+    rows = vectors.groupBy("sample_id").agg(F.min("features").alias("features"), F.min("label").alias("label"))
     found = sorted((bytes(r["features"]), r["label"]) for r in rows.collect())
-    table = np.array([np.frombuffer(f, np.float32) for f, _ in found], np.float32).reshape(-1, TEXT_SIZE + META_SIZE)
-    return table[:, :TEXT_SIZE], table[:, TEXT_SIZE:], np.array([0 if y is None else y for _, y in found])
+    return *both_views(f for f, _ in found), np.array([0 if y is None else y for _, y in found])
+
+
+def _features(df: DataFrame, text_col: str, lang_col: str, source_col: str, label) -> tuple:
+    """Features and labels of rows with a bounded set of ``sample_id``, one row for each, on the driver."""
+    return _gathered(_vectors(df, text_col, lang_col, source_col, "sample_id", label))
+
+
+def rank_logits(model: Logistic, view: np.ndarray) -> np.ndarray:
+    """Log-odds as rows are ranked by them: rounded, so that the order does not depend on how rows are dealt."""
+    return np.round(model.logits(view), 6)
+
+
+def _surest(vectors: DataFrame, marked: DataFrame):
+    """``surest`` of ``CoTrained`` over all rows of ``vectors`` whose id is not in ``marked``; only the chosen come to the driver."""
+
+    def surest(models, given):
+        def run(batches):
+            for batch in batches:
+                by = [pa.array(rank_logits(m, v)) for m, v in zip(models, both_views(batch.column(2).to_pylist()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *by], ["sample_id", "digest", "by0", "by1"])
 
+        sure = vectors.mapInArrow(run, "sample_id string, digest long, by0 double, by1 double").where(f"greatest(abs(by0), abs(by1)) > {SURE}")
+        sure = sure.join(marked.select("sample_id"), "sample_id", "left_anti").groupBy("digest").agg(F.min("by0").alias("by0"), F.min("by1").alias("by1"))
+        # those given before are among the first as well, at most
+        tops = [sure.select(F.lit(k).alias("view"), "digest", F.col(f"by{k}").alias("by")).where(f"abs(by) > {SURE}").orderBy(F.abs("by").desc(), "digest").limit(PER_ROUND + len(given[k])) for k in (0, 1)]
+        ranked = sorted(tops[0].unionByName(tops[1]).collect(), key=lambda r: (-abs(r["by"]), r["digest"]))
+        chosen = [[r for r in ranked if r["view"] == k and r["digest"] not in given[k]][:PER_ROUND] for k in (0, 1)]
+        digests = sorted({r["digest"] for rows in chosen for r in rows})
+        rows = vectors.where(F.col("digest").isin(digests)).groupBy("digest").agg(F.min("features").alias("features")) if digests else vectors.limit(0)
+        features = {r["digest"]: bytes(r["features"]) for r in rows.collect()}
+        return [([r["digest"] for r in rows], *both_views(features[r["digest"]] for r in rows), np.array([float(r["by"] > 0) for r in rows])) for rows in chosen]
 
-def fitted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", labelled: int = LABELLED, unlabelled: int = UNLABELLED, keep: float = KEEP) -> CoTrained:
-    """The classifier trained on a bounded sample of ``df`` and ``labels`` (id, 0 or 1)."""
-    turn = F.xxhash64(F.col("sample_id").cast("string"), F.lit(29))
+    return surest
 
-    def least(ids: DataFrame, most: int) -> DataFrame:
-        """``most`` ids at most, those of the least hash; the rest of the plan may then broadcast them."""
-        return ids.distinct().withColumn("turn", turn).orderBy("turn", "sample_id").limit(most).drop("turn")
 
-    marked = labels.select(F.col(id_col).alias("sample_id"), F.col(label_col).cast("int").alias("sample_label")).where("sample_label IS NOT NULL AND sample_id IS NOT NULL")
+def fitted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", labelled: int = LABELLED, keep: float = KEEP) -> CoTrained:
+    """The classifier trained on a bounded sample of ``labels`` (id, 0 or 1) and on what it is most sure of among all other rows of ``df``."""
+    marked = labels.select(F.col(id_col).cast("string").alias("sample_id"), F.col(label_col).cast("int").alias("sample_label")).where("sample_label IS NOT NULL AND sample_id IS NOT NULL")
     marked = marked.groupBy("sample_id").agg(F.min("sample_label").alias("sample_label"))
-    some = [least(marked.where(F.col("sample_label") == y), labelled // 2) for y in (0, 1)]
-    rows = df.join(F.broadcast(some[0].unionByName(some[1])), F.col(id_col) == F.col("sample_id"))
-    text, meta, y = _features(rows, text_col, lang_col, source_col, F.col("sample_label"))
-    others = df.select(F.col(id_col).alias("sample_id")).where("sample_id IS NOT NULL").join(marked, "sample_id", "left_anti")
-    rows = df.join(F.broadcast(least(others, unlabelled)), F.col(id_col) == F.col("sample_id"))
-    more_text, more_meta, _ = _features(rows, text_col, lang_col, source_col, F.lit(None).cast("int"))
-    return CoTrained(text, meta, y, more_text, more_meta, keep)
+    turn = F.xxhash64("sample_id", F.lit(29))
+    some = [marked.where(F.col("sample_label") == y).withColumn("turn", turn).orderBy("turn", "sample_id").limit(labelled // 2).drop("turn") for y in (0, 1)]
+    scratch = Scratch(df.sparkSession, "quality-features")
+    try:
+        vectors = scratch.written(_vectors(df, text_col, lang_col, source_col, id_col, F.lit(None).cast("int")), "vectors")
+        known = vectors.join(F.broadcast(some[0].unionByName(some[1])), "sample_id")
+        text, meta, y = _gathered(known.select("sample_id", "features", F.col("sample_label").alias("label")))
+        return CoTrained(text, meta, y, _surest(vectors, marked), keep)
+    finally:
+        scratch.clear()
 
 
 def _scored(df: DataFrame, model: CoTrained, text_col: str, lang_col: str, source_col: str, kept_only: bool, id_col: str | None = None) -> DataFrame:

@@ -398,6 +398,42 @@ def test_classifier_bounds_rows(spark):
     assert quality_classifier.quality_scores(df, labels).count() == len(rows)
 
 
+def test_classifier_by_brute_force(spark):
+    """The query's scores against the same training over plain lists: all unlabelled texts ranked in each round."""
+    import __spark_entry__
+    import duckdb
+    import numpy as np
+    from conftest import DATA
+
+    qc, path = quality_classifier, DATA
+    docs = duckdb.sql(f"SELECT doc_id, lang, source, text FROM '{path}/documents.parquet'").fetchall()
+    labels = dict(duckdb.sql(f"SELECT doc_id, min(quality) FROM '{path}/labels.parquet' WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1").fetchall())
+    rows = [(i, qc.text_features((t or "").encode()).tobytes() + qc.meta_features(lang, source, (t or "").encode()).tobytes()) for i, lang, source, t in docs]
+    known = {}
+    for i, f in rows:
+        if i in labels:
+            known[i] = min(f, known.get(i, f))
+    assert len(set(labels.values())) == 2 and len(known) < len({i for i, _ in rows})
+    pairs = sorted((f, labels[i]) for i, f in known.items())
+    pool = sorted({qc.digest_of(f): f for i, f in rows if i not in labels}.items())
+
+    def surest(models, given):
+        views, out = qc.both_views(f for _, f in pool), []
+        for k in (0, 1):
+            by = qc.rank_logits(models[k], views[k])
+            order = [j for j in sorted(range(len(pool)), key=lambda j: (-abs(by[j]), pool[j][0])) if abs(by[j]) > qc.SURE and pool[j][0] not in given[k]][: qc.PER_ROUND]
+            out.append(([pool[j][0] for j in order], views[0][order], views[1][order], (by[order] > 0).astype(float)))
+        return out
+
+    model = qc.CoTrained(*qc.both_views(f for f, _ in pairs), np.array([y for _, y in pairs]), surest)
+    score = model.scores(*qc.both_views(f for _, f in rows))[2]
+    want = sorted((i, round(float(x), 5), bool(x >= model.threshold)) for (i, _), x in zip(rows, score))
+    got = sorted((r["doc_id"], r["score"], r["kept"]) for r in __spark_entry__.queries()["op2_quality_classifier"](spark, path).collect())
+    assert len(got) == len(want) == len(docs)
+    for a, b in zip(got, want):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-4 and a[2] == b[2]
+
+
 @pytest.mark.parametrize("deviations", [near_duplicates.DEVIATIONS, None])
 def test_hot_bucket(spark, deviations):
     """One large group of near copies around a text, in more than one block, against all pairs."""
