@@ -114,4 +114,34 @@ SELECT doc_id, n_words, len(found)::BIGINT AS n_base,
 FROM b LEFT JOIN m USING (rid)
 """
 
-ORACLE_SQL = {"op4_quality_rules": OP4, "op7_chat_formatting": OP7, "op8_license_scans": OP8}
+#: Every phrase of up to five words is a row; the empty one holds a language's words.
+OP13 = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(low, '[.,;:!?\\n-\\r]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS ws FROM p),
+s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+f AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM s, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE m > 1),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+x AS (
+  SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r, n.n, (1000 * a::HUGEINT * n.n // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(ws[1:k], ' ')
+    JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(ws[k + 1:], ' ') JOIN n ON n.lang = k.lang),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, a, unnest(list_filter(flatten(list_transform(range(1, m), lambda o: list_transform(range(2, m), lambda z:
+    CASE WHEN o + z - 1 <= m THEN array_to_string(ws[o:o + z - 1], ' ') END))), lambda q: q IS NOT NULL)) AS phrase
+  FROM c WHERE m > 2),
+j AS (SELECT lang, phrase, max(a) AS around FROM i GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM y LEFT JOIN j USING (lang, phrase) WHERE around IS NULL OR 100 * around < 100 * a
+QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL = {"op4_quality_rules": OP4, "op7_chat_formatting": OP7, "op8_license_scans": OP8, "op13_phrase_collocations": OP13}

@@ -74,6 +74,24 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE_RANKS))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    from .whitening import whitened_components
+
+    return whitened_components(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_near_dedup(spark, sf_dir):
+    from .near_vectors import near_vector_links
+
+    return near_vector_links(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_collocations(spark, sf_dir):
+    from .collocations import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,5 +105,8 @@ QUERIES = {
         op8_license_scans,
         op9_minhash_near_dedup,
         op10_token_counts,
+        op11_embedding_whitening,
+        op12_embedding_near_dedup,
+        op13_phrase_collocations,
     )
 }
\ No newline at end of file
