@@ -4,49 +4,56 @@ Texts are cut into pieces and words, language by language.  Every place of a wor
 the suffix of its piece that starts there, cut to ``MAX_N`` words.  Suffixes are dealt out by
 language and first word, sorted in reverse lexicographic order, and one stack of words counts
 all their prefixes in one pass: a prefix is done when the next suffix does not start with it.
-The prefix counts of all parts are then joined to phrase counts, the empty prefix being the
-language's number of words.
+The stack is worked off a batch at a time: what begins and ends within a batch is summed
+between its bounds, what is still open at its end stays on the stack.  The empty prefix counts a
+language's words.
 
-What keeps that small, without changing a count that matters:
-
-* Tasks combine equal suffixes of a part of their texts before they send them.
-* A table of fixed size, ``BUCKETS`` hashed counts of words and of pairs of neighbours, bounds from above how often each
-  occurs.  No phrase of ``min_count`` occurrences holds a word or pair with less, so suffixes end before
-  such a pair, and places of such words give none.  Where a corpus is so large that
-  all buckets are full, nothing is cut and all suffixes are sent.
-* A first word is dealt into ``PARTS`` parts by a hash of the suffix, so neither a frequent word nor a frequent pair
-  meets in one task; this is why prefix counts are summed afterwards.
+Tasks combine equal suffixes of a part of their texts before they send them.  A first word
+is dealt into ``PARTS`` parts by a hash of its next one, so a frequent word does not meet in one task.
+Phrases of two words or more are whole in a part and go on only with ``min_count`` occurrences; the
+counts of single words and of languages are joined afterwards.
 
 Scores are floor(1000 * a * n / (l * r)) in 38-digit decimals.  The first ``top`` phrases of a language are
-first picked in ``PARTS`` parts each, then among those.
+first picked in ``TOP_PARTS`` parts each, then among those.
 
 A null text counts as empty, a null language as ``und``.  Texts of any length are read
-whole, as pieces join no two texts.  Repeated rows count each time.  Ties in rank go by
+whole; pieces join no two texts.  Repeated rows count each time.  Ties in rank go by
 a, then by the phrase's bytes, and no two phrases are equal.  Empty tables give no rows, and
 other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices, written
 
 MAX_N, MIN_COUNT, TOP, INSIDE_PERCENT = 5, 100, 2000, 100
-BUCKETS, SLICES, LOTS, PARTS = 1 << 22, 16, (1024, 32, 1), 64
+PARTS, TOP_PARTS = 16, 64
 PART_BYTES = 4 << 20
 # What ends a piece, and what stands between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-_TABLE = bytes.maketrans(bytes(range(65, 91)) + ENDS + BLANKS, bytes(range(97, 123)) + b"\n" * len(ENDS) + b" " * len(BLANKS))
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+# A tab, which no word holds, stands for 0x00 in words, and 0x00 stands between them: so a phrase comes next to what starts with it.
+_TABLE = bytes.maketrans(bytes(range(65, 91)) + ENDS + BLANKS + b"\0", bytes(range(97, 123)) + b"\n" * len(ENDS) + b" " * len(BLANKS) + b"\t")
+_BACK = bytes.maketrans(b"\0\t", b" \0")
+
+
+def language_key(lang: str) -> bytes:
+    """A language as the first word of a key, without 0x00."""
+    return lang.encode().replace(b"\1", b"\1\1").replace(b"\0", b"\1\2")
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def language_of(key: bytes) -> str:
+    return re.sub(b"\1([\1\2])", lambda m: m[1].replace(b"\2", b"\0"), key).decode()
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Of texts in order: the place of each word in a list of distinct words, that list, and whether a word and its next one share a piece."""
     raw = np.frombuffer(b"\n".join(texts).translate(_TABLE), np.uint8)
     end = raw == 10
@@ -54,11 +61,11 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.zeros(0, np.int64), [], np.zeros(0, bool)
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary()), np.zeros(0, bool)
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
     piece = np.cumsum(end)[starts]
-    return words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist(), np.append(piece[1:] == piece[:-1], False)
+    return words.indices.to_numpy().astype(np.int64), words.dictionary, np.append(piece[1:] == piece[:-1], False)
 
 
 def by_language(batches):
@@ -71,50 +78,6 @@ def by_language(batches):
             yield from texts.items()
 
 
-def buckets_of(lang: str, ids: np.ndarray, words: list[bytes], together: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each distinct word, and of each word with its next one; -1 where a piece ends."""
-    seed = xxhash.xxh32_intdigest(lang)
-    own = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
-    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-    hashed = own[ids]
-    pair = np.full(len(ids), -1)
-    mixed = (hashed[:-1] * _FACTORS[0] + (hashed[1:] ^ (hashed[1:] >> np.uint64(29)))) * _FACTORS[1]
-    pair[:-1] = np.where(together[:-1], (mixed >> shift).astype(np.int64), -1)
-    return (own >> shift).astype(np.int64), pair
-
-
-def bounds_table(df: DataFrame, min_count: int) -> np.ndarray:
-    """By bucket, how often its words and pairs occur together, ``min_count`` at most: a table of fixed size."""
-    kind, size = np.min_scalar_type(min_count), BUCKETS // SLICES
-
-    def count(batches):
-        counts = np.zeros(BUCKETS, np.int64)
-        for lang, texts in by_language(batches):
-            ids, words, together = words_of(texts)
-            own, pair = buckets_of(lang, ids, words, together)
-            counts += np.bincount(own, np.bincount(ids, minlength=len(words)), BUCKETS).astype(np.int64) if len(ids) else 0
-            counts += np.bincount(pair[together], minlength=BUCKETS)
-        if counts.any():
-            counts = np.minimum(counts, min_count).astype(kind)
-            where = [TaskContext.get().partitionId()] * SLICES
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(where, pa.int32()), pa.array([counts[i * size : (i + 1) * size].tobytes() for i in range(SLICES)], pa.binary())], ["slice", "lot", "counts"])
-
-    def summed(rows: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.int64)
-        for data in rows.column("counts").to_pylist():
-            total = np.minimum(total + np.frombuffer(data, kind), min_count)
-        return pa.table({"slice": rows.column("slice")[:1], "lot": rows.column("lot")[:1], "counts": pa.array([total.astype(kind).tobytes()], pa.binary())})
-
-    schema = "slice int, lot int, counts binary"
-    parts = df.mapInArrow(count, schema)
-    for lots in LOTS:  # few tables of a slice meet in a task
-        parts = parts.withColumn("lot", F.col("lot") % lots).groupBy("slice", "lot").applyInArrow(summed, schema)
-    table = np.zeros(BUCKETS, kind)
-    for r in parts.collect():  # BUCKETS numbers in all
-        table[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["counts"], kind)
-    return table
-
-
 def distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The first place of each distinct row of whole numbers from -1 up, and how often it occurs."""
     code = np.unique(columns[0], return_inverse=True)[1]
@@ -124,95 +87,99 @@ def distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first, count
 
 
-def suffixes(df: DataFrame, table: np.ndarray, min_count: int, max_n: int) -> DataFrame:
-    """(lang, suffix, n): suffixes of at least a word that may matter; the empty suffix stands for all words."""
+def suffixes(df: DataFrame, max_n: int) -> DataFrame:
+    """(key, first, n): the language and a suffix, joined by 0x00, its language and first two words as another such key, and its places."""
 
     def run(batches):
         for lang, texts in by_language(batches):
             ids, words, together = words_of(texts)
             if not len(ids):
                 continue
-            own, pair = buckets_of(lang, ids, words, together)
-            frequent = table[own] >= min_count
-            sure = frequent[ids]
-            goes_on = np.zeros(len(ids), bool)
-            goes_on[:-1] = together[:-1] & sure[:-1] & sure[1:] & (table[pair[:-1]] >= min_count)
-            alone = np.bincount(ids[sure & ~goes_on], minlength=len(words))
-            found, counts = [b"", *(words[i] for i in np.flatnonzero(alone))], [len(ids), *alone[alone > 0].tolist()]
-            at = np.flatnonzero(goes_on)
-            if len(at):
-                columns, reached = [ids[at]], np.ones(len(at), bool)
-                for k in range(1, max_n):
-                    reached = reached & goes_on[np.minimum(at + k - 1, len(ids) - 1)]
-                    columns.append(np.where(reached, ids[np.minimum(at + k, len(ids) - 1)], -1))
-                first, n = distinct_rows(columns)
-                for row in zip(*(c[first].tolist() for c in columns)):
-                    found.append(b" ".join([words[i] for i in row if i >= 0]))
-                counts += n.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found, pa.binary()), pa.array(counts, pa.int64())], ["lang", "suffix", "n"])
-
-    return df.mapInArrow(run, "lang string, suffix binary, n long")
-
-
-def prefix_counts(batches):
-    """(lang, phrase, n) of the prefixes of suffixes (lang, suffix, n) that come in reverse lexicographic order, by one stack."""
-    stack, counts, lang, all_words = [], [], None, 0
-    langs, phrases, found = [], [], []
-
-    def told(phrase: bytes, n: int) -> None:
-        langs.append(lang)
-        phrases.append(phrase)
-        found.append(n)
-
-    def pop(depth: int) -> None:
-        while len(stack) > depth:
-            n = counts.pop()
-            told(b" ".join(stack), n)
-            stack.pop()
-            if counts:
-                counts[-1] += n
-
-    def batch_of() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(found, pa.int64())], ["lang", "phrase", "n"])
-        for rows in (langs, phrases, found):
-            rows.clear()
-        return out
+            columns, inside = [ids], np.ones(len(ids), bool)
+            for k in range(1, max_n):
+                inside = inside & together[np.minimum(np.arange(len(ids)) + k - 1, len(ids) - 1)]
+                columns.append(np.where(inside, ids[np.minimum(np.arange(len(ids)) + k, len(ids) - 1)], -1))
+            first, n = distinct_rows(columns)
+            head = [pa.scalar(language_key(lang), pa.large_binary())]
+            rest = [words.take(pa.array(np.where(c >= 0, c, 0)[first], mask=(c < 0)[first])) for c in columns]
+            join = lambda some: pc.binary_join_element_wise(*head, *some, pa.scalar(b"\0", pa.large_binary()), null_handling="skip")
+            keys, firsts = join(rest), join(rest[:2])
+            for at in range(0, len(n), 10_000):
+                yield pa.RecordBatch.from_arrays([keys[at : at + 10_000].cast(pa.binary()), firsts[at : at + 10_000].cast(pa.binary()), pa.array(n[at : at + 10_000])], ["key", "first", "n"])
+
+    return df.mapInArrow(run, "key binary, first binary, n long")
+
+
+def places_of_words(keys: list[bytes], depth: int) -> np.ndarray:
+    """The words of keys as places in a list of distinct words, -1 beyond a key's last one."""
+    data = np.frombuffer(b"\0".join(keys) + b"\0", np.uint8)
+    ends = np.flatnonzero(data == 0)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 0])]).dictionary_encode()
+    upto = np.searchsorted(ends, np.cumsum([len(k) + 1 for k in keys]) - 1) + 1  # words up to each key's end
+    before = np.concatenate([[0], upto[:-1]])
+    row = np.repeat(np.arange(len(keys)), upto - before)
+    places = np.full((len(keys), depth), -1)
+    places[row, np.arange(len(ends)) - before[row]] = words.indices.to_numpy()
+    return places
+
+
+def prefix_counts(depth: int, whole_from: int, min_count: int):
+    """For ``mapInArrow``: (lang, phrase, n) of the prefixes of keys (key, n) in reverse lexicographic order, by one stack.
+
+    Keys have ``depth`` words at most, the language first.  Prefixes of ``whole_from`` words and
+    more do not occur elsewhere and are left out below ``min_count``.
+    """
+
+    def told(keys: list[bytes], depths: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        parts = [k.split(b"\0", 1 + d)[: 1 + d] for k, d in zip(keys, depths.tolist())]
+        columns = [[language_of(p[0]) for p in parts], [b"\0".join(p[1:]).translate(_BACK) for p in parts], counts]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64()))], ["lang", "phrase", "n"])
 
-    for batch in batches:
-        for own, suffix, n in zip(*(c.to_pylist() for c in batch.columns)):
-            if own != lang:
-                pop(0)
-                if all_words:
-                    told(b"", all_words)
-                lang, all_words = own, 0
-            if not suffix:
-                all_words += n
+    def run(batches):
+        last, stack = None, np.zeros(depth, np.int64)  # the last key, and what its prefixes have counted so far
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            words, same = suffix.split(b" "), 0
-            for a, b in zip(words, stack):
-                if a != b:
-                    break
-                same += 1
-            pop(same)
-            for word in words[same:]:
-                stack.append(word)
-                counts.append(0)
-            counts[-1] += n
-        yield batch_of()
-    pop(0)
-    if all_words:
-        told(b"", all_words)
-    yield batch_of()
+            keys, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            if last is not None:
+                keys, n = [last, *keys], np.concatenate([[0], n])
+            places = places_of_words(keys, depth)
+            same = np.zeros(places.shape, bool)
+            same[1:] = np.logical_and.accumulate((places[1:] == places[:-1]) & (places[1:] >= 0), axis=1)
+            sums, total = np.concatenate([[0], np.cumsum(n)]), stack
+            stack, rows, depths, counts = np.zeros(depth, np.int64), [], [], []
+            for d in range(depth):
+                begin = np.flatnonzero(~same[:, d])
+                end = np.append(begin[1:], len(n))
+                held = places[begin, d] >= 0
+                count = sums[end] - sums[begin]
+                count[0] += total[d]  # goes on from the batch before
+                if held[-1]:
+                    stack[d], held[-1] = count[-1], False
+                good = held & ((count >= min_count) | (d < whole_from))
+                rows.append(begin[good])
+                depths.append(np.full(good.sum(), d))
+                counts.append(count[good])
+            at = np.concatenate(rows)
+            yield told([keys[i] for i in at.tolist()], np.concatenate(depths), np.concatenate(counts))
+            last = keys[-1]
+        if last is not None:
+            open_ = np.flatnonzero(stack)
+            yield told([last] * len(open_), open_, stack[open_])
+
+    return run
 
 
 def phrase_counts(df: DataFrame, text_col: str, lang_col: str, max_n: int, min_count: int) -> DataFrame:
     """(lang, phrase, n) of all phrases of up to ``max_n`` words with ``min_count`` occurrences or more, and of the empty phrase: the words of a language."""
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    table = bounds_table(rows, min_count)
-    each = suffixes(rows, table, min_count, max_n)
-    first = F.substring_index(F.col("suffix").cast("string"), " ", 1)
-    dealt = each.repartition("lang", first, F.pmod(F.xxhash64("suffix"), F.lit(PARTS))).sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
-    parts = dealt.mapInArrow(prefix_counts, "lang string, phrase binary, n long")
+    each = suffixes(rows, max_n)
+    word = F.substring_index(F.col("first").cast("string"), "\0", 2)  # the language and the first word
+    part = F.xxhash64(word, F.pmod(F.xxhash64("first"), F.lit(PARTS)))
+    dealt = each.select("key", "n", part.alias("part")).repartition("part").select("key", "n").sortWithinPartitions(F.desc("key"))
+    parts = dealt.mapInArrow(prefix_counts(1 + max_n, 2, min_count), "lang string, phrase binary, n long")
     sums = parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return sums.where((F.col("n") >= min_count) | (F.length("phrase") == 0)).select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
 
@@ -248,7 +215,7 @@ def _ranked(counts: DataFrame, top: int, inside_percent: int) -> DataFrame:
     kept = scored.join(longer, ["lang", "phrase"], "left").where(f"around IS NULL OR 100 * around < {int(inside_percent)} * a")
 
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    part = F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS))
     some = kept.withColumn("part", part).withColumn("nth", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("nth") <= top)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

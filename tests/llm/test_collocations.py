@@ -38,7 +38,7 @@ def plain(rows, max_n, least, top):
 
 def made(seed, n=160):
     pick = random.Random(seed)
-    words = ["the", "Of", "ÉTÉ", "a\x01b", "a", "x\x00", "naïve", "q　r", "the\x1f", "und", "zz"] + [f"w{i}" for i in range(30)]
+    words = ["the", "Of", "ÉTÉ", "a\x01b", "a", "x\x00", "naïve", "q　r", "the\x1f", "\x00", "a\x00\x00b", "und", "zz"] + [f"w{i}" for i in range(30)]
     rows = []
     for i in range(n):
         text = ""
@@ -57,11 +57,20 @@ def test_by_counting(spark, max_n, least, top):
     assert sorted(map(tuple, found.collect())) == sorted(plain(rows, max_n, least, top))
 
 
-def test_full_table_cuts_nothing_that_counts(spark, monkeypatch):
-    rows = made(3, 60)
-    df = spark.createDataFrame(rows, "text string, lang string")
-    monkeypatch.setattr(C, "bounds_table", lambda df, least: C.np.full(C.BUCKETS, least, C.np.uint8))
-    assert sorted(map(tuple, C.collocations(df, min_count=9).collect())) == sorted(plain(rows, 5, 9, 2000))
+def test_prefixes_over_batches():
+    keys = sorted({("en", *random.Random(i).choices("abc", k=1 + i % 3)) for i in range(60)} | {("fr", "a"), ("fr", "a", "b")}, reverse=True)
+    rows = [("\0".join(k).encode(), i + 1) for i, k in enumerate(keys)]
+    wanted = Counter()
+    for k, (_, n) in zip(keys, rows):
+        for d in range(len(k)):
+            wanted[k[0], " ".join(k[1 : d + 1]).encode()] += n
+    wanted = {k: n for k, n in wanted.items() if n >= 40 or len(k[1].split()) < 2}
+    for size in (1, 2, 7, 100):
+        parts = [C.pa.RecordBatch.from_arrays(list(map(C.pa.array, zip(*rows[i : i + size]))), ["key", "n"]) for i in range(0, len(rows), size)]
+        found = [r for b in C.prefix_counts(4, 2, 40)(iter(parts)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        got = {(lang, p): n for lang, p, n in found}
+        assert len(got) == len(found) and {k: n for k, n in got.items() if n >= 40 or len(k[1].split()) < 2} == wanted
+    assert all(C.language_of(C.language_key(x)) == x for x in ("", "en", "a\0b", "\1\2", "\0\1\1\2é"))
 
 
 def test_long_text_and_empty_table(spark):
