@@ -123,7 +123,7 @@ def bounds_table(df: DataFrame, min_count: int) -> np.ndarray:
 
 
 def distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The first place of each distinct row of whole numbers from -1 up, and how often it occurs."""
+    """The first place of each distinct row of whole numbers from -1 up, in their order, and how often it occurs."""
     if not len(columns[0]):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     code = np.unique(columns[0], return_inverse=True)[1]
@@ -134,9 +134,9 @@ def distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffixes(df: DataFrame, table: np.ndarray, min_count: int, max_n: int) -> DataFrame:
-    """(key, first, n): the language and a suffix, joined by 0x00, its language and first two words as another such key, and its places.
+    """(key, n): the language and a suffix, joined by 0x00, and its places; a key of only the language stands for all its words.
 
-    A key of only the language stands for all its words.
+    Those of a part of the texts come in reverse order, which sorts and packs well.
     """
 
     def run(batches):
@@ -144,6 +144,10 @@ def suffixes(df: DataFrame, table: np.ndarray, min_count: int, max_n: int) -> Da
             ids, words, together = words_of(texts)
             if not len(ids):
                 continue
+            order = pc.sort_indices(words).to_numpy().astype(np.int64)
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            words, ids = words.take(pa.array(order)), rank[ids]
             sure = (table[buckets_of(lang, words)] >= min_count)[ids]
             goes_on = np.append(together[:-1] & sure[1:], False)
             at = np.flatnonzero(sure)
@@ -152,15 +156,13 @@ def suffixes(df: DataFrame, table: np.ndarray, min_count: int, max_n: int) -> Da
                 inside = inside & goes_on[np.minimum(at + k - 1, len(ids) - 1)]
                 columns.append(np.where(inside, ids[np.minimum(at + k, len(ids) - 1)], -1))
             first, n = distinct_rows(columns)
-            columns, n = [np.append(c[first], -1) for c in columns], np.append(n, len(ids))
-            head = [pa.scalar(language_key(lang), pa.large_binary())]
+            columns, n = [np.append(c[first[::-1]], -1) for c in columns], np.append(n[::-1], len(ids))
             rest = [words.take(pa.array(np.maximum(c, 0), mask=c < 0)) for c in columns]
-            join = lambda some: pc.binary_join_element_wise(*head, *some, pa.scalar(b"\0", pa.large_binary()), null_handling="skip")
-            keys, firsts = join(rest), join(rest[:2])
+            keys = pc.binary_join_element_wise(pa.scalar(language_key(lang), pa.large_binary()), *rest, pa.scalar(b"\0", pa.large_binary()), null_handling="skip")
             for at in range(0, len(n), 10_000):
-                yield pa.RecordBatch.from_arrays([keys[at : at + 10_000].cast(pa.binary()), firsts[at : at + 10_000].cast(pa.binary()), pa.array(n[at : at + 10_000])], ["key", "first", "n"])
+                yield pa.RecordBatch.from_arrays([keys[at : at + 10_000].cast(pa.binary()), pa.array(n[at : at + 10_000])], ["key", "n"])
 
-    return df.mapInArrow(run, "key binary, first binary, n long")
+    return df.mapInArrow(run, "key binary, n long")
 
 
 def places_of_words(keys: list[bytes], depth: int) -> np.ndarray:
@@ -230,9 +232,8 @@ def phrase_counts(df: DataFrame, text_col: str, lang_col: str, max_n: int, min_c
     """(lang, phrase, n) of all phrases of up to ``max_n`` words with ``min_count`` occurrences or more, and of the empty phrase: the words of a language."""
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
     each = suffixes(rows, bounds_table(rows, min_count), min_count, max_n)
-    word = F.substring_index(F.col("first").cast("string"), "\0", 2)  # the language and the first word
-    part = F.xxhash64(word, F.pmod(F.xxhash64("first"), F.lit(PARTS)))
-    dealt = each.select("key", "n", part.alias("part")).repartition("part").select("key", "n").sortWithinPartitions(F.desc("key"))
+    words = lambda k: F.substring_index(F.col("key").cast("string"), "\0", k)  # noqa: E731  the first of a key, its language among them
+    dealt = each.repartition(words(2), F.pmod(F.xxhash64(words(3)), F.lit(PARTS))).sortWithinPartitions(F.desc("key"))
     parts = dealt.mapInArrow(prefix_counts(1 + max_n, 2, min_count), "lang string, phrase binary, n long")
     sums = parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return sums.where((F.col("n") >= min_count) | (F.length("phrase") == 0)).select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
