@@ -5,12 +5,8 @@ the suffix of its piece that starts there, cut to ``MAX_N`` words.  Suffixes are
 language and first word, sorted in reverse lexicographic order, and one stack of words counts
 all their prefixes in one pass: a prefix is done when the next suffix does not start with it.
 The stack is worked off a batch at a time: what begins and ends within a batch is summed
-between its bounds, what is still open at its end stays on the stack.  A language's words are
-counted by keys without a suffix.
-
-A table of fixed size, ``BUCKETS`` hashed counts, bounds from above how often each word occurs.  No phrase of
-``min_count`` occurrences holds a word with less, so suffixes end before such a word, and none starts with it; where a
-corpus is so large that all buckets are full, nothing is cut.
+between its bounds, what is still open at its end stays on the stack.  The empty prefix counts a
+language's words.
 
 Tasks combine equal suffixes of a part of their texts before they send them.  A first word
 is dealt into ``PARTS`` parts by a hash of its next one, so a frequent word does not meet in one task.
@@ -33,8 +29,6 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +36,6 @@ from .common import Scratch, slices, written
 
 MAX_N, MIN_COUNT, TOP, INSIDE_PERCENT = 5, 100, 2000, 100
 PARTS, TOP_PARTS = 16, 64
-BUCKETS, SLICES, LOTS = 1 << 21, 16, (1024, 32, 1)
 PART_BYTES = 4 << 20
 # What ends a piece, and what stands between words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -85,47 +78,8 @@ def by_language(batches):
             yield from texts.items()
 
 
-def buckets_of(lang: str, words: pa.Array) -> np.ndarray:
-    """The bucket of each distinct word."""
-    seed = xxhash.xxh32_intdigest(lang)
-    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()], np.uint64).astype(np.int64) & (BUCKETS - 1)
-
-
-def bounds_table(df: DataFrame, min_count: int) -> np.ndarray:
-    """By bucket, how often its words occur together, ``min_count`` at most: a table of fixed size."""
-    kind, size = np.min_scalar_type(min_count), BUCKETS // SLICES
-
-    def count(batches):
-        counts = np.zeros(BUCKETS, np.int64)
-        for lang, texts in by_language(batches):
-            ids, words, _ = words_of(texts)
-            if len(ids):
-                np.add.at(counts, buckets_of(lang, words), np.bincount(ids))
-        if counts.any():
-            held = np.minimum(counts, min_count).astype(kind)
-            at = [TaskContext.get().partitionId()] * SLICES
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(at, pa.int32()), pa.array([held[i * size : (i + 1) * size].tobytes() for i in range(SLICES)], pa.binary())], ["slice", "lot", "counts"])
-
-    def summed(rows: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.int64)
-        for data in rows.column("counts").to_pylist():
-            total = np.minimum(total + np.frombuffer(data, kind), min_count)
-        return pa.table({"slice": rows.column("slice")[:1], "lot": rows.column("lot")[:1], "counts": pa.array([total.astype(kind).tobytes()], pa.binary())})
-
-    schema = "slice int, lot int, counts binary"
-    parts = df.mapInArrow(count, schema)
-    for lots in LOTS:  # few tables of a slice meet in a task
-        parts = parts.withColumn("lot", F.col("lot") % lots).groupBy("slice", "lot").applyInArrow(summed, schema)
-    table = np.zeros(BUCKETS, kind)
-    for r in parts.collect():  # BUCKETS numbers in all
-        table[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["counts"], kind)
-    return table
-
-
 def distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The first place of each distinct row of whole numbers from -1 up, in their order, and how often it occurs."""
-    if not len(columns[0]):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     code = np.unique(columns[0], return_inverse=True)[1]
     for column in columns[1:]:
         code = np.unique(code * (int(column.max()) + 2) + column + 1, return_inverse=True)[1]
@@ -133,8 +87,8 @@ def distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first, count
 
 
-def suffixes(df: DataFrame, table: np.ndarray, min_count: int, max_n: int) -> DataFrame:
-    """(key, n): the language and a suffix, joined by 0x00, and its places; a key of only the language stands for all its words.
+def suffixes(df: DataFrame, max_n: int) -> DataFrame:
+    """(key, n): the language and a suffix, joined by 0x00, and its places.
 
     Those of a part of the texts come in reverse order, which sorts and packs well.
     """
@@ -148,15 +102,12 @@ def suffixes(df: DataFrame, table: np.ndarray, min_count: int, max_n: int) -> Da
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
             words, ids = words.take(pa.array(order)), rank[ids]
-            sure = (table[buckets_of(lang, words)] >= min_count)[ids]
-            goes_on = np.append(together[:-1] & sure[1:], False)
-            at = np.flatnonzero(sure)
-            columns, inside = [ids[at]], np.ones(len(at), bool)
+            at, inside, columns = np.arange(len(ids)), np.ones(len(ids), bool), [ids]
             for k in range(1, max_n):
-                inside = inside & goes_on[np.minimum(at + k - 1, len(ids) - 1)]
+                inside = inside & together[np.minimum(at + k - 1, len(ids) - 1)]
                 columns.append(np.where(inside, ids[np.minimum(at + k, len(ids) - 1)], -1))
-            first, n = distinct_rows(columns)
-            columns, n = [np.append(c[first[::-1]], -1) for c in columns], np.append(n[::-1], len(ids))
+            first, n = (x[::-1] for x in distinct_rows(columns))
+            columns = [c[first] for c in columns]
             rest = [words.take(pa.array(np.maximum(c, 0), mask=c < 0)) for c in columns]
             keys = pc.binary_join_element_wise(pa.scalar(language_key(lang), pa.large_binary()), *rest, pa.scalar(b"\0", pa.large_binary()), null_handling="skip")
             for at in range(0, len(n), 10_000):
@@ -183,7 +134,7 @@ def places_of_words(keys: list[bytes], depth: int) -> np.ndarray:
 def prefix_counts(depth: int, whole_from: int, min_count: int):
     """For ``mapInArrow``: (lang, phrase, n) of the prefixes of keys (key, n) in reverse lexicographic order, by one stack.
 
-    Keys have ``depth`` words at most, the language first; a language counts only keys of its own.  Prefixes of ``whole_from`` words and
+    Keys have ``depth`` words at most, the language first.  Prefixes of ``whole_from`` words and
     more do not occur elsewhere and are left out below ``min_count``.
     """
 
@@ -204,17 +155,16 @@ def prefix_counts(depth: int, whole_from: int, min_count: int):
             same = np.zeros(places.shape, bool)
             same[1:] = np.logical_and.accumulate((places[1:] == places[:-1]) & (places[1:] >= 0), axis=1)
             sums, total = np.concatenate([[0], np.cumsum(n)]), stack
-            sums_alone = np.concatenate([[0], np.cumsum(np.where(places[:, 1] < 0, n, 0))])  # of keys that are a language
             stack, rows, depths, counts = np.zeros(depth, np.int64), [], [], []
             for d in range(depth):
                 begin = np.flatnonzero(~same[:, d])
                 end = np.append(begin[1:], len(n))
                 held = places[begin, d] >= 0
-                count = sums[end] - sums[begin] if d else sums_alone[end] - sums_alone[begin]
+                count = sums[end] - sums[begin]
                 count[0] += total[d]  # goes on from the batch before
                 if held[-1]:
                     stack[d], held[-1] = count[-1], False
-                good = held & (count > 0) & ((count >= min_count) | (d < whole_from))
+                good = held & ((count >= min_count) | (d < whole_from))
                 rows.append(begin[good])
                 depths.append(np.full(good.sum(), d))
                 counts.append(count[good])
@@ -231,7 +181,7 @@ def prefix_counts(depth: int, whole_from: int, min_count: int):
 def phrase_counts(df: DataFrame, text_col: str, lang_col: str, max_n: int, min_count: int) -> DataFrame:
     """(lang, phrase, n) of all phrases of up to ``max_n`` words with ``min_count`` occurrences or more, and of the empty phrase: the words of a language."""
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    each = suffixes(rows, bounds_table(rows, min_count), min_count, max_n)
+    each = suffixes(rows, max_n)
     words = lambda k: F.substring_index(F.col("key").cast("string"), "\0", k)  # noqa: E731  the first of a key, its language among them
     dealt = each.repartition(words(2), F.pmod(F.xxhash64(words(3)), F.lit(PARTS))).sortWithinPartitions(F.desc("key"))
     parts = dealt.mapInArrow(prefix_counts(1 + max_n, 2, min_count), "lang string, phrase binary, n long")
