@@ -13,9 +13,10 @@ rarest first, over all documents.  Then, with need = ceil(threshold * template s
 * positional filter: for the common word at place p of the template and q of the
   block, min(p, q) + 1 + min(words after p, words after q) is at least ``need``.
 
-What passes is verified by counting: a line as it is; windows from each template word
-that is near enough to the place, as a window that starts elsewhere holds no more than
-the one from its first template word.  The filters only skip pairs that cannot match,
+What passes is verified by counting: a line as it is; of the windows that hold the place, those that start
+with a template word and those that end before a word that the rules bar.  Any other window holds no
+more than one of them: moved on to its first template word it loses nothing, unless that takes in a barred word, and
+then the one that ends before that word loses nothing.  The filters only skip pairs that cannot match,
 so every match is found.  The templates are a parameter of the caller's, a few rows
 that are broadcast; no text is shuffled, only (digest of the text, labels, score) of
 texts that match and the result's own columns.
@@ -152,7 +153,7 @@ def license_matches(df: DataFrame, text_col: str = "text", templates=TEMPLATES,
 
     def near(x: Column) -> Column:
         first = F.greatest(x["i"] - around + 1, F.lit(0))
-        return F.struct(x["w"].alias("token"), (x["i"] - first).alias("at"), F.slice("words", first + 1, x["i"] - first + around).alias("context"))
+        return F.struct(x["w"].alias("token"), (x["i"] - first).alias("at"), F.slice("words", first + 1, x["i"] - first + around + 1).alias("context"))
 
     places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(prefix, x["w"]))
     windows = texts.select("key", F.inline(F.transform(places, near)))
@@ -171,7 +172,9 @@ def license_matches(df: DataFrame, text_col: str = "text", templates=TEMPLATES,
         allowed = (F.size(F.array_intersect("musts", block)) == F.size("musts")) & ~F.arrays_overlap("bars", block)
         return F.when(allowed, F.size(F.array_intersect("template", block))).otherwise(0)
 
-    starts = F.filter(F.sequence(F.greatest(F.col("at") - F.col("length") + 1, F.lit(0)), "at"), lambda i: F.array_contains("template", F.get("context", i)))
+    has = lambda words, i: F.coalesce(F.array_contains(words, F.get("context", i)), F.lit(False))
+    starts = F.sequence(F.greatest(F.col("at") - F.col("length") + 1, F.lit(0)), "at")
+    starts = F.filter(starts, lambda i: has("template", i) | has("bars", i + F.col("length")))
     best = F.array_max(F.transform(starts, lambda i: common(F.slice("context", i + 1, F.col("length")))))
     found = pairs.select("key", "label", "size", "need", F.when(F.col("at").isNull(), common(F.col("context"))).otherwise(best).alias("n")).where("n >= need")
     # as many labels as there are templates at most

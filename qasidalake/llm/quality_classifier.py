@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, parts_of
+from .common import Scratch, free_name, parts_of, written
 
 #: Labelled rows that are trained on at most; a parameter of ``fitted``.
 LABELLED = 6_000
@@ -242,17 +242,18 @@ def both_views(features) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _vectors(df: DataFrame, text_col: str, lang_col: str, source_col: str, id_col: str, label) -> DataFrame:
-    """(sample_id, digest, features, label) of every row; the features are bytes."""
+    """(id, sample_id, digest, features, label) of every row: the id as it is and as a string; the features are bytes."""
 
     def run(batches):
         for batch in parts_of(batches, 2):
-            lang, source, text, y, own = (c.to_pylist() for c in batch.columns)
+            lang, source, text, y, own = (c.to_pylist() for c in batch.columns[:5])
             found = [text_features(t or b"").tobytes() + meta_features(a, s, t or b"").tobytes() for a, s, t in zip(lang, source, text)]
-            arrays = [pa.array(own, pa.string()), pa.array([digest_of(f) for f in found], pa.int64()), pa.array(found, pa.binary()), pa.array(y, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, ["sample_id", "digest", "features", "label"])
+            arrays = [batch.column(5), pa.array(own, pa.string()), pa.array([digest_of(f) for f in found], pa.int64()), pa.array(found, pa.binary()), pa.array(y, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "sample_id", "digest", "features", "label"])
 
-    rows = df.select(F.col(lang_col).cast("string"), F.col(source_col).cast("string"), F.col(text_col).cast("string").cast("binary"), label, F.col(id_col).cast("string"))
-    return rows.mapInArrow(run, "sample_id string, digest long, features binary, label int")
+    held = (F.col(lang_col).cast("string"), F.col(source_col).cast("string"), F.col(text_col).cast("string").cast("binary"), label, F.col(id_col).cast("string"), F.col(id_col))
+    rows = df.select(*(c.alias(name) for c, name in zip(held, ("lang", "source", "text", "label", "sample_id", "id"))))
+    return rows.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, sample_id string, digest long, features binary, label int")
 
 
 def _gathered(vectors: DataFrame) -> tuple:
@@ -278,8 +279,8 @@ def _surest(vectors: DataFrame, marked: DataFrame):
     def surest(models, given):
         def run(batches):
             for batch in batches:
-                by = [pa.array(rank_logits(m, v)) for m, v in zip(models, both_views(batch.column(2).to_pylist()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *by], ["sample_id", "digest", "by0", "by1"])
+                by = [pa.array(rank_logits(m, v)) for m, v in zip(models, both_views(batch.column("features").to_pylist()))]
+                yield pa.RecordBatch.from_arrays([batch.column("sample_id"), batch.column("digest"), *by], ["sample_id", "digest", "by0", "by1"])
 
         sure = vectors.mapInArrow(run, "sample_id string, digest long, by0 double, by1 double").where(f"greatest(abs(by0), abs(by1)) > {SURE}")
         sure = sure.join(marked.select("sample_id"), "sample_id", "left_anti").groupBy("digest").agg(F.min("by0").alias("by0"), F.min("by1").alias("by1"))
@@ -295,24 +296,32 @@ def _surest(vectors: DataFrame, marked: DataFrame):
     return surest
 
 
-def fitted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", labelled: int = LABELLED, keep: float = KEEP) -> CoTrained:
-    """The classifier trained on a bounded sample of ``labels`` (id, 0 or 1) and on what it is most sure of among all other rows of ``df``."""
+def _stored(df: DataFrame, scratch: Scratch, text_col: str, lang_col: str, source_col: str, id_col: str) -> DataFrame:
+    """``_vectors`` of all rows, written."""
+    return scratch.written(_vectors(df, text_col, lang_col, source_col, id_col, F.lit(None).cast("int")), "vectors")
+
+
+def _fitted(vectors: DataFrame, labels: DataFrame, id_col: str, label_col: str, labelled: int, keep: float) -> CoTrained:
     marked = labels.select(F.col(id_col).cast("string").alias("sample_id"), F.col(label_col).cast("int").alias("sample_label")).where("sample_label IS NOT NULL AND sample_id IS NOT NULL")
     marked = marked.groupBy("sample_id").agg(F.min("sample_label").alias("sample_label"))
     turn = F.xxhash64("sample_id", F.lit(29))
     some = [marked.where(F.col("sample_label") == y).withColumn("turn", turn).orderBy("turn", "sample_id").limit(labelled // 2).drop("turn") for y in (0, 1)]
+    known = vectors.join(F.broadcast(some[0].unionByName(some[1])), "sample_id")
+    text, meta, y = _gathered(known.select("sample_id", "features", F.col("sample_label").alias("label")))
+    return CoTrained(text, meta, y, _surest(vectors, marked), keep)
+
+
+def fitted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", labelled: int = LABELLED, keep: float = KEEP) -> CoTrained:
+    """The classifier trained on a bounded sample of ``labels`` (id, 0 or 1) and on what it is most sure of among all other rows of ``df``."""
     scratch = Scratch(df.sparkSession, "quality-features")
     try:
-        vectors = scratch.written(_vectors(df, text_col, lang_col, source_col, id_col, F.lit(None).cast("int")), "vectors")
-        known = vectors.join(F.broadcast(some[0].unionByName(some[1])), "sample_id")
-        text, meta, y = _gathered(known.select("sample_id", "features", F.col("sample_label").alias("label")))
-        return CoTrained(text, meta, y, _surest(vectors, marked), keep)
+        return _fitted(_stored(df, scratch, text_col, lang_col, source_col, id_col), labels, id_col, label_col, labelled, keep)
     finally:
         scratch.clear()
 
 
-def _scored(df: DataFrame, model: CoTrained, text_col: str, lang_col: str, source_col: str, kept_only: bool, id_col: str | None = None) -> DataFrame:
-    """All columns of the kept rows, or (id, p_text, p_meta, score, kept) of all rows."""
+def _kept_rows(df: DataFrame, model: CoTrained, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """The rows that are not rejected, with all columns."""
     columns = df.columns
     at = [columns.index(c) for c in (text_col, lang_col, source_col)]
 
@@ -320,33 +329,33 @@ def _scored(df: DataFrame, model: CoTrained, text_col: str, lang_col: str, sourc
         for batch in parts_of(batches, at[0]):
             text, lang, source = (batch.column(i).to_pylist() for i in at)
             text = [(t or "").encode() for t in text]
-            if not text:
-                continue
-            by_text, by_meta, score = model.scores(
-                np.array([text_features(t) for t in text]),
-                np.array([meta_features(a and str(a), s and str(s), t) for a, s, t in zip(lang, source, text)]),
-            )
-            kept = pa.array(score >= model.threshold)
-            if kept_only:
-                yield batch.filter(kept)
-            else:
-                arrays = [batch.column(columns.index(id_col)), pa.array(by_text), pa.array(by_meta), pa.array(score), kept]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "p_text", "p_meta", "score", "kept"])
-
-    if kept_only:
-        return df.mapInArrow(run, df.schema)
-    out = df.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, p_text double, p_meta double, score double, kept boolean")
-    return out.withColumnRenamed("id", free_name(["p_text", "p_meta", "score", "kept"], id_col))
+            if text:
+                meta = np.array([meta_features(a and str(a), s and str(s), t) for a, s, t in zip(lang, source, text)])
+                score = model.scores(np.array([text_features(t) for t in text]), meta)[2]
+                yield batch.filter(pa.array(score >= model.threshold))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality") -> DataFrame:
-    """(id, p_text, p_meta, score, kept) of every row."""
-    model = fitted(df, labels, id_col, text_col, lang_col, source_col, label_col)
-    rows = df.select(F.col(id_col), *(F.col(c).cast("string") for c in (text_col, lang_col, source_col)))
-    return _scored(rows, model, text_col, lang_col, source_col, False, id_col)
+    """(id, p_text, p_meta, score, kept) of every row, from the features that the training stored."""
+    scratch, names = Scratch(df.sparkSession, "quality-features"), ["p_text", "p_meta", "score", "kept"]
+    try:
+        vectors = _stored(df, scratch, text_col, lang_col, source_col, id_col)
+        model = _fitted(vectors, labels, id_col, label_col, LABELLED, KEEP)
+
+        def run(batches):
+            for batch in batches:
+                scores = model.scores(*both_views(batch.column("features").to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, scores), pa.array(scores[2] >= model.threshold)], ["id", *names])
+
+        found = vectors.select("id", "features").mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, p_text double, p_meta double, score double, kept boolean")
+        found = written(found, "quality-scores")
+    finally:
+        scratch.clear()
+    return found.withColumnRenamed("id", free_name(names, id_col))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality") -> DataFrame:
     """The rows of ``df`` that are not rejected, with all its columns."""
-    model = fitted(df, labels, id_col, text_col, lang_col, source_col, label_col)
-    return _scored(df, model, text_col, lang_col, source_col, True)
+    return _kept_rows(df, fitted(df, labels, id_col, text_col, lang_col, source_col, label_col), text_col, lang_col, source_col)

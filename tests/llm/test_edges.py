@@ -289,14 +289,17 @@ def test_licenses_told_apart(spark):
     assert [found[len(others) + i] for i in range(7)] == [*((x, 1.0) for x in [*own.values()] * 2), ("", 0.0), ("", 0.0), ("cc-by-nc", 1.0)]
 
 
-def test_license_windows_by_brute_force(spark):
-    """Every window and line of texts of template words in any order, without the filters."""
-    rng, texts = random.Random(4), []
-    for _ in range(60):
+@pytest.mark.parametrize("seed, n, fill", [(4, 60, []), (9, 150, sorted({w for _, bars in licenses.RULES.values() for w in bars}))])
+def test_license_windows_by_brute_force(spark, seed, n, fill):
+    """Every window and line of texts of template words in any order, without the filters; with words that rules bar among them, too."""
+    rng, texts = random.Random(seed), []
+    if fill:  # the only allowed window starts before the first template word
+        texts.append("zz qq work licensed under a creative commons attribution 4 0 international license for commercial use")
+    for _ in range(n):
         words = []
         for _ in range(3):
             _, text = rng.choice(licenses.TEMPLATES)
-            words += [w for w in licenses.template_words(text) if rng.random() < 0.9] + rng.sample(WORDS, rng.randint(0, 4))
+            words += [w for w in licenses.template_words(text) if rng.random() < 0.9] + rng.sample(WORDS, rng.randint(0, 4)) + rng.sample(fill, min(len(fill), rng.randint(0, 1)))
         texts.append("".join(w + rng.choice("  \n") for w in words))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_labels(df).collect()}
