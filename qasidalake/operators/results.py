@@ -1,4 +1,8 @@
-"""What happens to found rows: order, groups of equal text, pages."""
+"""What happens to found rows: order, groups of equal text, pages.
+
+Results with a cap are ordered by short windows.  For results without one there are ``ranked_all``,
+``sorted_all`` and ``grouped_all``: places come out of a sort by ranges and the sizes of its partitions.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_line, without_marks
+from ..sources.snapshots import written
 
 LINE_COUNT, RELEVANCE = "line_count_desc", "relevance"
 
@@ -25,9 +30,48 @@ def order_of(mode: str | None) -> list[Column]:
 
 def sorted_results(found: DataFrame, mode: str | None = None) -> DataFrame:
     """With ``position``, from 0; found rows are capped, so their order is one short window."""
+    if "rank" not in found.columns:
+        raise ValueError("rows without a rank have no cap: use sorted_all")
     return found.withColumn("position", F.row_number().over(Window.orderBy(*order_of(mode))) - 1)
 
 
+def positions(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """With ``name``, the place of each row in ``order``, from 0; ``order`` should tell all rows apart.
+
+    Rows are dealt out by ranges and sorted there, written once with their places in their partitions, and read
+    again; a partition's first place is the sum of the sizes of those before it.
+    """
+    within, part = f"{name}_within", f"{name}_part"
+    numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(within, F.monotonically_increasing_id())
+    stored = written(numbered.withColumns({part: F.shiftright(within, 33), within: F.col(within).bitwiseAND(F.lit((1 << 33) - 1))}), name)
+    sizes = stored.groupBy(part).agg(F.count(F.lit(1)).alias("size"))  # a row for each partition
+    before = F.sum("size").over(Window.orderBy(part)) - F.col("size")
+    return stored.join(F.broadcast(sizes.select(part, before.alias("before"))), part).withColumn(name, F.col(within) + F.col("before")).select(*rows.columns, name)
+
+
+def _own_id(found: DataFrame) -> str:
+    return "line_id" if "line_id" in found.columns else "poem_id"
+
+
+def ranked_all(found: DataFrame) -> DataFrame:
+    """Results without a cap, with the rank that a search gives: by source, tightness and id, from 1."""
+    order = [F.col("source_rank"), F.desc("tightness"), F.col(_own_id(found))]
+    return positions(found.drop("rank"), order, "rank").withColumn("rank", F.col("rank") + 1)
+
+
+def sorted_all(found: DataFrame, mode: str | None = None) -> DataFrame:
+    """Results without a cap, with ``position``, from 0."""
+    by_lines = [] if sort_mode(mode) == RELEVANCE else [F.desc("line_count")]
+    return positions(found.drop("rank"), [F.col("source_rank"), *by_lines, F.desc("tightness"), F.col(_own_id(found))], "position")
+
+
+def grouped_all(ordered: DataFrame, text_col: str) -> DataFrame:
+    """As ``grouped``, for any number of rows; ``duplicates`` counts the rest of a group, which may be large."""
+    key = F.md5(without_marks(clean_line(F.col(text_col))).cast("binary"))
+    groups = ordered.groupBy(key.alias("key")).agg(F.min(F.struct("position", *[c for c in ordered.columns if c != "position"])).alias("shown"), (F.count(F.lit(1)) - 1).alias("duplicates"))
+    return positions(groups.select("shown.*", "duplicates"), [F.col("position")], "group")
+
+
 def grouped(ordered: DataFrame, text_col: str) -> DataFrame:
     """Rows of equal text (but for marks and tatweel) as one: the first is shown, the rest are counted and listed.
 
@@ -59,7 +103,7 @@ class Page:
 
 
 def page_rows(title_groups: DataFrame, line_groups: DataFrame, page: int, size: int = 100) -> DataFrame:
-    """(section, group) of the rows that a page shows."""
+    """The rows that a page shows, with their section and group."""
     counts = [df.count() for df in (title_groups, line_groups)]
     shown = Page.of(*counts, page, size)
     parts = []

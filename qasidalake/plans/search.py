@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tightness
-from ..sources.corpus import SOURCES, Corpus
+from ..sources.corpus import Corpus
 from .boolean import Term, parse
 
 CANDIDATE_CAP, RESULT_CAP = 8000, 5000
@@ -33,12 +33,21 @@ def poem_sources(corpus: Corpus) -> DataFrame:
     return own.unionByName(corpus.poem_alias.select("poem_id", "source_id")).where("source_id IS NOT NULL").distinct()
 
 
+def source_order(corpus: Corpus, names: list[str] | None = None) -> tuple[int, ...]:
+    """The ids of the corpus's own sources in order of priority; of those named, where some are, in the order asked for.
+
+    Names that the corpus does not have are left out; no name, or only such, means all.
+    """
+    known = {r["name"]: r["id"] for r in corpus.source.select("id", "name").orderBy(F.desc("id")).collect()}  # a row for each source
+    return tuple(known[n] for n in names or () if n in known) or tuple(sorted(known.values()))
+
+
 @dataclass(frozen=True)
 class Ask:
-    """What to search and how much to return; ``None`` for a cap is no cap, for sources all in their order.
+    """What to search and how much to return; ``None`` for a cap is no cap, for sources all in the order of their ids.
 
-    ``postings`` looks lines up by the trigrams of the query before they are read,
-    where the corpus has postings and every match holds three characters or more.
+    ``postings`` looks lines up by the rarest trigrams of the query before they are read, where the
+    corpus has postings, every match holds three characters or more and a scan is not cheaper.
     """
 
     titles: bool = False
@@ -49,16 +58,6 @@ class Ask:
     postings: bool = False
 
 
-def lines_with(postings: DataFrame, probes: list[str]) -> DataFrame:
-    """(line_id) of the lines that hold all trigrams of one of the probes: a superset of those that hold a probe."""
-    found = None
-    for probe in probes:
-        grams = list(dict.fromkeys(probe[i : i + 3] for i in range(len(probe) - 2)))
-        own = postings.where(F.col("gram").isin(grams)).groupBy("line_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select("line_id")
-        found = own if found is None else found.unionByName(own)
-    return found
-
-
 def candidates_capped(rows: DataFrame, cap: int) -> DataFrame:
     """Of each source the ``cap`` rows of least id, dealt out again for the work that follows."""
     spark = rows.sparkSession
@@ -84,8 +83,9 @@ def search(corpus: Corpus, query, ask: Ask = Ask()) -> DataFrame:
     else:
         lines = corpus.lines
         probes = term.drivers() if ask.postings and corpus.postings is not None and term is not None else None
-        if probes:
-            lines = lines.join(lines_with(corpus.postings, probes), lines["id"] == F.col("line_id"), "left_semi")
+        held = corpus.postings.lines_with(probes) if probes else None
+        if held is not None:
+            lines = lines.join(held, lines["id"] == F.col("line_id"), "left_semi")
         lines = lines.select("poem_id", F.col("id").alias("row_id"), F.coalesce("line", F.lit("")).alias("original"), "plain", "stripped")
         rows = lines.join(poem.drop("title_plain", "title_stripped"), "poem_id")
     rows = rows.where(F.lit(False)) if term is None else rows
@@ -97,9 +97,10 @@ def search(corpus: Corpus, query, ask: Ask = Ask()) -> DataFrame:
         rows = rows.join(poet.where(F.col("poet") == ask.poet), "poet_id")
     else:
         rows = rows.join(poet, "poet_id", "left")
-    order = tuple(i for i, _, _ in SOURCES) if ask.sources is None else ask.sources
-    ranks = F.coalesce(*(F.when(F.col("source_id") == s, F.lit(i)) for i, s in enumerate(order)), F.lit(None).cast("int"))
-    held = poem_sources(corpus).where(F.col("source_id").isin(list(order)))
+    held, ranks = poem_sources(corpus), F.col("source_id")
+    if ask.sources is not None:
+        ranks = F.coalesce(*(F.when(F.col("source_id") == s, F.lit(i)) for i, s in enumerate(ask.sources)), F.lit(None).cast("int"))
+        held = held.where(F.col("source_id").isin(list(ask.sources)))
     rows = rows.join(held, "poem_id").withColumn("source_rank", ranks)
     if ask.candidate_cap is not None:
         rows = candidates_capped(rows, ask.candidate_cap)

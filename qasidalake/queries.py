@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,6 +12,8 @@ from .functions import text as T
 from .operators import browse, poem_dedup, poet_names, results, schema_etl
 from .plans import search as S
 from .sources import corpus as C
+from .sources.index import open_index, refresh
+from .sources.snapshots import fingerprint, shared_folder
 
 _ARABIC = str.maketrans(C.LATIN, C.ARABIC)
 #: A probe of two letters, of three, and a phrase, as they come in the derived corpus.
@@ -32,21 +33,10 @@ def corpus(spark, sf_dir):
     return C.replace(found, lines=found.lines.drop("plain", "stripped"), poem=found.poem.drop("title_plain", "title_stripped"), postings=None)
 
 
-def _shared(spark) -> str:
-    """The folder in ``spark.checkpoint.dir``; only a local session (as in tests) may do without and takes a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="qasidalake-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def indexed(spark, sf_dir):
-    """The corpus with its index, which the first query over a folder stores for those that follow in the application."""
-    name = hashlib.md5(sf_dir.encode(), usedforsecurity=False).hexdigest()
-    return C.open_index(spark, f"{_shared(spark)}/verse-{spark.sparkContext.applicationId}-{name}", lambda: C.corpus_of_documents(spark, documents(spark, sf_dir)))
+    """The corpus with its index, which the first query over a folder stores for those that follow in the application; changed documents are taken in."""
+    name, table = hashlib.md5(sf_dir.encode(), usedforsecurity=False).hexdigest(), documents(spark, sf_dir)
+    return open_index(spark, f"{shared_folder(spark)}/verse-{spark.sparkContext.applicationId}-{name}", lambda: C.corpus_of_documents(spark, table), fingerprint(table))
 
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -134,6 +124,27 @@ def bool_postings(spark, sf_dir):
     return S.search(indexed(spark, sf_dir), S.parse(f"{THE} + {THAT}"), S.Ask(postings=True)).select("poem_id", "line_id", *SHOWN)
 
 
+_RARE = f"{PHRASE} {THAT}"
+
+
+@query("bool_or_postings", O.found(f"(?:{O.letters(_RARE)}|{O.letters(THAT + THE)})", f"({O.has(_RARE)} OR {O.has(THAT + THE)})", candidates=10**9, results=10**9).split("chars AS (")[0].rstrip().rstrip(",") + " SELECT poem_id, row_id AS line_id, source_id FROM hits")
+def bool_or_postings(spark, sf_dir):
+    """An OR of two rare terms, each looked up by its rarest trigrams; all matches."""
+    expr = S.parse(f"{_RARE} | {THAT}{THE}")
+    return S.search(indexed(spark, sf_dir), expr, S.Ask(candidate_cap=None, result_cap=None, postings=True)).select("poem_id", "line_id", "source_id")
+
+
+@query("index_refreshed", f"{O.CORPUS} SELECT id, poem_id, {O.strip_punct('line')} AS stripped, {O.strip_all('line')} AS plain FROM lines")
+def index_refreshed(spark, sf_dir):
+    """An index of an older state of all documents (some absent, some of other text, some more) brought up to the present one."""
+    docs, folder = documents(spark, sf_dir), f"{shared_folder(spark)}/verse-delta-{uuid.uuid4().hex}"
+    older = docs.where("doc_id % 11 <> 3").withColumn("text", F.when(F.col("doc_id") % 7 == 2, F.concat(F.lit("old\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    older = older.unionByName(docs.where("doc_id % 13 = 5").withColumn("doc_id", F.col("doc_id") + 10**9).withColumn("text", F.concat(F.lit("gone "), "text")))
+    refresh(spark, folder, C.corpus_of_documents(spark, older), "older")
+    found = open_index(spark, folder, lambda: C.corpus_of_documents(spark, docs), fingerprint(docs))
+    return found.lines.select("id", "poem_id", "stripped", "plain")
+
+
 @query("normalized_lines", f"{O.CORPUS} SELECT id, {O.strip_punct('line')} AS stripped, {O.strip_all('line')} AS plain FROM lines")
 def normalized_lines(spark, sf_dir):
     return C.build_index(corpus(spark, sf_dir)).lines.select("id", "stripped", "plain")
@@ -191,6 +202,40 @@ def page_of_lines(spark, sf_dir):
     return results.page_rows(groups.limit(0), groups, 1).select("group", "line_id")
 
 
+_ALL = dict(candidates=10**9, results=10**9)
+_TITLES, _LINES = (_GROUPED.replace(_FOUND, O.found(O.letters(THE), O.has(THE), titles=t, **_ALL)) for t in (True, False))
+
+
+def _groups_of_all(spark, sf_dir, **ask):
+    found = _found(spark, sf_dir, candidate_cap=None, result_cap=None, **ask)
+    return results.grouped_all(results.sorted_all(found.drop("spans")), "original")
+
+
+@query("rank_all_lines", O.found(O.letters(THE), O.has(THE), **_ALL) + "SELECT row_id AS line_id, source_id, rank::BIGINT AS rank FROM found")
+def rank_all_lines(spark, sf_dir):
+    """All matches without any cap, ranked."""
+    found = _found(spark, sf_dir, candidate_cap=None, result_cap=None)
+    return results.ranked_all(found.drop("spans")).select("line_id", "source_id", "rank")
+
+
+@query("group_all_lines", _LINES + 'SELECT "group"::BIGINT AS "group", poem_id, line_id, position::BIGINT AS position, duplicates::BIGINT AS duplicates FROM grouped')
+def group_all_lines(spark, sf_dir):
+    """All matches without any cap, in groups of equal text."""
+    return _groups_of_all(spark, sf_dir).select("group", "poem_id", "line_id", "position", "duplicates")
+
+
+@query(
+    "page_of_titles_and_lines",
+    f"""WITH titles AS ({_TITLES} SELECT "group", poem_id FROM grouped), every AS ({_LINES} SELECT "group", poem_id FROM grouped),
+shown AS (SELECT 'title' AS section, "group", poem_id, "group" AS place FROM titles UNION ALL SELECT 'line', "group", poem_id, "group" + (SELECT count(*) FROM titles) FROM every)
+SELECT section, "group"::BIGINT AS "group", poem_id FROM shown, (SELECT (SELECT count(*) FROM titles) // 40 AS page) WHERE place // 40 = page""",
+)
+def page_of_titles_and_lines(spark, sf_dir):
+    """The page of 40 on which titles end and lines begin, of all matches."""
+    titles, lines = _groups_of_all(spark, sf_dir, titles=True), _groups_of_all(spark, sf_dir)
+    return results.page_rows(titles, lines, titles.count() // 40, 40).select("section", "group", "poem_id")
+
+
 @query("poets_by_count", f"{O.CORPUS} SELECT poet.id, poet.name, count(poem.id) AS poems FROM poet LEFT JOIN poem ON poet_id = poet.id GROUP BY ALL")
 def poets_by_count(spark, sf_dir):
     return browse.poets_by_count(corpus(spark, sf_dir))

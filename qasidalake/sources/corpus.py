@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import first_half, strip_all, strip_punct
 
+if TYPE_CHECKING:
+    from .index import Postings
+
 # The sources of a corpus in order of priority, a place being the source_id.
 SOURCES = (
     (0, "موسوعة أم القرى", "https://uqu.edu.sa/App/Poetry/Poems/"),
@@ -38,8 +42,8 @@ class Corpus:
     type: DataFrame
     source: DataFrame
     poem_alias: DataFrame
-    #: (gram, line_id), where the corpus is stored with its index.
-    postings: DataFrame | None = None
+    #: The blocks of trigrams, where the corpus is stored with its index.
+    postings: Postings | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in SCHEMAS}
@@ -70,68 +74,32 @@ def write_corpus(corpus: Corpus, folder: str, lean: bool = False) -> None:
         table.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
-def build_index(corpus: Corpus) -> Corpus:
-    """The corpus with its derived columns; running it again changes nothing.
+def with_derived(lines: DataFrame) -> DataFrame:
+    """Lines with ``plain`` (the coarse key) and ``stripped`` (what patterns run on)."""
+    return lines.withColumns({"plain": strip_all(F.coalesce("line", F.lit(""))), "stripped": strip_punct(F.coalesce("line", F.lit("")))})
 
-    Lines get ``plain`` (the coarse key) and ``stripped`` (what patterns run on),
-    poems the same of their titles and a line count where they have none.
-    """
-    lines = corpus.lines.withColumns({"plain": strip_all(F.coalesce("line", F.lit(""))), "stripped": strip_punct(F.coalesce("line", F.lit("")))})
-    counts = corpus.lines.groupBy(F.col("poem_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("counted"))
+
+def with_titles(corpus: Corpus) -> Corpus:
+    """Poems with the same columns of their titles, and a line count where they have none."""
+    blank = corpus.poem.where("line_count IS NULL").select(F.col("id").alias("poem_id"))
+    counts = corpus.lines.join(blank, "poem_id", "left_semi").groupBy(F.col("poem_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("counted"))
     poem = corpus.poem.join(counts, "id", "left").withColumn("line_count", F.coalesce("line_count", "counted", F.lit(0)).cast("int")).drop("counted")
     title = F.coalesce("title", F.lit(""))
-    return replace(corpus, lines=lines, poem=poem.withColumns({"title_plain": strip_all(title), "title_stripped": strip_punct(title)}))
-
+    return replace(corpus, poem=poem.withColumns({"title_plain": strip_all(title), "title_stripped": strip_punct(title)}))
 
-#: Of the derived columns; a stored index of another version is built anew.
-INDEX_VERSION = "2"
-GRAM_PARTS = 16
-
-
-def _version(spark: SparkSession, folder: str) -> str | None:
-    try:
-        found = spark.read.text(f"{folder}/version").head()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
-    return found[0] if found else None
 
+def build_index(corpus: Corpus) -> Corpus:
+    """The corpus with its derived columns; running it again changes nothing."""
+    return replace(with_titles(corpus), lines=with_derived(corpus.lines))
 
-def write_index(corpus: Corpus, folder: str, tasks: int | None = None) -> None:
-    """The corpus with its derived columns and postings in ``folder``; the version is written last.
 
-    Lines are dealt by ranges of their ids; postings, those of one gram in
-    ``GRAM_PARTS`` parts, are sorted by their grams, so that a scan for some of them reads
-    few row groups.
-    """
-    spark = corpus.lines.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = corpus.lines.repartitionByRange(tasks, "id").sortWithinPartitions("id")
-    build_index(replace(corpus, lines=dealt)).lines.write.mode("overwrite").parquet(f"{folder}/lines.parquet")
-    stored = spark.read.parquet(f"{folder}/lines.parquet")
-    for name, table in build_index(replace(corpus, lines=stored)).tables().items():
-        if name != "lines":
-            table.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-    postings = trigrams(stored).repartition(tasks, F.col("gram"), F.pmod(F.col("line_id"), F.lit(GRAM_PARTS)))
-    postings.sortWithinPartitions("gram", "line_id").write.mode("overwrite").parquet(f"{folder}/postings.parquet")
-    spark.createDataFrame([(INDEX_VERSION,)], "version string").coalesce(1).write.mode("overwrite").text(f"{folder}/version")
-
-
-def open_index(spark: SparkSession, folder: str, build) -> Corpus:
-    """The stored corpus; where there is none of this version, ``build()`` gives the one to be stored first."""
-    if _version(spark, folder) != INDEX_VERSION:
-        write_index(build(), folder)
-    return replace(read_corpus(spark, folder), postings=spark.read.parquet(f"{folder}/postings.parquet"))
-
-
-#: Places in a poem that ids of lines leave room for.
+#: Places in a poem that ids of lines leave room for; lines further on have negative ids.
 PLACES = 100_000
 
 
 def line_id(poem_id: Column, place: Column) -> Column:
-    """The id of a line; fails for a place that would take an id of the next poem."""
-    return F.when(place < PLACES, poem_id * PLACES + place).otherwise(F.raise_error(F.lit(f"a poem of more than {PLACES} lines")).cast("long"))
+    """The id of a line, for ids of poems from 0 to 2**32 - 1 and places from 0 to 2**31 - 1; none is given twice."""
+    return F.when(place < PLACES, poem_id * PLACES + place).otherwise(-(poem_id * (1 << 31) + place))
 
 
 def trigrams(lines: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from qasidalake.operators import browse, poem_dedup, poet_names, results
 from qasidalake.plans import search as S
 from qasidalake.plans.boolean import BooleanError, parse
 from qasidalake.sources import corpus as C
+from qasidalake.sources import index as I
+from qasidalake.sources.snapshots import Overtaken, Snapshots, fingerprint
 
 TERMS = [
     ("قال", "قَالَ الشاعر", True),
@@ -184,8 +186,8 @@ def test_write_read_and_stream(spark, tmp_path):
     assert [r["line"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("id").collect()] == ["قال = زيد", "قيل"]
 
 
-def test_stored_index(spark, tmp_path):
-    """A stored index is used as long as its version is current; the version is written last."""
+def test_stored_index(spark, tmp_path, monkeypatch):
+    """A stored index is used as long as its version is current and its input the same."""
     folder, built = str(tmp_path / "index"), []
 
     def build():
@@ -193,13 +195,91 @@ def test_stored_index(spark, tmp_path):
         return tiny(spark)
 
     for _ in range(2):
-        corpus = C.open_index(spark, folder, build)
+        corpus = I.open_index(spark, folder, build)
         assert [tuple(r) for r in S.search_lines(corpus, "قال").select("line_id", "source_id").collect()] == [(1, 0), (3, 1), (1, 3)]
         assert S.search_lines(corpus, "قال", postings=True).count() == 3
         assert S.search_lines_boolean(corpus, "قال | أخرى", postings=True).count() == S.search_lines_boolean(corpus, "قال | أخرى").count() == 4
     assert len(built) == 1
-    spark.createDataFrame([("1",)], "version string").coalesce(1).write.mode("overwrite").text(f"{folder}/version")
-    assert C.open_index(spark, folder, build).lines.count() == 5 and len(built) == 2
+    assert I.open_index(spark, folder, build, "files 1").lines.count() == 5 and len(built) == 2
+    assert I.open_index(spark, folder, build, "files 1").lines.count() == 5 and len(built) == 2
+    monkeypatch.setattr(I, "INDEX_VERSION", "4")
+    assert I.open_index(spark, folder, build, "files 1").lines.count() == 5 and len(built) == 3
+
+
+def verses(spark, poems):
+    """A corpus of poems {id: lines}, all of one poet."""
+    lines = [(i * 100 + k, i, line, k + 1, "") for i, own in poems.items() for k, line in enumerate(own)]
+    poem = [(i, 1, f"u{i}", own[0] if own else "", None, None, None, None, i % 6) for i, own in poems.items()]
+    frames = {"poem": poem, "lines": lines, "poet": [(1, "زيد")]}
+    return C.Corpus(**{n: spark.createDataFrame(frames.get(n, []), k) for n, k in C.SCHEMAS.items()})
+
+
+def test_index_follows_its_input(spark, tmp_path, monkeypatch):
+    """Added, changed and removed poems give the index of a full build, without reading the others again."""
+    folder, poems = str(tmp_path / "index"), {i: [f"قال زيد {'ابتثجح'[i % 6]}{'دذرزس'[i % 5]}ليل", f"ذهب عمرو {'شصضط'[i % 4]}"] for i in range(1, 40)}
+    steps = [{}, {5: ["قال خالد"], 41: ["ليل طويل", "قال"], 7: None}, {5: ["ذهب"], 41: None, 7: ["قال زيد"]}, {}, {8: []}, {9: ["س ليل"]}]
+    monkeypatch.setattr(I, "MOST_PARTS", 4)
+    sizes, shown = [], lambda df, *own: sorted(map(tuple, df.select(*own).collect()))
+    for n, step in enumerate(steps):
+        poems = {i: v for i, v in {**poems, **step}.items() if v is not None}
+        corpus, full = I.open_index(spark, folder, lambda: verses(spark, poems), f"state {n}"), C.build_index(verses(spark, poems))
+        _, found = I.Snapshots(spark, folder).latest()
+        sizes.append((len(found["parts"]), spark.read.parquet(f"{folder}/{found['parts'][-1]}/lines.parquet").count()))
+        for table in ("lines", "poem"):
+            own = sorted(getattr(full, table).columns)
+            assert shown(getattr(corpus, table), *own) == shown(getattr(full, table), *own)
+        for query in ("ليل", "قال | ذهب", "خالد"):
+            wanted = shown(S.search_lines_boolean(full, query), "line_id", "source_id", "rank")
+            assert shown(S.search_lines_boolean(corpus, query, postings=True), "line_id", "source_id", "rank") == wanted
+            held = {r[0] for r in corpus.postings.lines_with(query.split(" | "), share=9).collect()}
+            assert {w[0] for w in wanted} <= held
+    assert sizes == [(1, 78), (2, 3), (3, 2), (4, 0), (1, 74), (2, 1)]  # parts, lines of the last one
+
+
+def test_lookup_takes_rare_grams(spark):
+    lines = spark.createDataFrame([(i, 1, f"abcd{'xyz' if i % 50 == 0 else 'q'} w{i}", i, "") for i in range(400)], C.SCHEMAS["lines"])
+    blocks = I.posting_blocks(C.with_derived(lines).withColumn("plain", F.col("line")), 4)
+    postings = I.Postings(blocks, blocks.groupBy("gram").agg(F.sum("n").alias("lines")), 400)
+    assert postings.chosen(["abcdxyz"]) == {"abcdxyz": ["cdx", "dxy", "xyz"]}
+    assert postings.chosen(["abcd"]) is None and postings.lines_with(["abcdxyz", "abcd"]) is None
+    assert sorted(r[0] for r in postings.lines_with(["abcdxyz"]).collect()) == list(range(0, 400, 50))
+    assert {r[0] for r in postings.lines_with(["zzz", "w39"]).collect()} == {39, *range(390, 400)}
+    assert blocks.where("n > 4096 OR n <> size(ids)").isEmpty() and postings.lines_with(["none"]).isEmpty()
+
+
+def test_snapshots(spark, tmp_path):
+    """What fails or comes too late leaves the snapshot as it is."""
+    store = Snapshots(spark, str(tmp_path / "s"))
+
+    def write(text):
+        return lambda folder: spark.createDataFrame([(text,)], "a string").write.parquet(f"{folder}/a.parquet") or {"text": text}
+
+    assert store.latest() == (0, None)
+    store.commit(0, write("one"))
+    with pytest.raises(Overtaken):
+        store.commit(0, write("late"))
+    with pytest.raises(ZeroDivisionError):
+        store.commit(1, lambda folder: write("half")(folder) and 1 / 0)
+    number, found = store.latest()
+    assert (number, found["text"]) == (1, "one") and spark.read.parquet(f"{tmp_path}/s/{found['data']}/a.parquet").head()[0] == "one"
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if not p.name.startswith(".")) == ["1", found["data"]]
+    (tmp_path / "s" / "2").write_text("{")  # begun and not ended
+    assert store.latest()[0] == 1
+
+
+def test_fingerprint_sees_files(spark, tmp_path):
+    for k in (1, 2):
+        spark.range(k * 10).write.mode("append").parquet(str(tmp_path / "t"))
+        found = fingerprint(spark.read.parquet(str(tmp_path / "t")))
+        assert found == fingerprint(spark.read.parquet(str(tmp_path / "t"))) and (k == 1 or found != before)
+        before = found
+
+
+def test_any_source_is_searched(spark):
+    corpus = C.build_index(verses(spark, {i: ["قال"] for i in range(1, 9)}))
+    assert sorted(r["source_id"] for r in S.search_lines(corpus, "قال").collect()) == [0, 1, 1, 2, 2, 3, 4, 5]
+    known = C.replace(corpus, source=spark.createDataFrame([(4, "d", None), (2, "b", None)], C.SCHEMAS["source"]))
+    assert S.source_order(known) == (2, 4) and S.source_order(known, ["d", "x", "b"]) == (4, 2) and S.source_order(known, ["x"]) == (2, 4)
 
 
 def test_candidates_are_cut_before_they_are_shuffled(spark):
@@ -218,11 +298,40 @@ def test_halves_are_trimmed_of_any_space(spark):
     assert tuple(df.select(T.first_half(F.col("l")), T.second_half(F.col("l"))).first()) == ("a b", "c")
 
 
-def test_lines_without_room(spark):
-    df = spark.createDataFrame([(1, 99_999), (1, 100_000)], "p long, at int").select(C.line_id(F.col("p"), F.col("at")).alias("id"))
-    assert df.limit(1).first()[0] == 199_999
-    with pytest.raises(Exception, match="more than 100000 lines"):
-        df.collect()
+def test_lines_beyond_their_places(spark):
+    rows = spark.createDataFrame([(3, C.PLACES - 1), (3, C.PLACES), (3, C.PLACES + 1), (4, 0), (4, C.PLACES)], "id long, pos int")
+    assert [r[0] for r in rows.select(C.line_id(F.col("id"), F.col("pos"))).collect()] == [399_999, -(3 << 31) - C.PLACES, -(3 << 31) - C.PLACES - 1, 400_000, -(4 << 31) - C.PLACES]
+    docs = spark.createDataFrame([(1, "x\n" * 100_500, "en", "s"), (2, "the", "en", "s")], "doc_id long, text string, lang string, source string")
+    lines = C.corpus_of_documents(spark, docs).lines
+    assert lines.count() == lines.select("id").distinct().count() == 100_502
+
+
+def test_positions_of_all(spark):
+    """Places over all partitions, groups and pages without one task for all rows."""
+    import random
+
+    pick = random.Random(2)
+    rows = [(pick.randrange(4), pick.randrange(9), pick.random(), i, f"t{pick.randrange(300)}{'َ' * pick.randrange(2)}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "source_rank int, line_count int, tightness double, line_id long, original string").repartition(7)
+    found = results.sorted_all(df)
+    ordered = sorted(rows, key=lambda r: (r[0], -r[1], -r[2], r[3]))
+    assert [r["line_id"] for r in found.orderBy("position").collect()] == [r[3] for r in ordered]
+    assert sorted(r["position"] for r in found.collect()) == list(range(3000))
+    ranked = sorted(rows, key=lambda r: (r[0], -r[2], r[3]))
+    assert [r["line_id"] for r in results.ranked_all(df).orderBy("rank").collect()] == [r[3] for r in ranked]
+    groups, firsts = {}, {}
+    for place, r in enumerate(ordered):
+        key = r[4].rstrip("َ")
+        groups.setdefault(key, []).append(place)
+    got = results.grouped_all(found, "original")
+    wanted = sorted(groups.values())
+    assert [(r["group"], r["position"], r["duplicates"]) for r in got.orderBy("group").collect()] == [(i, g[0], len(g) - 1) for i, g in enumerate(wanted)]
+    some = got.where("group < 250")
+    shown = results.page_rows(some, got, 3, 100).select("section", "group").collect()
+    assert sorted(map(tuple, shown)) == [("line", i) for i in range(50, 150)]
+    assert results.sorted_all(df.limit(0)).count() == 0 and results.grouped_all(results.sorted_all(df.limit(0)), "original").count() == 0
+    with pytest.raises(ValueError):
+        results.sorted_results(results.sorted_all(df))
 
 
 def test_names_in_order(spark):
