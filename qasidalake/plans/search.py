@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tightness
 from ..sources.corpus import Corpus
+from ..sources.index import only_lines
 from .boolean import Term, parse
 
 CANDIDATE_CAP, RESULT_CAP = 8000, 5000
@@ -85,7 +86,7 @@ def search(corpus: Corpus, query, ask: Ask = Ask()) -> DataFrame:
         probes = term.drivers() if ask.postings and corpus.postings is not None and term is not None else None
         held = corpus.postings.lines_with(probes) if probes else None
         if held is not None:
-            lines = lines.join(held, lines["id"] == F.col("line_id"), "left_semi")
+            lines = only_lines(lines, held)
         lines = lines.select("poem_id", F.col("id").alias("row_id"), F.coalesce("line", F.lit("")).alias("original"), "plain", "stripped")
         rows = lines.join(poem.drop("title_plain", "title_stripped"), "poem_id")
     rows = rows.where(F.lit(False)) if term is None else rows

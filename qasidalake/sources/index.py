@@ -14,7 +14,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import corpus as C
@@ -25,6 +27,8 @@ INDEX_VERSION = "3"
 GRAM_PARTS, BLOCK_IDS, MOST_PARTS = 16, 4096, 6
 #: Grams that a lookup reads for each probe, and the share of all lines above which a scan is cheaper than their postings.
 RAREST, SCAN_SHARE = 3, 0.1
+#: Up to so many ids found become a condition of the scan of the lines, which skips files and row groups without them.
+FEW_IDS = 1000
 OTHERS = tuple(name for name in C.SCHEMAS if name != "lines")
 
 
@@ -65,12 +69,28 @@ class Postings:
         return held.where(whole).select("line_id")
 
 
+def only_lines(lines: DataFrame, held: DataFrame, few: int = FEW_IDS) -> DataFrame:
+    """The lines whose ids are in ``held`` (line_id)."""
+    found = [r["line_id"] for r in held.limit(few + 1).collect()]
+    if len(found) <= few:
+        return lines.where(F.col("id").isin(found))
+    return lines.join(held, lines["id"] == F.col("line_id"), "left_semi")
+
+
 def posting_blocks(lines: DataFrame, tasks: int) -> DataFrame:
-    """(gram, part, block, n, ids) of the trigrams of ``plain``, those of one gram in GRAM_PARTS parts."""
-    rows = C.trigrams(lines).withColumn("part", F.pmod(F.xxhash64("line_id"), F.lit(GRAM_PARTS)).cast("int")).repartition(tasks, "gram", "part")
-    nth = F.row_number().over(Window.partitionBy("gram", "part").orderBy("line_id"))
-    rows = rows.withColumn("block", F.ceil(nth / BLOCK_IDS).cast("int"))
-    return rows.groupBy("gram", "part", "block").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("line_id")).alias("ids"))
+    """(gram, n, ids) of the trigrams of ``plain``, sorted by gram; those of one gram are dealt into GRAM_PARTS parts."""
+    rows = C.trigrams(lines).repartition(tasks, F.col("gram"), F.pmod(F.xxhash64("line_id"), F.lit(GRAM_PARTS))).sortWithinPartitions("gram", "line_id")
+
+    def cut(batches):
+        for batch in batches:
+            gram, ids = batch.columns
+            code = gram.dictionary_encode().indices.to_numpy()
+            new = np.flatnonzero(np.diff(code, prepend=-1))
+            starts = np.concatenate([np.arange(lo, hi, BLOCK_IDS) for lo, hi in zip(new, np.append(new[1:], len(code)))] or [new])
+            bounds = np.append(starts, len(code)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([gram.take(pa.array(starts)), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds), ids)], ["gram", "n", "ids"])
+
+    return rows.mapInArrow(cut, "gram string, n int, ids array<long>")
 
 
 def poem_states(lines: DataFrame) -> DataFrame:
@@ -82,8 +102,9 @@ def poem_states(lines: DataFrame) -> DataFrame:
 
 def _write_part(lines: DataFrame, gone: DataFrame, folder: str, tasks: int) -> None:
     spark = lines.sparkSession
-    C.with_derived(lines).repartitionByRange(tasks, "id").sortWithinPartitions("id").write.parquet(f"{folder}/lines.parquet")
-    posting_blocks(spark.read.parquet(f"{folder}/lines.parquet"), tasks).sortWithinPartitions("gram").write.parquet(f"{folder}/blocks.parquet")
+    # derived after the lines are dealt out: a deal by ranges reads its input twice
+    C.with_derived(lines.repartitionByRange(tasks, "id").sortWithinPartitions("id")).write.parquet(f"{folder}/lines.parquet")
+    posting_blocks(spark.read.parquet(f"{folder}/lines.parquet"), tasks).write.parquet(f"{folder}/blocks.parquet")
     counts = spark.read.parquet(f"{folder}/blocks.parquet").groupBy("gram").agg(F.sum("n").alias("lines"))
     counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{folder}/counts.parquet")
     gone.write.parquet(f"{folder}/gone.parquet")

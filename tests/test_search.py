@@ -244,6 +244,9 @@ def test_lookup_takes_rare_grams(spark):
     assert postings.chosen(["abcd"]) is None and postings.lines_with(["abcdxyz", "abcd"]) is None
     assert sorted(r[0] for r in postings.lines_with(["abcdxyz"]).collect()) == list(range(0, 400, 50))
     assert {r[0] for r in postings.lines_with(["zzz", "w39"]).collect()} == {39, *range(390, 400)}
+    held = postings.lines_with(["abcdxyz"])
+    for few in (7, 8):  # by a join, by a condition
+        assert sorted(r["id"] for r in I.only_lines(lines, held, few).collect()) == list(range(0, 400, 50))
     assert blocks.where("n > 4096 OR n <> size(ids)").isEmpty() and postings.lines_with(["none"]).isEmpty()
 
 
