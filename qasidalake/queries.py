@@ -12,6 +12,7 @@ from .functions import text as T
 from .operators import browse, poem_dedup, poet_names, results, schema_etl
 from .plans import search as S
 from .sources import corpus as C
+from .sources import curation
 from .sources.index import open_index, refresh
 from .sources.snapshots import fingerprint, shared_folder
 
@@ -360,6 +361,28 @@ def poem_dedup_all(spark, sf_dir):
     return poem_dedup.duplicates(_vocalized(corpus(spark, sf_dir)))
 
 
+def _curated(spark, corpus, step, change, check=None):
+    """The corpus stored, changed by a step, asked for the step again, and read."""
+    folder = f"{shared_folder(spark)}/verse-curated-{uuid.uuid4().hex}"
+    curation.store_corpus(corpus, folder)
+    assert [curation.carry_out(spark, folder, step, change, check) for _ in range(2)] == [True, False]
+    return curation.read_stored(spark, folder)
+
+
+@query(
+    "deduplicated_corpus",
+    f"""WITH gone AS ({_DEDUP + _COVERED}), base AS ({_DEDUP} SELECT id, count(*) AS n FROM l GROUP BY id)
+SELECT base.id, coalesce(survivor, base.id) AS poem_id, CASE WHEN survivor IS NULL THEN n ELSE 0 END AS lines FROM base LEFT JOIN gone ON gone.id = base.id""",
+)
+def deduplicated_corpus(spark, sf_dir):
+    """The stored corpus without duplicate poems: each poem with its lines, and each alias with the poem it points to."""
+    kept = lambda before, after: None if before["poem"] == after["poem"] + after["poem_alias"] else "poems were lost"
+    found = _curated(spark, _vocalized(corpus(spark, sf_dir)), "deduplicate", poem_dedup.deduplicated, kept)
+    lines = found.lines.groupBy(F.col("poem_id").alias("id")).agg(F.count(F.lit(1)).alias("lines"))
+    poems = found.poem.select("id", F.col("id").alias("poem_id")).join(lines, "id", "left")
+    return poems.unionByName(found.poem_alias.select("id", "poem_id", F.lit(0).cast("long").alias("lines")))
+
+
 _KASRA = "\u0650"
 _READINGS = f"""UNION ALL SELECT poem_id + 2000000000, line_number, {O.clean(f"replace(line, '{FATHA}', '')")} FROM lines WHERE poem_id % 10 < 6
   UNION ALL SELECT poem_id + 3000000000, line_number, {O.clean(f"replace(line, '{FATHA}', '{_KASRA}')")} FROM lines WHERE poem_id % 4 = 0),
@@ -410,6 +433,15 @@ def poet_merge_plan(spark, sf_dir):
     return poet_names.merge_plan(_spelled(corpus(spark, sf_dir)))
 
 
+@query("merged_corpus", f"{O.CORPUS} SELECT poem.id, poet.name AS poet FROM poem LEFT JOIN poet ON poet.id = poet_id")
+def merged_corpus(spark, sf_dir):
+    """The poets of all poems after spellings of one name have been merged in the stored corpus."""
+    kept = lambda before, after: None if before["poem"] == after["poem"] else "poems were lost"
+    found = _curated(spark, _spelled(corpus(spark, sf_dir)), "merge poets", poet_names.merged, kept)
+    poet = found.poet.select(F.col("id").alias("poet_id"), F.col("name").alias("poet"))
+    return found.poem.join(poet, "poet_id", "left").select("id", "poet")
+
+
 @query("dimension_ids", "WITH n AS (SELECT DISTINCT source AS name FROM documents WHERE source <> '') SELECT row_number() OVER (ORDER BY name) AS id, name FROM n")
 def dimension_ids(spark, sf_dir):
     return schema_etl.names_of(documents(spark, sf_dir), "source")

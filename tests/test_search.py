@@ -270,6 +270,31 @@ def test_snapshots(spark, tmp_path):
     assert store.latest()[0] == 1
 
 
+def test_curation_is_one_step(spark, tmp_path):
+    from qasidalake.sources import curation
+
+    folder = str(tmp_path / "c")
+    with pytest.raises(ValueError):
+        curation.carry_out(spark, folder, "x", lambda c: c)
+    curation.store_corpus(tiny(spark), folder)
+
+    def state():
+        return {n: sorted(map(str, t.collect())) for n, t in curation.read_stored(spark, folder).tables().items()}
+
+    before = state()
+    lost = lambda c: C.replace(c, poem=c.poem.limit(1))
+    broken = lambda c: C.replace(c, lines=c.lines.withColumn("poem_id", F.lit(None).cast("long")))
+    late = lambda c: C.replace(c, poet=c.poet.withColumn("name", F.raise_error(F.lit("stop"))))
+    rule = lambda a, b: None if a["poem"] == b["poem"] else "poems were lost"
+    for change in (lost, broken, late):  # lines are written before poets: the run stops between tables
+        with pytest.raises(Exception, match="poems were lost|without a value|stop"):
+            curation.carry_out(spark, folder, "step", change, rule)
+        assert state() == before
+    assert curation.carry_out(spark, folder, "merge", poet_names.merged, rule)
+    after = state()
+    assert after != before and not curation.carry_out(spark, folder, "merge", lost) and state() == after
+
+
 def test_fingerprint_sees_files(spark, tmp_path):
     for k in (1, 2):
         spark.range(k * 10).write.mode("append").parquet(str(tmp_path / "t"))
