@@ -4,7 +4,7 @@ Two poems belong together if their lines are equal without marks.  In such a gro
 the order is: most marks, then the source of highest priority, then the least id.
 A poem goes if one before it in that order has all its marks, letter by letter; it
 becomes an alias of the first survivor that has.  As having all marks is transitive,
-both are joins of the group with itself, and no loop is needed.
+that is the first poem that has them, and no loop is needed.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MARKS, clean_line, mark_count, without_marks
 from ..sources.corpus import Corpus
+from ..sources.snapshots import written
 
 NO_SOURCE = 99
 
@@ -49,27 +50,72 @@ def poem_texts(corpus: Corpus) -> DataFrame:
     return poems.join(priority, "id")
 
 
+#: Holders of one token that a task compares with a reading at a time.
+BLOCK = 1024
+
+
+def readings_of(poems: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(signature, own, turn, tokens, size, sketch) of each vocalization in a group of several; a token is (line, place of the letter, mark)."""
+    several = firsts.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature")
+    mixed = firsts.join(several, "signature", "left_semi").select("signature", "own", "turn", F.col("turn.i").alias("id"))
+    letters = lambda line, i: F.flatten(F.transform(letters_with_marks(line), lambda x, j: F.transform(x["marks"], lambda m: F.struct(i.alias("line"), j.alias("place"), m.alias("mark")))))
+    rows = mixed.join(poems.select("id", "clean"), "id").select("signature", "own", "turn", F.array_distinct(F.flatten(F.transform("clean", letters))).alias("tokens"))
+
+    def word(k: int) -> Column:
+        own = F.filter(F.transform("tokens", lambda t: F.xxhash64(t)), lambda h: F.pmod(h, F.lit(4)) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 2), F.lit(64)).cast("int"))))
+
+    return rows.withColumns({"size": F.size("tokens"), "sketch": F.array(*(word(k) for k in range(4)))})
+
+
+def supersets(readings: DataFrame) -> DataFrame:
+    """(signature, own, to): the first turn before a reading's own whose reading has all its tokens, where there is one.
+
+    A set-containment join.  Whatever has all tokens of a reading has its rarest one in the group, so a reading
+    is compared with that token's holders only.  If the first holder has all tokens it is the answer, so a chain
+    of ever fuller readings costs a comparison each.  The rest meet the other holders in blocks, by turn, size and
+    a sketch of 256 bits before the tokens themselves.  A reading without tokens goes to the first of its group.
+    """
+    plain = readings.groupBy("signature").agg(F.min("turn").alias("to")).join(readings.where("size = 0").select("signature", "own", "turn"), "signature")
+    plain = plain.where("to < turn").select("signature", "own", "to")
+    held = readings.select("signature", "own", "turn", "size", "sketch", F.explode("tokens").alias("token"))
+    counts = held.groupBy("signature", "token").agg(F.count(F.lit(1)).alias("n"), F.min_by("own", "turn").alias("a_own"), F.min("turn").alias("a_turn"))
+    rarest = held.select("signature", "own", "token").join(counts, ["signature", "token"])
+    rarest = rarest.groupBy("signature", "own").agg(F.min(F.struct("n", "token", "a_own", "a_turn")).alias("r")).select("signature", "own", "r.*")
+    sets = readings.select("signature", "own", "turn", "size", "sketch", "tokens")
+    others = readings.select("signature", F.col("own").alias("a_own"), F.col("tokens").alias("a_tokens"))
+    whole = F.size(F.array_except("tokens", "a_tokens")) == 0
+    # a reading that is the first holder itself has none before it
+    tried = written(sets.join(rarest, ["signature", "own"]).where("a_turn < turn").join(others, ["signature", "a_own"]).withColumn("whole", whole).drop("a_tokens"), "readings-tried")
+    found = tried.where("whole").select("signature", "own", F.col("a_turn").alias("to"))
+
+    rest = tried.where("NOT whole").drop("a_own", "a_turn", "whole").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    wanted = rest.select("signature", "token", "blocks").distinct()
+    holders = held.join(wanted, ["signature", "token"]).withColumn("block", F.pmod(F.xxhash64("own"), F.col("blocks")).cast("int"))
+    holders = holders.select("signature", "token", "block", F.col("own").alias("a_own"), F.col("turn").alias("a_turn"), F.col("size").alias("a_size"), F.col("sketch").alias("a_sketch"))
+    covers = F.col("a_size") >= F.col("size")
+    for k in range(4):
+        covers = covers & (F.get("sketch", F.lit(k)).bitwiseAND(F.bitwise_not(F.get("a_sketch", F.lit(k)))) == 0)
+    rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = rest.select("signature", "own", "turn", "size", "sketch", "token", "block").join(holders, ["signature", "token", "block"]).where((F.col("a_turn") < F.col("turn")) & covers)
+    pairs = pairs.select("signature", "own", "a_own", "a_turn").join(sets.select("signature", "own", "tokens"), ["signature", "own"]).join(others, ["signature", "a_own"]).where(whole)
+    later = pairs.groupBy("signature", "own").agg(F.min("a_turn").alias("to"))
+    return plain.unionByName(found).unionByName(later)
+
+
 def duplicates(corpus: Corpus) -> DataFrame:
     """(id, survivor) of each poem that goes.
 
-    Keys are digests: of the lines without marks, and of the lines.  Only groups of
-    several vocalizations shuffle their texts, one text a vocalization; these are
-    compared with each other, so their number in a group should be small.
+    Keys are digests: of the lines without marks, and of the lines.  Only groups of several vocalizations
+    shuffle more than keys: one set of marks a vocalization, stored once in the shared folder.
     """
     poems = poem_texts(corpus)
     turn = F.struct((-F.col("marks")).alias("m"), F.col("priority").alias("p"), F.col("id").alias("i"))
     keys = poems.select("id", "signature", "own", turn.alias("turn"))
     # poems of equal lines differ in nothing: each of them has the first one as its survivor
     firsts = keys.groupBy("signature", "own").agg(F.min("turn").alias("turn"), F.count(F.lit(1)).alias("copies"))
-    several = firsts.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature")
-    mixed = firsts.join(several, "signature", "left_semi")
-    texts = mixed.select("signature", "own", "turn", F.col("turn.i").alias("id")).join(poems.select("id", "clean"), "id").drop("id")
-    above = texts.select("signature", F.col("own").alias("a_own"), F.col("turn").alias("a_turn"), F.col("clean").alias("a_clean"))
-    held = texts.join(above, "signature").where((F.col("a_turn") < F.col("turn")) & holds_all_marks(F.col("a_clean"), F.col("clean")))
-    held = held.select("signature", "own", "a_own", "a_turn")
-    gone = held.select("signature", "own").distinct()
-    kept = held.join(gone.select("signature", F.col("own").alias("a_own")), ["signature", "a_own"], "left_anti")
-    targets = kept.groupBy("signature", "own").agg(F.min("a_turn").alias("to"))
+    # the first in turn of all that hold a poem's marks is never one that goes: what held its marks would come before it
+    targets = supersets(written(readings_of(poems, firsts), "readings"))
     targets = firsts.join(targets, ["signature", "own"], "left").where("copies > 1 OR to IS NOT NULL")
     targets = targets.select("signature", "own", F.coalesce("to.i", "turn.i").alias("survivor"))
     return keys.join(targets, ["signature", "own"]).where(F.col("id") != F.col("survivor")).select("id", "survivor")

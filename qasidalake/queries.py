@@ -401,6 +401,22 @@ def poem_dedup_readings(spark, sf_dir):
     return poem_dedup.duplicates(some)
 
 
+@query(
+    "poem_dedup_passages",
+    f"""{O.CORPUS}, v AS (SELECT id, source_id, id * 7919 % 120 AS lo, id * 7919 % 120 + 1 + id * 104729 % 80 AS hi FROM poem),
+b AS (SELECT v.id, first(a.id ORDER BY a.lo - a.hi, a.source_id, a.id) AS survivor FROM v JOIN v a ON a.lo <= v.lo AND a.hi >= v.hi GROUP BY v.id)
+SELECT * FROM b WHERE id <> survivor""",
+)
+def poem_dedup_passages(spark, sf_dir):
+    """One group of as many readings as there are poems: each poem has marks on a passage of its own in the same 200 letters."""
+    found = corpus(spark, sf_dir)
+    poem = found.poem.withColumn("lo", (F.col("id") * 7919 % 120).cast("int")).withColumn("hi", F.col("lo") + 1 + (F.col("id") * 104729 % 80).cast("int"))
+    letter = lambda i: F.concat(F.lit(THE[0]), F.when((i >= F.col("lo")) & (i < F.col("hi")), F.lit(FATHA)).otherwise(F.lit("")))
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(199)), letter), "")
+    lines = poem.select("id", F.col("id").alias("poem_id"), line.alias("line"), F.lit(1).alias("line_number"), F.lit("").alias("line_type"))
+    return poem_dedup.duplicates(C.replace(found, lines=lines))
+
+
 def _spelled(found):
     """The corpus with each poet under a second spelling, which poems of odd ids have."""
     other = found.poet.select((F.col("id") + 1000).alias("id"), F.concat(F.lit("("), "name", F.lit(")")).alias("name"))
