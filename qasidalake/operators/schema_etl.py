@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import title_of, verses
+from ..sources.batches import BATCH, batches_written, in_batches
 from ..sources.corpus import SOURCES, Corpus, line_id
 
 
@@ -144,7 +145,18 @@ def imported(raw: DataFrame) -> dict[str, DataFrame]:
 
 def with_imported(corpus: Corpus, raw: DataFrame) -> Corpus:
     """The corpus with the raw poems; poets not known yet follow the highest id, by name."""
-    new = imported(raw)
+    return with_tables(corpus, imported(raw))
+
+
+def imported_in_batches(raw: DataFrame, folder: str, batch: int = BATCH, progress=None) -> dict[str, DataFrame]:
+    """The tables of ``imported``, written in ranges of ids; after a failure the next call goes on after the last range."""
+    in_batches(raw, folder, imported, batch=batch, progress=progress)
+    found = {name: batches_written(raw.sparkSession, folder, name) for name in ("poem", "lines")}
+    return imported(raw.limit(0)) if None in found.values() else found
+
+
+def with_tables(corpus: Corpus, new: dict[str, DataFrame]) -> Corpus:
+    """The corpus with tables that ``imported`` made."""
     known = corpus.poet.select(F.col("name").alias("poet"))
     unknown = new["poem"].select("poet").where("poet IS NOT NULL").distinct().join(known, "poet", "left_anti")
     highest = corpus.poet.agg(F.coalesce(F.max("id"), F.lit(0)).alias("highest"))

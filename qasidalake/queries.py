@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .functions import text as T
-from .operators import browse, poem_dedup, poet_names, results, schema_etl
+from .operators import browse, migration, poem_dedup, poet_names, results, schema_etl
 from .plans import search as S
 from .sources import corpus as C
 from .sources import curation
@@ -487,6 +487,33 @@ def import_poems(spark, sf_dir):
     return schema_etl.imported(raw)["poem"].select("id", "poet", "title", "line_count", "source_id")
 
 
+class _Stopped(RuntimeError):
+    """An import that was made to break off."""
+
+
+@query(
+    "import_resumed",
+    f"""WITH r AS (SELECT doc_id AS id, source, list_filter(list_transform(string_split(text, chr(10)), lambda v: {_verse_sql('v')}), lambda v: v <> '') AS vs FROM documents WHERE text <> '')
+SELECT id AS poem_id, nullif(source, '') AS poet, len(vs)::INT AS line_count, vs[i] AS line, i::INT AS line_number FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS i FROM r)""",
+)
+def import_resumed(spark, sf_dir):
+    """All documents imported in six ranges of ids; the run breaks off after two and goes on from there."""
+    raw = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("poet_name"), "text")
+    folder, batch = f"{shared_folder(spark)}/verse-batches-{uuid.uuid4().hex}", max(1, -(-raw.count() // 6))
+
+    def stop(done, total):
+        if done == 2:
+            raise _Stopped
+
+    try:
+        schema_etl.imported_in_batches(raw, folder, batch, stop)
+    except _Stopped:
+        pass
+    new = schema_etl.imported_in_batches(raw, folder, batch)
+    poem = new["poem"].select(F.col("id").alias("poem_id"), "poet", "line_count")
+    return new["lines"].join(poem, "poem_id").select("poem_id", "poet", "line_count", "line", "line_number")
+
+
 def _whole_urls(poem):
     """Poems with whole URLs of 97 pages a source, so that some of them collide once cut."""
     prefix = F.create_map(*(F.lit(x) for i, _, url in C.SOURCES for x in (i, url or "")))
@@ -573,6 +600,45 @@ def metadata_ids(spark, sf_dir):
     return tables["poem"].select("id", "type_id", "source_id", "source_url")
 
 
+def _flat(found, unknown=F.lit(False)):
+    """Poems with their names and whole URLs of three sources; ``unknown`` ones have a URL of none, and some sources are in capitals."""
+    names = [getattr(found, n).select(F.col("id").alias(f"{n}_id"), F.col("name").alias(n)) for n in ("poet", "type")]
+    poem = found.poem.join(names[0], "poet_id", "left").join(names[1], "type_id", "left")
+    prefix = F.create_map(*(F.lit(x) for i, _, url in C.SOURCES[:3] for x in (i, url)))
+    url = F.concat(F.when(unknown, F.lit("ftp://")).otherwise(F.element_at(prefix, (F.col("id") % 3).cast("int"))), F.concat(F.lit("p"), F.col("id").cast("string")))
+    book = F.when(F.col("id") % 5 > 0, F.concat(F.lit("b"), (F.col("id") % 5).cast("string"))).otherwise(F.lit(""))
+    return poem.select("id", "poet", book.alias("book"), "type", "title", "page", "line_count", url.alias("source_url"))
+
+
+@query(
+    "migrated_poems",
+    f"""{O.CORPUS} SELECT poem.id, poet.name AS poet, CASE WHEN poem.id % 5 > 0 THEN 'b' || poem.id % 5 END AS book, CASE WHEN poem.id % 5 > 0 THEN poem.id % 5 END AS book_id,
+  kind.name AS type, (poem.id % 3)::INT AS source_id, 'p' || poem.id AS source_url, line_count, (SELECT count(*) FROM lines WHERE poem_id = poem.id) AS lines
+FROM poem LEFT JOIN poet ON poet.id = poet_id LEFT JOIN kind ON kind.id = type_id""",
+)
+def migrated_poems(spark, sf_dir):
+    """Flat poems migrated to the final tables and read from these, with their names and lines."""
+    found, folder = corpus(spark, sf_dir), f"{shared_folder(spark)}/verse-migrated-{uuid.uuid4().hex}"
+    migration.migrated(_flat(found), found.lines, folder)
+    found = curation.read_stored(spark, folder)
+    rows = found.poem.join(found.lines.groupBy(F.col("poem_id").alias("id")).agg(F.count(F.lit(1)).alias("lines")), "id", "left")
+    for n in ("poet", "book", "type"):
+        rows = rows.join(getattr(found, n).select(F.col("id").alias(f"{n}_id"), F.col("name").alias(n)), f"{n}_id", "left")
+    return rows.select("id", "poet", "book", "book_id", "type", "source_id", "source_url", "line_count", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
+@query("migration_refused", f"{O.CORPUS} SELECT 'poem.source_id' AS rule, count(*) AS rows FROM poem WHERE id % 7 = 3 HAVING count(*) > 0")
+def migration_refused(spark, sf_dir):
+    """The broken rules, with their rows, that stop the migration of poems of which some have a URL of no known source."""
+    found, folder = corpus(spark, sf_dir), f"{shared_folder(spark)}/verse-migrated-{uuid.uuid4().hex}"
+    broken = {}
+    try:
+        migration.migrated(_flat(found, F.col("id") % 7 == 3), found.lines, folder)
+    except curation.Refused as e:
+        broken = e.broken
+    return spark.createDataFrame(list(broken.items()), "rule string, rows long")
+
+
 @query("stretched_lines", f"{O.CORPUS} SELECT id, replace(line, '{T.TATWEEL}', '') AS bare FROM lines")
 def stretched_lines(spark, sf_dir):
     """Lines stretched by seven tatweels, which are taken out again."""

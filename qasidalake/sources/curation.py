@@ -20,7 +20,11 @@ NEEDED = {"poem": ("id",), "lines": ("id", "poem_id"), "poet": ("id", "name"), "
 
 
 class Refused(RuntimeError):
-    """A step whose result breaks a rule."""
+    """A step whose result breaks a rule; ``broken`` has the rows by rule, where they were counted."""
+
+    def __init__(self, says: str, broken: dict[str, int] | None = None):
+        super().__init__(says)
+        self.broken = broken or {}
 
 
 def _write(corpus: Corpus, folder: str) -> dict[str, int]:
@@ -59,12 +63,26 @@ def carry_out(spark: SparkSession, folder: str, step: str, change: Callable[[Cor
     return True
 
 
-def store_corpus(corpus: Corpus, folder: str) -> None:
-    """The first snapshot of a folder, or one that replaces all before."""
-    store = Snapshots(corpus.lines.sparkSession, folder)
-    store.commit(store.latest()[0], lambda data: {"rows": _write(corpus, data), "steps": []})
+def store_corpus(corpus: Corpus, folder: str, check: Callable[[dict, Corpus], dict[str, int]] | None = None) -> None:
+    """The first snapshot of a folder, or one that replaces all before.
+
+    ``check`` gets the numbers of rows by table and the tables as written; the rules that it names with their rows stop the step.
+    """
+    spark = corpus.lines.sparkSession
+    store = Snapshots(spark, folder)
+
+    def write(data: str) -> dict:
+        rows = _write(corpus, data)
+        if broken := check and check(rows, _read(spark, data)):
+            raise Refused(f"rules broken, with their rows: {broken}", broken)
+        return {"rows": rows, "steps": []}
+
+    store.commit(store.latest()[0], write)
+
+
+def _read(spark: SparkSession, folder: str) -> Corpus:
+    return Corpus(**{name: spark.read.parquet(f"{folder}/{name}.parquet") for name in SCHEMAS})
 
 
 def read_stored(spark: SparkSession, folder: str) -> Corpus:
-    data = Snapshots(spark, folder).latest()[1]["data"]
-    return Corpus(**{name: spark.read.parquet(f"{folder}/{data}/{name}.parquet") for name in SCHEMAS})
+    return _read(spark, f"{folder}/{Snapshots(spark, folder).latest()[1]['data']}")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from qasidalake.operators import poem_dedup
 from qasidalake.sources import corpus as C
@@ -69,3 +70,80 @@ def test_chain_of_readings_needs_a_comparison_each(spark, monkeypatch):
     got = {r["id"]: r["survivor"] for r in poem_dedup.duplicates(poems(spark, texts)).collect()}
     assert got == {i: len(texts) - 1 for i in range(len(texts) - 1)}
     assert seen["readings-tried"].count() < len(texts) and seen["readings-tried"].where("NOT whole").count() == 0
+
+
+def flat(spark, rows):
+    return spark.createDataFrame(rows, "id long, poet string, book string, type string, title string, page string, line_count int, source_url string")
+
+
+def test_migration(spark, tmp_path):
+    from qasidalake.operators import migration
+    from qasidalake.sources.curation import Refused, read_stored
+
+    first, second = C.SOURCES[0][2], C.SOURCES[1][2]
+    rows = [(1, "زيد", "", None, "t", None, 2, first + "7"), (2, "عمرو", "b", "k", "t", "p", 1, second.upper() + "7"), (3, None, "a", "k", None, None, None, first + "8")]
+    lines = spark.createDataFrame([(1, 1, "x", 1, ""), (2, 2, "y", 1, "")], C.SCHEMAS["lines"])
+    migration.migrated(flat(spark, rows), lines, str(tmp_path / "ok"))
+    found = read_stored(spark, str(tmp_path / "ok"))
+    got = found.poem.select("id", "poet_id", "book_id", "type_id", "source_id", "source_url").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 1, None, None, 0, "7"), (2, 2, 2, 1, 1, "7"), (3, None, 1, 1, 0, "8")]
+    assert {n: getattr(found, n).count() for n in ("poet", "book", "type", "source", "poem_alias", "lines")} == {"poet": 2, "book": 2, "type": 1, "source": 4, "poem_alias": 0, "lines": 2}
+    assert [r["url_prefix"] for r in found.source.orderBy("id").collect()] == [p for _, _, p in C.SOURCES]
+    with pytest.raises(Refused, match="there already"):
+        migration.migrated(found.poem, lines, str(tmp_path / "ok"))
+    with pytest.raises(Refused, match="url_prefix"):
+        migration.source_urls(found.source)
+
+    def refused(rows, name, **how):
+        with pytest.raises(Refused) as e:
+            migration.migrated(flat(spark, rows), lines, str(tmp_path / name), **how)
+        assert not [p for p in (tmp_path / name).iterdir() if p.name.isdigit() or p.name.startswith("data")]  # nothing counts, nothing is left
+        return e.value.broken
+
+    strange = [(4, "x", None, None, None, None, 1, "ftp://7"), (5, "x", None, None, None, None, 1, None), (None, "x", None, None, None, None, 1, first + "9")]
+    assert refused(rows + strange[:2], "unknown") == {"poem.source_id": 2}
+    same = [(6, "x", None, None, None, None, 1, first + "7"), (7, "x", None, None, None, None, 1, first + "7")]
+    assert refused(rows + same, "same") == {"source_url": 1}
+    with pytest.raises(Exception, match="without a value|poem.id"):
+        migration.migrated(flat(spark, rows + strange[2:]), lines, str(tmp_path / "noid"))
+    some = [migration.Rule("line_count", F.col("line_count").isNull())]
+    assert refused(rows, "counts", checks=some) == {"line_count": 1}
+    migration.migrated(flat(spark, rows), lines, str(tmp_path / "one"), [migration.Rule("line_count", F.col("line_count").isNull(), most=1)])
+    migration.migrated(flat(spark, rows).limit(0), lines.limit(0), str(tmp_path / "none"), [])
+    assert read_stored(spark, str(tmp_path / "none")).poem.count() == 0
+
+
+def test_batches_go_on_after_the_last(spark, tmp_path):
+    from qasidalake.operators.schema_etl import imported, imported_in_batches
+    from qasidalake.sources.batches import in_batches
+    from qasidalake.sources.snapshots import Snapshots
+
+    ids = [None, -5, 0, 3, 3, *range(10, 60), 10**12]
+    raw = spark.createDataFrame([(i, f"p{n % 3}", f"a{n}\nb") for n, i in enumerate(ids)], "id long, poet_name string, text string").repartition(3)
+    folder, seen = str(tmp_path / "b"), []
+
+    def stop(done, total):
+        seen.append((done, total))
+        if done == 2:
+            raise KeyError("stop")
+
+    with pytest.raises(KeyError):
+        imported_in_batches(raw, folder, 10, stop)
+    first = Snapshots(spark, folder).latest()[1]["done"]
+    bad = lambda part: {**imported(part), "poem": imported(part)["poem"].withColumn("title", F.raise_error(F.lit("broken")))}
+    with pytest.raises(Exception, match="broken"):
+        in_batches(raw, folder, bad, batch=10)
+    assert Snapshots(spark, folder).latest()[1]["done"] == first  # what fails leaves nothing
+    new = imported_in_batches(raw, folder, 10)
+    assert Snapshots(spark, folder).latest()[1]["done"][:2] == first and seen[:2] == [(1, seen[0][1]), (2, seen[0][1])] and 4 <= seen[0][1] <= 8
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = imported(raw)
+    assert all(rows(new[name].select(whole[name].columns)) == rows(whole[name]) for name in whole)
+    assert in_batches(raw, folder, imported, batch=10) == 0
+    later = raw.unionByName(spark.createDataFrame([(10**12 + 1, "p", "new")], raw.schema))
+    assert in_batches(later, folder, imported, batch=10) == 1
+    assert imported_in_batches(later, folder)["lines"].count() == whole["lines"].count() + 1
+    none = imported_in_batches(raw.limit(0), str(tmp_path / "none"))
+    assert none["poem"].count() == none["lines"].count() == 0
+    nameless = spark.createDataFrame([(None, "p", "a"), (None, "p", "b")], raw.schema)
+    assert imported_in_batches(nameless, str(tmp_path / "nameless"))["lines"].count() == 2
