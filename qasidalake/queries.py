@@ -34,6 +34,11 @@ def corpus(spark, sf_dir):
     return C.replace(found, lines=found.lines.drop("plain", "stripped"), poem=found.poem.drop("title_plain", "title_stripped"), postings=None)
 
 
+def unindexed(spark, sf_dir):
+    """The corpus straight from the documents, for queries that need no index."""
+    return C.corpus_of_documents(spark, documents(spark, sf_dir))
+
+
 def indexed(spark, sf_dir):
     """The corpus with its index, which the first query over a folder stores for those that follow in the application; changed documents are taken in."""
     name, table = hashlib.md5(sf_dir.encode(), usedforsecurity=False).hexdigest(), documents(spark, sf_dir)
@@ -409,7 +414,7 @@ SELECT * FROM b WHERE id <> survivor""",
 )
 def poem_dedup_passages(spark, sf_dir):
     """One group of as many readings as there are poems: each poem has marks on a passage of its own in the same 200 letters."""
-    found = corpus(spark, sf_dir)
+    found = unindexed(spark, sf_dir)
     poem = found.poem.withColumn("lo", (F.col("id") * 7919 % 120).cast("int")).withColumn("hi", F.col("lo") + 1 + (F.col("id") * 104729 % 80).cast("int"))
     letter = lambda i: F.concat(F.lit(THE[0]), F.when((i >= F.col("lo")) & (i < F.col("hi")), F.lit(FATHA)).otherwise(F.lit("")))
     line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(199)), letter), "")
@@ -618,7 +623,7 @@ FROM poem LEFT JOIN poet ON poet.id = poet_id LEFT JOIN kind ON kind.id = type_i
 )
 def migrated_poems(spark, sf_dir):
     """Flat poems migrated to the final tables and read from these, with their names and lines."""
-    found, folder = corpus(spark, sf_dir), f"{shared_folder(spark)}/verse-migrated-{uuid.uuid4().hex}"
+    found, folder = unindexed(spark, sf_dir), f"{shared_folder(spark)}/verse-migrated-{uuid.uuid4().hex}"
     migration.migrated(_flat(found), found.lines, folder)
     found = curation.read_stored(spark, folder)
     rows = found.poem.join(found.lines.groupBy(F.col("poem_id").alias("id")).agg(F.count(F.lit(1)).alias("lines")), "id", "left")
@@ -630,7 +635,7 @@ def migrated_poems(spark, sf_dir):
 @query("migration_refused", f"{O.CORPUS} SELECT 'poem.source_id' AS rule, count(*) AS rows FROM poem WHERE id % 7 = 3 HAVING count(*) > 0")
 def migration_refused(spark, sf_dir):
     """The broken rules, with their rows, that stop the migration of poems of which some have a URL of no known source."""
-    found, folder = corpus(spark, sf_dir), f"{shared_folder(spark)}/verse-migrated-{uuid.uuid4().hex}"
+    found, folder = unindexed(spark, sf_dir), f"{shared_folder(spark)}/verse-migrated-{uuid.uuid4().hex}"
     broken = {}
     try:
         migration.migrated(_flat(found, F.col("id") % 7 == 3), found.lines, folder)
