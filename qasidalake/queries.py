@@ -14,7 +14,7 @@ from .plans import search as S
 from .sources import corpus as C
 from .sources import curation
 from .sources.index import open_index, refresh
-from .sources.snapshots import fingerprint, shared_folder
+from .sources.snapshots import fingerprint, shared_folder, written
 
 _ARABIC = str.maketrans(C.LATIN, C.ARABIC)
 #: A probe of two letters, of three, and a phrase, as they come in the derived corpus.
@@ -624,7 +624,7 @@ FROM poem LEFT JOIN poet ON poet.id = poet_id LEFT JOIN kind ON kind.id = type_i
 def migrated_poems(spark, sf_dir):
     """Flat poems migrated to the final tables and read from these, with their names and lines."""
     found, folder = unindexed(spark, sf_dir), f"{shared_folder(spark)}/verse-migrated-{uuid.uuid4().hex}"
-    migration.migrated(_flat(found), found.lines, folder)
+    migration.migrated(written(_flat(found), "flat-poems"), written(found.lines, "flat-lines"), folder)
     found = curation.read_stored(spark, folder)
     rows = found.poem.join(found.lines.groupBy(F.col("poem_id").alias("id")).agg(F.count(F.lit(1)).alias("lines")), "id", "left")
     for n in ("poet", "book", "type"):
@@ -638,7 +638,7 @@ def migration_refused(spark, sf_dir):
     found, folder = unindexed(spark, sf_dir), f"{shared_folder(spark)}/verse-migrated-{uuid.uuid4().hex}"
     broken = {}
     try:
-        migration.migrated(_flat(found, F.col("id") % 7 == 3), found.lines, folder)
+        migration.migrated(written(_flat(found, F.col("id") % 7 == 3), "flat-poems"), written(found.lines, "flat-lines"), folder)
     except curation.Refused as e:
         broken = e.broken
     return spark.createDataFrame(list(broken.items()), "rule string, rows long")
