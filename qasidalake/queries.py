@@ -605,12 +605,12 @@ def metadata_ids(spark, sf_dir):
     return tables["poem"].select("id", "type_id", "source_id", "source_url")
 
 
-def _flat(found, unknown=F.lit(False)):
+def _flat(found, unknown=None):
     """Poems with their names and whole URLs of three sources; ``unknown`` ones have a URL of none, and some sources are in capitals."""
     names = [getattr(found, n).select(F.col("id").alias(f"{n}_id"), F.col("name").alias(n)) for n in ("poet", "type")]
     poem = found.poem.join(names[0], "poet_id", "left").join(names[1], "type_id", "left")
     prefix = F.create_map(*(F.lit(x) for i, _, url in C.SOURCES[:3] for x in (i, url)))
-    url = F.concat(F.when(unknown, F.lit("ftp://")).otherwise(F.element_at(prefix, (F.col("id") % 3).cast("int"))), F.concat(F.lit("p"), F.col("id").cast("string")))
+    url = F.concat(F.when(F.lit(False) if unknown is None else unknown, F.lit("ftp://")).otherwise(F.element_at(prefix, (F.col("id") % 3).cast("int"))), F.concat(F.lit("p"), F.col("id").cast("string")))
     book = F.when(F.col("id") % 5 > 0, F.concat(F.lit("b"), (F.col("id") % 5).cast("string"))).otherwise(F.lit(""))
     return poem.select("id", "poet", book.alias("book"), "type", "title", "page", "line_count", url.alias("source_url"))
 
