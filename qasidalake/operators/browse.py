@@ -16,6 +16,12 @@ def poets_by_count(corpus: Corpus) -> DataFrame:
     return counted.orderBy(F.col("poems").desc(), "name")
 
 
+def poem_count_for(corpus: Corpus, name: str) -> DataFrame:
+    """(poems): how many poems one poet has, in one row; 0 where no poet is named so."""
+    own = corpus.poet.where(F.col("name") == name).select(F.col("id").alias("poet_id"))
+    return corpus.poem.join(own, "poet_id", "left_semi").agg(F.count(F.lit(1)).alias("poems"))
+
+
 def search_poets(corpus: Corpus, query: str) -> DataFrame:
     return search_entries(corpus.poet.withColumnRenamed("name", "original"), query) if query else corpus.poet.withColumnRenamed("name", "original")
 

@@ -7,7 +7,8 @@ of the sources asked for.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.text import tightness
 from ..sources.corpus import Corpus
 from ..sources.index import only_lines
+from ..sources.layout import BySource
+from ..sources.snapshots import written
 from .boolean import Term, parse
 
 CANDIDATE_CAP, RESULT_CAP = 8000, 5000
@@ -68,41 +71,29 @@ def candidates_capped(rows: DataFrame, cap: int) -> DataFrame:
     return rows.withColumn("nth", nth).where(F.col("nth") <= cap).repartition(spark.sparkContext.defaultParallelism, "row_id")
 
 
-def search(corpus: Corpus, query, ask: Ask = Ask()) -> DataFrame:
-    """Ranked matches of a query: a string, or an expression that ``parse`` read.
-
-    ``corpus`` has its derived columns.  Candidates are capped for each source in
-    the order of their ids, before the pattern is applied; results by source, then
-    tightness, then id.  Results without a cap have no rank.
-    """
-    term = simple_term(query) if isinstance(query, str) else query
-    poem = corpus.poem.select(
-        F.col("id").alias("poem_id"), "poet_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("line_count", F.lit(0)).alias("line_count"), "title_plain", "title_stripped"
-    )
-    if ask.titles:
-        rows = poem.withColumns({"original": F.col("title"), "plain": F.col("title_plain"), "stripped": F.col("title_stripped"), "row_id": F.col("poem_id")})
-    else:
-        lines = corpus.lines
-        probes = term.drivers() if ask.postings and corpus.postings is not None and term is not None else None
-        held = corpus.postings.lines_with(probes) if probes else None
-        if held is not None:
-            lines = only_lines(lines, held)
-        lines = lines.select("poem_id", F.col("id").alias("row_id"), F.coalesce("line", F.lit("")).alias("original"), "plain", "stripped")
-        rows = lines.join(poem.drop("title_plain", "title_stripped"), "poem_id")
-    rows = rows.where(F.lit(False)) if term is None else rows
-    coarse = None if term is None else term.coarse(F.col("plain"))
-    if coarse is not None:
-        rows = rows.where(coarse)
+def _named(rows: DataFrame, corpus: Corpus) -> DataFrame:
     poet = corpus.poet.select(F.col("id").alias("poet_id"), F.col("name").alias("poet"))
-    if ask.poet is not None:
-        rows = rows.join(poet.where(F.col("poet") == ask.poet), "poet_id")
-    else:
-        rows = rows.join(poet, "poet_id", "left")
-    held, ranks = poem_sources(corpus), F.col("source_id")
-    if ask.sources is not None:
-        ranks = F.coalesce(*(F.when(F.col("source_id") == s, F.lit(i)) for i, s in enumerate(ask.sources)), F.lit(None).cast("int"))
-        held = held.where(F.col("source_id").isin(list(ask.sources)))
-    rows = rows.join(held, "poem_id").withColumn("source_rank", ranks)
+    return rows.join(poet, "poet_id", "left")
+
+
+def _texts(corpus: Corpus, titles: bool) -> DataFrame:
+    """Titles or lines with what is shown of their poems; a row for each, whatever its sources."""
+    shown = [F.coalesce("title", F.lit("")).alias("title"), F.coalesce("line_count", F.lit(0)).alias("line_count")]
+    poem = corpus.poem.select(F.col("id").alias("poem_id"), "poet_id", *shown, "title_plain", "title_stripped")
+    if titles:
+        return poem.withColumns({"original": F.col("title"), "plain": F.col("title_plain"), "stripped": F.col("title_stripped"), "row_id": F.col("poem_id")})
+    lines = corpus.lines.select("poem_id", F.col("id").alias("row_id"), F.coalesce("line", F.lit("")).alias("original"), "plain", "stripped")
+    return lines.join(poem.drop("title_plain", "title_stripped"), "poem_id")
+
+
+def source_rows(corpus: Corpus, titles: bool = False) -> DataFrame:
+    """Every title or line once for each of its sources, with all that a search reads and shows."""
+    rows = _named(_texts(corpus, titles), corpus).join(poem_sources(corpus), "poem_id")
+    return rows.select("source_id", "row_id", "poem_id", "original", "plain", "stripped", "title", "poet", "line_count")
+
+
+def ranked_matches(rows: DataFrame, term, ask: Ask) -> DataFrame:
+    """Of rows with their sources those that match, capped and ranked."""
     if ask.candidate_cap is not None:
         rows = candidates_capped(rows, ask.candidate_cap)
     if term is not None:
@@ -121,6 +112,69 @@ def search(corpus: Corpus, query, ask: Ask = Ask()) -> DataFrame:
     return ranked.select(*own, "original", "start", "end", "spans", "title", F.coalesce("poet", F.lit("")).alias("poet"), "line_count", "source_id", "source_rank", "tightness", "rank")
 
 
+def _near(rows: DataFrame, term) -> DataFrame:
+    """The rows that the coarse filter lets through; none where there is nothing to look for."""
+    if term is None:
+        return rows.where(F.lit(False))
+    coarse = term.coarse(F.col("plain"))
+    return rows if coarse is None else rows.where(coarse)
+
+
+def search(corpus: Corpus, query, ask: Ask = Ask()) -> DataFrame:
+    """Ranked matches of a query: a string, or an expression that ``parse`` read.
+
+    ``corpus`` has its derived columns.  Candidates are capped for each source in
+    the order of their ids, before the pattern is applied; results by source, then
+    tightness, then id.  Results without a cap have no rank.
+    """
+    term = simple_term(query) if isinstance(query, str) else query
+    probes = term.drivers() if ask.postings and corpus.postings is not None and term is not None and not ask.titles else None
+    found = corpus.postings.lines_with(probes) if probes else None
+    if found is not None:
+        corpus = replace(corpus, lines=only_lines(corpus.lines, found))
+    rows = _near(_texts(corpus, ask.titles), term)
+    if ask.poet is not None:
+        corpus = replace(corpus, poet=corpus.poet.where(F.col("name") == ask.poet))
+        rows = _named(rows, corpus).where("poet IS NOT NULL")
+    else:
+        rows = _named(rows, corpus)
+    held, ranks = poem_sources(corpus), F.col("source_id")
+    if ask.sources is not None:
+        ranks = F.coalesce(*(F.when(F.col("source_id") == s, F.lit(i)) for i, s in enumerate(ask.sources)), F.lit(None).cast("int"))
+        held = held.where(F.col("source_id").isin(list(ask.sources)))
+    return ranked_matches(rows.join(held, "poem_id").withColumn("source_rank", ranks), term, ask)
+
+
+def search_staged(stored: BySource, query, ask: Ask = Ask(), seen=None) -> DataFrame:
+    """The rows of ``search``, a source at a time; once the cap on results is full the other sources are not read.
+
+    ``stored`` is the layout that ``sources.layout`` writes.  A stage reads the partition of one source and joins nothing.
+    Its results, capped by what is left, are written before the next begins; ``seen(source_id, found)`` hears of each
+    stage.  Sources asked for twice count where they come first.  Without a cap on results there is nothing to stop
+    for, which is an error.
+    """
+    if ask.result_cap is None:
+        raise ValueError("a search without a cap on results reads all sources: use search")
+    term = simple_term(query) if isinstance(query, str) else query
+    rows = _near(stored.titles if ask.titles else stored.lines, term)
+    rows = rows if ask.poet is None else rows.where(F.col("poet") == ask.poet)
+    ranks = {s: s for s in stored.sources} if ask.sources is None else {s: i for i, s in reversed(list(enumerate(ask.sources)))}
+    left, stages = ask.result_cap, []
+    for source, rank in sorted(ranks.items(), key=lambda item: item[1]):
+        if left <= 0 or term is None:
+            break
+        own = rows.where(F.col("source_id") == source).withColumn("source_rank", F.lit(rank))
+        stage = written(ranked_matches(own, term, replace(ask, result_cap=left)), "search-stage")
+        found = stage.count()
+        stages.append(stage.withColumn("rank", F.col("rank") + (ask.result_cap - left)))
+        left -= found
+        if seen is not None:
+            seen(source, found)
+    if not stages:
+        return ranked_matches(rows.where(F.lit(False)).withColumn("source_rank", F.lit(0)), term, ask)
+    return reduce(DataFrame.unionByName, stages)
+
+
 def search_lines(corpus: Corpus, query: str, **ask) -> DataFrame:
     return search(corpus, query, Ask(**ask))
 

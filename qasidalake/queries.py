@@ -14,6 +14,7 @@ from .plans import search as S
 from .sources import corpus as C
 from .sources import curation
 from .sources.index import open_index, refresh
+from .sources.layout import open_by_source
 from .sources.snapshots import fingerprint, shared_folder, written
 
 _ARABIC = str.maketrans(C.LATIN, C.ARABIC)
@@ -45,6 +46,18 @@ def indexed(spark, sf_dir):
     return open_index(spark, f"{shared_folder(spark)}/verse-{spark.sparkContext.applicationId}-{name}", lambda: C.corpus_of_documents(spark, table), fingerprint(table))
 
 
+def by_source(spark, sf_dir):
+    """The layout by source of the indexed corpus, stored once for each folder and application."""
+    name = hashlib.md5(sf_dir.encode(), usedforsecurity=False).hexdigest()
+
+    def build():
+        found = C.build_index(unindexed(spark, sf_dir))
+        found = C.replace(found, lines=written(found.lines, "layout-lines"), poem=written(found.poem, "layout-poem"))  # texts are dealt by ranges, which reads them twice
+        return {"lines": S.source_rows(found), "titles": S.source_rows(found, titles=True)}
+
+    return open_by_source(spark, f"{shared_folder(spark)}/verse-by-source-{spark.sparkContext.applicationId}-{name}", build, fingerprint(documents(spark, sf_dir)))
+
+
 QUERIES, ORACLE_SQL = {}, {}
 
 
@@ -79,6 +92,25 @@ _add_search("search_poet_scope", THE, O.letters(THE), O.has(THE), poet=POET, sql
 _add_search("search_source_order", THE, O.letters(THE), O.has(THE), sources=(2, 0), sql={"sources": (2, 0)})
 _add_search("search_caps", THE, O.letters(THE), O.has(THE), candidate_cap=60, result_cap=100, sql={"candidates": 60, "results": 100})
 
+
+
+@query("search_staged", O.search_sql(O.letters(PHRASE), O.has(PHRASE), results=4000))
+def search_staged(spark, sf_dir):
+    """A phrase in source after source, each read only as long as results are wanted."""
+    return S.search_staged(by_source(spark, sf_dir), PHRASE, S.Ask(result_cap=4000)).select("poem_id", "line_id", *SHOWN)
+
+
+@query("search_staged_stops", O.search_sql(O.letters(THE), O.has(THE), sources=(2, 0, 1), results=50))
+def search_staged_stops(spark, sf_dir):
+    """A common word: the first source asked for fills the cap, so the others are not read."""
+    return S.search_staged(by_source(spark, sf_dir), THE, S.Ask(sources=(2, 0, 1), result_cap=50)).select("poem_id", "line_id", *SHOWN)
+
+
+@query("search_staged_titles", O.search_sql(O.letters(THE), O.has(THE), titles=True))
+def search_staged_titles(spark, sf_dir):
+    return S.search_staged(by_source(spark, sf_dir), THE, S.Ask(titles=True)).select("poem_id", *SHOWN)
+
+
 _THE, _OF, _THAT, _IN = (O.matches(O.letters(x)) for x in (THE, OF, THAT, IN))
 
 
@@ -118,6 +150,17 @@ def bool_or_all(spark, sf_dir):
     return S.search(indexed(spark, sf_dir), expr, S.Ask(candidate_cap=None, result_cap=None)).select("poem_id", "line_id", "source_id")
 
 
+_EVERY = dict(candidates=10**9, results=10**9)
+_EITHER = [f"({O.found(O.letters(x), O.has(x), where=w, **_EVERY)} SELECT row_id AS line_id, source_id, start, \"end\", tightness FROM found)" for x, w in ((THAT, "true"), (IN, f"NOT {O.matches(O.letters(THAT))}"))]
+
+
+@query("bool_or_spans", f"SELECT * FROM {_EITHER[0]} UNION ALL SELECT * FROM {_EITHER[1]}")
+def bool_or_spans(spark, sf_dir):
+    """All matches of an OR with their spans, each that of the first term that the line holds."""
+    found = S.search(indexed(spark, sf_dir), S.parse(f"{THAT} | {IN}"), S.Ask(candidate_cap=None, result_cap=None))
+    return found.select("line_id", "source_id", "start", "end", "tightness")
+
+
 @query("search_postings", O.search_sql(O.letters(PHRASE), O.has(PHRASE)))
 def search_postings(spark, sf_dir):
     """A phrase, its lines looked up by trigrams; the same rows as by a scan."""
@@ -247,6 +290,11 @@ def poets_by_count(spark, sf_dir):
     return browse.poets_by_count(corpus(spark, sf_dir))
 
 
+@query("poem_count_for", f"{O.CORPUS} SELECT count(*) AS poems FROM poem JOIN poet ON poet.id = poet_id WHERE poet.name = '{POET}'")
+def poem_count_for(spark, sf_dir):
+    return browse.poem_count_for(unindexed(spark, sf_dir), POET)
+
+
 @query("poet_search", f"{O.CORPUS} SELECT id, name FROM poet WHERE contains({O.strip_all('name')}, '{T.strip_all_text('src1'.translate(_ARABIC))}')")
 def poet_search(spark, sf_dir):
     return browse.search_poets(corpus(spark, sf_dir), "src1".translate(_ARABIC)).select("id", F.col("original").alias("name"))

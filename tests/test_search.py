@@ -10,6 +10,7 @@ from qasidalake.plans import search as S
 from qasidalake.plans.boolean import BooleanError, parse
 from qasidalake.sources import corpus as C
 from qasidalake.sources import index as I
+from qasidalake.sources import layout as L
 from qasidalake.sources.snapshots import Overtaken, Snapshots, fingerprint
 
 TERMS = [
@@ -321,6 +322,52 @@ def test_sources_asked_for(spark):
     assert S.search_lines(corpus, "قال", result_cap=None).where("rank IS NOT NULL").count() == 0
 
 
+def test_staged_search(spark, tmp_path):
+    """Stages give the rows of a search, read no source beyond a full cap, and join nothing."""
+    corpus = C.build_index(verses(spark, {i: ["قال زيد", "قال" if i % 3 else "ذهب"] for i in range(1, 40)}))
+    built = []
+
+    def build():
+        built.append(1)
+        return {"lines": S.source_rows(corpus), "titles": S.source_rows(corpus, titles=True)}
+
+    folder = str(tmp_path / "by")
+    stored = [L.open_by_source(spark, folder, build, "a") for _ in range(2)][1]
+    assert built == [1] and stored.sources == (0, 1, 2, 3, 4, 5)
+    shown = lambda df: [tuple(map(repr, r)) for r in df.orderBy("rank").collect()]
+    asks = [{}, {"result_cap": 5}, {"result_cap": 13}, {"candidate_cap": 2, "result_cap": 9}, {"sources": (4, 1, 4, 9)}, {"sources": ()}, {"poet": "زيد", "result_cap": 3}, {"poet": "x"}, {"titles": True, "result_cap": 8}]
+    for ask in asks:
+        unique = {**ask, "sources": tuple(dict.fromkeys(ask["sources"]))} if "sources" in ask else ask
+        for query in ("قال", S.parse("قال - زيد"), "*"):
+            staged = S.search_staged(stored, query, S.Ask(**ask))
+            wanted = S.search(corpus, query, S.Ask(**unique))
+            assert staged.columns == wanted.columns and shown(staged) == shown(wanted), (ask, query)
+    seen = []
+    S.search_staged(stored, "قال", S.Ask(result_cap=15), seen=lambda s, n: seen.append((s, n)))
+    assert [s for s, _ in seen] == [0, 1] and sum(n for _, n in seen) == 15
+    with pytest.raises(ValueError):
+        S.search_staged(stored, "قال", S.Ask(result_cap=None))
+    plan = S._near(stored.lines, S.simple_term("قال")).where("source_id = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "source_id" in plan.split("PartitionFilters:")[1].split("]")[0] and "plain" in plan.split("PushedFilters:")[1]
+    for path in tmp_path.glob("by/data-*/lines.parquet/source_id=[2-5]/*.parquet"):
+        path.write_bytes(b"not read")
+    assert S.search_staged(stored, "قال", S.Ask(result_cap=15)).count() == 15
+    with pytest.raises(Exception):
+        S.search_staged(stored, "قال", S.Ask(result_cap=40)).count()
+    # another state of the input is stored anew
+    assert L.open_by_source(spark, folder, build, "b").lines.count() == 78 and built == [1, 1]
+
+
+def test_layout_of_an_empty_corpus(spark, tmp_path):
+    corpus = C.build_index(verses(spark, {}))
+    stored = L.open_by_source(spark, str(tmp_path / "by"), lambda: {"lines": S.source_rows(corpus), "titles": S.source_rows(corpus, titles=True)})
+    assert stored.sources == () and S.search_staged(stored, "قال").count() == 0 and S.search_staged(stored, "قال", S.Ask(sources=(1,))).count() == 0
+
+
+def test_poem_count_for(spark):
+    assert [browse.poem_count_for(tiny(spark), n).first()["poems"] for n in ("زيد", "عمرو", "x")] == [1, 0, 0]
+
+
 def test_halves_are_trimmed_of_any_space(spark):
     df = spark.createDataFrame([("\t a b\u00a0=\r c \u3000",)], "l string")
     assert tuple(df.select(T.first_half(F.col("l")), T.second_half(F.col("l"))).first()) == ("a b", "c")
