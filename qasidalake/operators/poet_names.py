@@ -5,12 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import replace
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from ..functions.text import LETTERS, clean_line, mark_count, strip_all, strip_all_text
+from ..functions.text import LETTERS, SPACES, clean_line, mark_count, strip_all, strip_all_text, trimmed
 from ..sources.corpus import Corpus
 from .poem_dedup import NO_SOURCE
 
@@ -67,7 +65,10 @@ def _tidied(name: str) -> str:
 
 
 def poet_name(raw: str) -> str:
-    """The name in a stored name: tidied until nothing changes; a name without letters is unknown."""
+    """The name in a stored name: tidied until nothing changes; a name without letters is unknown.
+
+    For single strings; tables take ``name_in``, which tests hold against it.
+    """
     if not _LETTER.search(raw):
         return UNKNOWN
     name, before = raw, None
@@ -76,9 +77,86 @@ def poet_name(raw: str) -> str:
     return name if len(name) > 1 else raw
 
 
-@F.pandas_udf(StringType())
-def poet_names(raw: pd.Series) -> pd.Series:
-    return raw.map(poet_name, na_action="ignore")
+#: A name and the note after it, in brackets or quotes.
+NOTED = (rf"(?s)^(.*)\(([^()]*)\)[{SPACES}]*\z", rf'(?s)^(.+)"([^"]*)"[{SPACES}]*\z')
+YEAR = rf"^[0-9]{{2,4}}[{SPACES}]*م\z"
+LEAD, TRAIL = f"^[{JUNK}{SPACES}']+", rf"[{JUNK}{SPACES}]+\z"
+FIRST_QUOTE, LAST_QUOTE = f'^"[{SPACES}]*', rf'"[{SPACES}]*\z'
+KNOWN_NOTES = tuple(sorted(_KNOWN))
+
+
+def _quotes(name: Column) -> Column:
+    return F.length(name) - F.length(F.replace(name, F.lit('"'), F.lit("")))
+
+
+def _without_odd(edge: str):
+    return lambda name: F.when(_quotes(name) % 2 == 1, F.regexp_replace(name, edge, "")).otherwise(name)
+
+
+def _inside(name: Column) -> Column:
+    return trimmed(F.substr(name, F.lit(2), F.length(name) - 2))
+
+
+def _bracketed(name: Column) -> Column:
+    """Whether one pair of brackets holds the whole name: nothing before its last character brings the depth to 0."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("least"))
+
+    def step(at: Column, char: Column) -> Column:
+        depth = at["depth"] + F.when(char == "(", 1).when(char == ")", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.least(at["least"], depth).alias("least"))
+
+    depths = F.aggregate(F.split(F.substr(name, F.lit(1), F.length(name) - 1), ""), start, step)
+    return name.startswith("(") & name.endswith(")") & (depths == F.struct(F.lit(1).alias("depth"), F.lit(1).alias("least")))
+
+
+def _quoted(name: Column) -> Column:
+    return (F.length(name) > 1) & name.startswith('"') & name.endswith('"') & (_quotes(name) == 2)
+
+
+def _before_note(noted: str):
+    def rule(name: Column) -> Column:
+        tag = trimmed(F.regexp_extract(name, noted, 2))
+        is_note = name.rlike(noted) & (strip_all(tag).isin(*KNOWN_NOTES) | tag.rlike(YEAR))
+        return F.when(is_note, F.regexp_replace(F.regexp_extract(name, noted, 1), TRAIL, "")).otherwise(name)
+
+    return rule
+
+
+#: What is tried on a name in turn; a round tries all, and rounds go on until one changes nothing.
+RULES = (
+    lambda name: F.regexp_replace(name, LEAD, ""),
+    _without_odd(FIRST_QUOTE),
+    lambda name: F.regexp_replace(name, TRAIL, ""),
+    _without_odd(LAST_QUOTE),
+    lambda name: F.when(_bracketed(name), _inside(name)).otherwise(name),
+    lambda name: F.when(_quoted(name), _inside(name)).otherwise(name),
+    *map(_before_note, NOTED),
+    trimmed,
+)
+
+
+def name_in(raw: Column) -> Column:
+    """``poet_name`` as a column, null for null.
+
+    A rule only ever shortens a name, so there are at most as many rounds as characters; those after the last change
+    pass the name on untouched.
+    """
+
+    def tried(name: Column, rule: Column) -> Column:
+        cases = F.when(rule == 0, RULES[0](name))
+        for i, own in enumerate(RULES[1:], 1):
+            cases = cases.when(rule == i, own(name))
+        return cases
+
+    def round_of(at: Column, _: Column) -> Column:
+        after = F.aggregate(F.array(*map(F.lit, range(len(RULES)))), at["name"], tried)
+        ended = F.transform(F.array(after), lambda name: F.struct(name.alias("name"), (name == at["name"]).alias("done")))
+        return F.when(at["done"], at).otherwise(F.get(ended, F.lit(0)))
+
+    start = F.struct(raw.alias("name"), F.lit(False).alias("done"))
+    name = F.aggregate(F.sequence(F.lit(0), F.length(raw)), start, round_of)["name"]
+    long_enough = F.transform(F.array(name), lambda n: F.when(F.length(n) > 1, n).otherwise(raw))
+    return F.when(~raw.rlike(_LETTER.pattern), UNKNOWN).when(raw.isNotNull(), F.get(long_enough, F.lit(0)))
 
 
 def variants(corpus: Corpus) -> DataFrame:
@@ -96,7 +174,7 @@ def _best(found: DataFrame, key: str, best: str) -> DataFrame:
 
 def grouped_variants(corpus: Corpus) -> DataFrame:
     """The variants with ``clean`` (the name in the stored name) and ``group`` (its coarse key)."""
-    names = corpus.poet.select("name").distinct().withColumn("clean", poet_names("name")).withColumn("group", strip_all(F.col("clean")))
+    names = corpus.poet.select("name").distinct().withColumn("clean", name_in(F.col("name"))).withColumn("group", strip_all(F.col("clean")))
     return variants(corpus).join(names, "name")
 
 

@@ -119,3 +119,47 @@ def search_sql(core: str, coarse: str, **more) -> str:
 
 def has(text: str) -> str:
     return f"contains(plain, '{text}')"
+
+
+def _quotes(x: str) -> str:
+    return f"(length({x}) - length(replace({x}, '\"', '')))"
+
+
+def cleaned_names(raw: str) -> str:
+    """CTEs that end in ``cleaned`` (id, raw, name), for rows (id, raw) of ``raw``: one rule a step, nine steps a round."""
+    from .operators.poet_names import FIRST_QUOTE, KNOWN_NOTES, LAST_QUOTE, LEAD, NOTED, TRAIL, UNKNOWN, YEAR
+
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    cut = lambda x, pattern: f"regexp_replace({x}, {text(pattern)}, '')"
+    inside = trimmed("substr(name, 2, length(name) - 2)")
+    depth = "len(replace(substr(name, 1, i), ')', '')) - len(replace(substr(name, 1, i), '(', ''))"
+    known = ", ".join(map(text, KNOWN_NOTES))
+
+    def before_note(noted: str) -> str:
+        tag = trimmed(f"regexp_extract(name, {text(noted)}, 2)")
+        note = f"regexp_matches(name, {text(noted)}) AND ({strip_all(tag)} IN ({known}) OR regexp_matches({tag}, {text(YEAR)}))"
+        return f"CASE WHEN {note} THEN {cut(f'regexp_extract(name, {text(noted)}, 1)', TRAIL)} ELSE name END"
+
+    rules = [
+        cut("name", LEAD),
+        f"CASE WHEN {_quotes('name')} % 2 = 1 THEN {cut('name', FIRST_QUOTE)} ELSE name END",
+        cut("name", TRAIL),
+        f"CASE WHEN {_quotes('name')} % 2 = 1 THEN {cut('name', LAST_QUOTE)} ELSE name END",
+        f"CASE WHEN name LIKE '(%)' AND list_min(list_transform(range(1, length(name)), lambda i: {depth})) > 0 AND {depth.replace('1, i)', '1, length(name))')} = 0 THEN {inside} ELSE name END",
+        f"CASE WHEN name LIKE '\"%\"' AND {_quotes('name')} = 2 THEN {inside} ELSE name END",
+        *map(before_note, NOTED),
+        trimmed("name"),
+    ]
+    cases = " ".join(f"WHEN {i} THEN {rule}" for i, rule in enumerate(rules))
+    n = len(rules)
+    return f"""names(id, raw) AS ({raw}),
+steps(id, raw, name, before, step) AS (
+  SELECT id, raw, raw, NULL::VARCHAR, 0 FROM names WHERE regexp_matches(raw, '[A-Za-z{LETTERS}]')
+  UNION ALL
+  SELECT id, raw, CASE step % {n} {cases} END, CASE WHEN step % {n} = 0 THEN name ELSE before END, step + 1
+  FROM steps WHERE step % {n} <> 0 OR before IS NULL OR name <> before),
+cleaned AS (
+  SELECT id, raw, CASE WHEN length(name) > 1 THEN name ELSE raw END AS name FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step DESC) AS nth FROM steps) WHERE nth = 1
+  UNION ALL SELECT id, raw, '{UNKNOWN}' FROM names WHERE NOT regexp_matches(raw, '[A-Za-z{LETTERS}]')
+  UNION ALL SELECT id, raw, NULL FROM names WHERE raw IS NULL)
+"""

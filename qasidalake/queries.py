@@ -502,6 +502,48 @@ def poet_merge_plan(spark, sf_dir):
     return poet_names.merge_plan(_spelled(corpus(spark, sf_dir)))
 
 
+# What scraped names come with: before and after the name; a name has two of them, one inside the other.
+_AROUND = (("(", ")"), ('"', '"'), ("", ' (من الطويل)'), ("", ' "العباسي"'), ("", " (656 م)"), ("- ", ""), ("", "،"), ('"', ""), ("", '"'), ("(", ") (الصغير)"), ("'", " ."), ("", " - وهو (ابن زيد)"), ("", ""))
+_AROUND_SQL = "(VALUES " + ", ".join("({}, '{}', '{}')".format(i, *(x.replace("'", "''") for x in pair)) for i, pair in enumerate(_AROUND)) + ")"
+
+
+def _scraped(found):
+    """(id, raw): a name for each poem, its poet and the first word of its title among scraped signs; each 29th has no letter."""
+    n, (before, after) = len(_AROUND), (F.array(*(F.lit(pair[k]) for pair in _AROUND)) for k in (0, 1))
+    poem = found.poem.join(found.poet.select(F.col("id").alias("poet_id"), F.col("name").alias("poet")), "poet_id", "left")
+    name = F.concat_ws(" ", "poet", F.substring_index("title", " ", 1))
+    for place in (F.col("id") % n, F.floor(F.col("id") / n) % n):
+        name = F.concat(F.get(before, place.cast("int")), name, F.get(after, place.cast("int")))
+    return poem.select("id", F.when(F.col("id") % 29 == 0, F.concat(F.lit("- ("), F.col("id").cast("string"), F.lit(") -"))).otherwise(name).alias("raw"))
+
+
+_SCRAPED = f"""SELECT poem.id, CASE WHEN poem.id % 29 = 0 THEN '- (' || poem.id || ') -' ELSE o.b || i.b || concat_ws(' ', poet.name, string_split(title, ' ')[1]) || i.a || o.a END
+FROM poem LEFT JOIN poet ON poet.id = poet_id JOIN {_AROUND_SQL} i(k, b, a) ON i.k = poem.id % {len(_AROUND)} JOIN {_AROUND_SQL} o(k, b, a) ON o.k = poem.id // {len(_AROUND)} % {len(_AROUND)}"""
+
+
+@query("poet_names_cleaned", f"{O.CORPUS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {O.cleaned_names(_SCRAPED)} SELECT id, raw, name FROM cleaned")
+def poet_names_cleaned(spark, sf_dir):
+    """The name in each scraped one, by all rules."""
+    return _scraped(unindexed(spark, sf_dir)).withColumn("name", poet_names.name_in(F.col("raw")))
+
+
+@query(
+    "poet_names_merged",
+    f"""{O.CORPUS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {O.cleaned_names(_SCRAPED)},
+keyed AS (SELECT c.*, source_id, {O.strip_all('c.name')} AS key FROM cleaned c JOIN poem USING (id)),
+best AS (SELECT key, name, min(source_id) AS priority, length({O.clean('name')}) - length({O.bare(O.clean('name'))}) AS marks, count(*) AS n FROM keyed GROUP BY key, name)
+SELECT k.id, b.name AS poet FROM keyed k JOIN (SELECT key, name, row_number() OVER (PARTITION BY key ORDER BY priority, marks DESC, n DESC, name) AS nth FROM best) b ON b.key = k.key AND b.nth = 1""",
+)
+def poet_names_merged(spark, sf_dir):
+    """Each poem's poet after all scraped spellings have been merged."""
+    found = unindexed(spark, sf_dir)
+    named = written(_scraped(found), "scraped-names")
+    poet = named.select(F.col("raw").alias("name")).distinct().withColumn("id", F.xxhash64("name"))
+    poem = found.poem.drop("poet_id").join(named.select("id", F.xxhash64("raw").alias("poet_id")), "id")
+    after = poet_names.merged(C.replace(found, poet=poet.select("id", "name"), poem=poem.select(found.poem.columns)))
+    return after.poem.join(after.poet.select(F.col("id").alias("poet_id"), F.col("name").alias("poet")), "poet_id", "left").select("id", "poet")
+
+
 @query("merged_corpus", f"{O.CORPUS} SELECT poem.id, poet.name AS poet FROM poem LEFT JOIN poet ON poet.id = poet_id")
 def merged_corpus(spark, sf_dir):
     """The poets of all poems after spellings of one name have been merged in the stored corpus."""

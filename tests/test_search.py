@@ -163,6 +163,24 @@ def test_poet_names(raw, name):
     assert poet_names.poet_name(raw) == name
 
 
+def test_names_as_columns(spark, duck):
+    """``name_in`` and its SQL give what ``poet_name`` gives, on 3,000 names put together by chance, and run no Python worker."""
+    from random import Random
+
+    from qasidalake import oracle as O
+
+    rnd = Random(5)
+    bits = ["(", ")", '"', " ", "-", "،", ".", "'", "\n", "زيد", "ع", "ab", "12", "م", "(العباسي)", '"من الطويل"', "(656 م)", "(الصغير)", "((", "))"]
+    raws = ["", " ", "(", '"', "()", "زيد " * 400, "(" * 60 + "زيد" + ")" * 60] + ["".join(rnd.choices(bits, k=rnd.randint(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([*enumerate(raws), (-1, None)], "id long, raw string").withColumn("name", poet_names.name_in(F.col("raw")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    found = {r["id"]: r["name"] for r in df.collect()}
+    assert found == {-1: None, **{i: poet_names.poet_name(raw) for i, raw in enumerate(raws)}}
+    duck.execute("CREATE OR REPLACE TEMP TABLE raw_names AS SELECT unnest($1) AS id, unnest($2) AS raw", [list(range(len(raws))), raws])
+    assert dict(duck.execute(f"WITH RECURSIVE {O.cleaned_names('SELECT id, raw FROM raw_names')} SELECT id, name FROM cleaned").fetchall()) == {i: n for i, n in found.items() if i >= 0}
+
+
 def test_merged_poets(spark):
     after = poet_names.merged(tiny(spark))
     assert sorted(r["name"] for r in after.poet.collect()) == ["زيد", "عمرو"]
