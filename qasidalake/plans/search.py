@@ -76,20 +76,24 @@ def _named(rows: DataFrame, corpus: Corpus) -> DataFrame:
     return rows.join(poet, "poet_id", "left")
 
 
-def _texts(corpus: Corpus, titles: bool) -> DataFrame:
-    """Titles or lines with what is shown of their poems; a row for each, whatever its sources."""
+def _shown(corpus: Corpus, *own: str) -> DataFrame:
     shown = [F.coalesce("title", F.lit("")).alias("title"), F.coalesce("line_count", F.lit(0)).alias("line_count")]
-    poem = corpus.poem.select(F.col("id").alias("poem_id"), "poet_id", *shown, "title_plain", "title_stripped")
+    return corpus.poem.select(F.col("id").alias("poem_id"), "poet_id", *shown, *own)
+
+
+def _texts(corpus: Corpus, titles: bool, *derived: str) -> DataFrame:
+    """Titles or lines with what is shown of their poems; a row for each, whatever its sources."""
     if titles:
-        return poem.withColumns({"original": F.col("title"), "plain": F.col("title_plain"), "stripped": F.col("title_stripped"), "row_id": F.col("poem_id")})
-    lines = corpus.lines.select("poem_id", F.col("id").alias("row_id"), F.coalesce("line", F.lit("")).alias("original"), "plain", "stripped")
-    return lines.join(poem.drop("title_plain", "title_stripped"), "poem_id")
+        texts = {"original": F.col("title"), "row_id": F.col("poem_id"), **{c: F.col(f"title_{c}") for c in derived}}
+        return _shown(corpus, *(f"title_{c}" for c in derived)).withColumns(texts)
+    lines = corpus.lines.select("poem_id", F.col("id").alias("row_id"), F.coalesce("line", F.lit("")).alias("original"), *derived)
+    return lines.join(_shown(corpus), "poem_id")
 
 
 def source_rows(corpus: Corpus, titles: bool = False) -> DataFrame:
-    """Every title or line once for each of its sources, with all that a search reads and shows."""
+    """Every title or line once for each of its sources, with all that a search shows; for ``sources.layout``."""
     rows = _named(_texts(corpus, titles), corpus).join(poem_sources(corpus), "poem_id")
-    return rows.select("source_id", "row_id", "poem_id", "original", "plain", "stripped", "title", "poet", "line_count")
+    return rows.select("source_id", "row_id", "poem_id", "original", "title", "poet", "line_count")
 
 
 def ranked_matches(rows: DataFrame, term, ask: Ask) -> DataFrame:
@@ -132,7 +136,7 @@ def search(corpus: Corpus, query, ask: Ask = Ask()) -> DataFrame:
     found = corpus.postings.lines_with(probes) if probes else None
     if found is not None:
         corpus = replace(corpus, lines=only_lines(corpus.lines, found))
-    rows = _near(_texts(corpus, ask.titles), term)
+    rows = _near(_texts(corpus, ask.titles, "plain", "stripped"), term)
     if ask.poet is not None:
         corpus = replace(corpus, poet=corpus.poet.where(F.col("name") == ask.poet))
         rows = _named(rows, corpus).where("poet IS NOT NULL")

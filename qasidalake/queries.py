@@ -51,8 +51,8 @@ def by_source(spark, sf_dir):
     name = hashlib.md5(sf_dir.encode(), usedforsecurity=False).hexdigest()
 
     def build():
-        found = C.build_index(unindexed(spark, sf_dir))
-        found = C.replace(found, lines=written(found.lines, "layout-lines"), poem=written(found.poem, "layout-poem"))  # texts are dealt by ranges, which reads them twice
+        found = unindexed(spark, sf_dir)
+        found = C.replace(found, lines=written(found.lines.select("id", "poem_id", "line"), "layout-lines"), poem=written(found.poem, "layout-poem"))  # a deal by ranges reads its input twice
         return {"lines": S.source_rows(found), "titles": S.source_rows(found, titles=True)}
 
     return open_by_source(spark, f"{shared_folder(spark)}/verse-by-source-{spark.sparkContext.applicationId}-{name}", build, fingerprint(documents(spark, sf_dir)))

@@ -136,21 +136,23 @@ def corpus_of_documents(spark: SparkSession, documents: DataFrame) -> Corpus:
     """
     docs = documents.select("doc_id", "lang", "source", arabic(F.coalesce("text", F.lit(""))).alias("text"))
     least = docs.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.min("doc_id").alias("poem_id"))
-    docs = docs.withColumns({"h": F.xxhash64("text"), "m": F.md5("text")}).join(least, ["h", "m"]).drop("h", "m")
+    parts = F.split("text", "\n")
+    # titles and counts come out of the texts before the join, so that poems need no text behind it
+    own = {"h": F.xxhash64("text"), "m": F.md5("text"), "title": first_half(F.get(parts, F.lit(0))), "line_count": F.size(parts)}
+    docs = docs.withColumns(own).join(least, ["h", "m"]).drop("h", "m")
     poems = docs.where("doc_id = poem_id")
     poet = poems.select("source").where("source IS NOT NULL").distinct().select(F.dense_rank().over(_by("source")).cast("long").alias("id"), arabic("source").alias("name"), "source")
     kind = poems.select("lang").where("lang IS NOT NULL").distinct().select(F.dense_rank().over(_by("lang")).cast("long").alias("id"), F.col("lang").alias("name"))
     source_id = F.pmod(F.col("doc_id"), F.lit(4)).cast("int")
     url = F.concat(F.lit("p"), F.col("doc_id").cast("string"))
-    parts = F.split("text", "\n")
     poem = poems.join(poet, "source", "left").join(kind.select(F.col("id").alias("type_id"), F.col("name").alias("lang")), "lang", "left")
     poem = poem.select(
         F.col("doc_id").alias("id"),
         poet["id"].alias("poet_id"),
         url.alias("source_url"),
-        first_half(F.get(parts, F.lit(0))).alias("title"),
+        "title",
         F.lit(None).cast("string").alias("page"),
-        F.size(parts).alias("line_count"),
+        "line_count",
         F.lit(None).cast("long").alias("book_id"),
         "type_id",
         source_id.alias("source_id"),

@@ -13,8 +13,10 @@ import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import strip_all, strip_punct
 from .snapshots import Snapshots
 
 #: Of the columns; a layout of another version is written anew.
@@ -33,11 +35,18 @@ class BySource:
     sources: tuple[int, ...]
 
 
+def with_search_columns(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"plain": strip_all(F.col("original")), "stripped": strip_punct(F.col("original"))})
+
+
 def write_by_source(rows: DataFrame, path: str, tasks: int) -> list[int]:
-    """Writes rows that have (source_id, row_id); the sources found.  A source is cut into ranges of ids, whatever its share."""
-    dealt = rows.repartitionByRange(tasks, "source_id", "row_id").sortWithinPartitions("source_id", "row_id")
+    """Writes rows (source_id, row_id, original ...) with the columns that searches read; the sources found.
+
+    A source is cut into ranges of ids, whatever its share.  The columns are derived after the rows have been dealt out.
+    """
+    dealt = with_search_columns(rows.repartitionByRange(tasks, "source_id", "row_id").sortWithinPartitions("source_id", "row_id"))
     dealt.write.partitionBy("source_id").option("parquet.block.size", ROW_GROUP).parquet(path)
-    stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    stored = rows.sparkSession.read.schema(dealt.schema).parquet(path)
     return sorted(r["source_id"] for r in stored.select("source_id").distinct().collect())  # a row for each source
 
 
@@ -53,7 +62,7 @@ def open_by_source(spark: SparkSession, folder: str, build, input: str | None =
 
         def write(data: str) -> dict:
             known = {s for name in TABLES for s in write_by_source(rows[name], f"{data}/{name}.parquet", tasks)}
-            schemas = {name: rows[name].schema.json() for name in TABLES}
+            schemas = {name: with_search_columns(rows[name]).schema.json() for name in TABLES}
             return {"version": LAYOUT_VERSION, "input": input, "sources": sorted(known), "schemas": schemas}
 
         found = store.commit(number, write)
