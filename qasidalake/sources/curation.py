@@ -55,7 +55,7 @@ def carry_out(spark: SparkSession, folder: str, step: str, change: Callable[[Cor
         rows = _write(change(read_stored(spark, folder)), data)
         if wrong := check and check(before["rows"], rows):
             raise Refused(f"{step}: {wrong}")
-        return {"rows": rows, "steps": [*before["steps"], step]}
+        return {"rows": rows, "steps": [*before["steps"], step], "input": before.get("input")}
 
     if before is None:
         raise ValueError(f"no corpus is stored in {folder}")
@@ -63,8 +63,8 @@ def carry_out(spark: SparkSession, folder: str, step: str, change: Callable[[Cor
     return True
 
 
-def store_corpus(corpus: Corpus, folder: str, check: Callable[[dict, Corpus], dict[str, int]] | None = None) -> None:
-    """The first snapshot of a folder, or one that replaces all before.
+def store_corpus(corpus: Corpus, folder: str, check: Callable[[dict, Corpus], dict[str, int]] | None = None, input: str | None = None) -> None:
+    """The first snapshot of a folder, or one that replaces all before; ``input`` names the state of what it was made of.
 
     ``check`` gets the numbers of rows by table and the tables as written; the rules that it names with their rows stop the step.
     """
@@ -75,7 +75,7 @@ def store_corpus(corpus: Corpus, folder: str, check: Callable[[dict, Corpus], di
         rows = _write(corpus, data)
         if broken := check and check(rows, _read(spark, data)):
             raise Refused(f"rules broken, with their rows: {broken}", broken)
-        return {"rows": rows, "steps": []}
+        return {"rows": rows, "steps": [], "input": input}
 
     store.commit(store.latest()[0], write)
 
@@ -86,3 +86,11 @@ def _read(spark: SparkSession, folder: str) -> Corpus:
 
 def read_stored(spark: SparkSession, folder: str) -> Corpus:
     return _read(spark, f"{folder}/{Snapshots(spark, folder).latest()[1]['data']}")
+
+
+def open_stored(spark: SparkSession, folder: str, build: Callable[[], Corpus], input: str) -> Corpus:
+    """The stored corpus, if it was made of this input; otherwise that of ``build()``, stored first."""
+    _, found = Snapshots(spark, folder).latest()
+    if found is None or found.get("input") != input:
+        store_corpus(build(), folder, input=input)
+    return read_stored(spark, folder)

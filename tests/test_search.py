@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from qasidalake import queries as Q
 from qasidalake.functions import text as T
 from qasidalake.functions.terms import term_pattern, term_probe
 from qasidalake.operators import browse, poem_dedup, poet_names, results
@@ -484,3 +485,37 @@ def test_import_into_a_corpus(spark):
     slim, saved = without_alias_title(spark.createDataFrame([(1, "abc"), (2, None)], "id int, title string"))
     assert slim.columns == ["id"] and saved == 3
     assert column_drift(slim, ["id", "name"]) == ({"name"}, set())
+
+
+def test_scans_build_no_postings(spark, tmp_path):
+    """An index is stored without postings; a lookup adds counts, and blocks only where it pays."""
+    folder, lines = str(tmp_path / "index"), {1: [f"قال {'ابتثجح'[i % 6]}{'دذرزس'[i % 5]}ليل" for i in range(40)], 2: ["شصض"]}
+    stored = lambda: {p.name for p in (tmp_path / "index").glob("data-*/*") if p.name in ("counts", "blocks") or p.name.startswith(("counts.", "blocks."))}
+    for query, postings, held in (("قال", False, set()), ("قال", True, {"counts"}), ("شصض", True, {"counts", "blocks"})):
+        corpus = I.open_index(spark, folder, lambda: verses(spark, lines), "one")
+        assert S.search_lines(corpus, query, postings=postings).count() == (1 if query == "شصض" else 40)
+        assert stored() == held
+
+
+def test_grams_of_any_text(spark, monkeypatch):
+    """Counts and blocks hold the trigrams that ``trigrams`` gives, also of batches cut within their characters."""
+    texts = ["", "ab", "abcabc", "قال", "\U0001f600\U0001f600\U0001f600 x", "aaaa", None, "x" * 50, "abc"]
+    lines = spark.createDataFrame([(90 - i, t) for i, t in enumerate(texts)], "id long, plain string").coalesce(1)
+    wanted = sorted((r["gram"], r["line_id"]) for r in C.trigrams(lines).collect())
+    for chars in (1 << 21, 7):
+        monkeypatch.setattr(I, "CHARS", chars)
+        blocks = I.posting_blocks(lines, 2)
+        assert sorted((r["gram"], i) for r in blocks.collect() for i in r["ids"]) == wanted
+        assert {r["gram"]: r["lines"] for r in I.gram_counts(lines).collect()} == {g: sum(w[0] == g for w in wanted) for g, _ in wanted}
+
+
+def test_plain_corpus_follows_its_input(spark, tmp_path):
+    """The stored corpus without an index holds the tables derived at once, and follows its documents."""
+    docs = [(1, "a=b\nc", "en", "src1"), (2, "é x", "en", "src0"), (3, "ö x", "de", "src1"), (4, None, None, None), (2, "other", "en", "src0")]
+    for n in (4, 5):
+        spark.createDataFrame(docs[:n], "doc_id long, text string, lang string, source string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        found, wanted = Q.corpus(spark, str(tmp_path)), C.corpus_of_documents(spark, Q.documents(spark, str(tmp_path)))
+        for name in C.SCHEMAS:
+            own = getattr(wanted, name)
+            assert sorted(map(str, getattr(found, name).select(own.columns).collect())) == sorted(map(str, own.collect()))
+    assert found.lines.where("poem_id = 2").count() == 2 and found.postings is None
