@@ -14,7 +14,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKS, clean_line, mark_count, without_marks
+from ..functions.arrow import clean_line, without_marks
+from ..functions.text import MARKS
 from ..sources.corpus import Corpus
 from ..sources.snapshots import written
 
@@ -39,27 +40,32 @@ def holds_all_marks(a: Column, b: Column) -> Column:
 
 
 def poem_texts(corpus: Corpus) -> DataFrame:
-    """(id, clean, signature, own, marks, priority) of each poem that has lines."""
-    line = F.struct("line_number", F.col("id").alias("line_id"), clean_line(F.coalesce("line", F.lit(""))).alias("clean"))
-    poems = corpus.lines.groupBy(F.col("poem_id").alias("id")).agg(F.sort_array(F.collect_list(line)).alias("all"))
-    poems = poems.withColumn("clean", F.transform("all", lambda x: x["clean"])).drop("all")
-    marks = F.aggregate("clean", F.lit(0), lambda n, x: n + mark_count(x))
-    digest = lambda lines: F.struct(F.md5(F.array_join(lines, "\u0001")).alias("m"), F.xxhash64(F.array_join(lines, "\u0001")).alias("h"))
-    poems = poems.withColumns({"signature": digest(F.transform("clean", without_marks)), "own": digest(F.col("clean")), "marks": marks})
+    """(id, signature, own, marks, priority) of each poem that has lines."""
+    poems = cleaned_lines(corpus.lines).withColumn("text", F.array_join("clean", "\u0001")).drop("clean").withColumn("bare", without_marks(F.col("text")))
+    digest = lambda text: F.struct(F.md5(text).alias("m"), F.xxhash64(text).alias("h"))
+    poems = poems.select("id", digest("bare").alias("signature"), digest("text").alias("own"), (F.length("text") - F.length("bare")).alias("marks"))
     priority = corpus.poem.select("id", F.coalesce("source_id", F.lit(NO_SOURCE)).alias("priority"))
     return poems.join(priority, "id")
 
 
+def cleaned_lines(lines: DataFrame) -> DataFrame:
+    """(id, clean): each poem's cleaned lines, in order."""
+    lines = lines.select("poem_id", F.struct("line_number", F.col("id").alias("line_id"), clean_line(F.coalesce("line", F.lit(""))).alias("clean")).alias("line"))
+    return lines.groupBy(F.col("poem_id").alias("id")).agg(F.sort_array(F.collect_list("line")).alias("all")).select("id", F.transform("all", lambda x: x["clean"]).alias("clean"))
+
+
 #: Holders of one token that a task compares with a reading at a time.
 BLOCK = 1024
 
 
-def readings_of(poems: DataFrame, firsts: DataFrame) -> DataFrame:
+def readings_of(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """(signature, own, turn, tokens, size, sketch) of each vocalization in a group of several; a token is (line, place of the letter, mark)."""
     several = firsts.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature")
     mixed = firsts.join(several, "signature", "left_semi").select("signature", "own", "turn", F.col("turn.i").alias("id"))
     letters = lambda line, i: F.flatten(F.transform(letters_with_marks(line), lambda x, j: F.transform(x["marks"], lambda m: F.struct(i.alias("line"), j.alias("place"), m.alias("mark")))))
-    rows = mixed.join(poems.select("id", "clean"), "id").select("signature", "own", "turn", F.array_distinct(F.flatten(F.transform("clean", letters))).alias("tokens"))
+    # only the lines of poems in such groups are read into texts again
+    poems = cleaned_lines(lines.join(mixed.select(F.col("id").alias("poem_id")), "poem_id", "left_semi"))
+    rows = mixed.join(poems, "id").select("signature", "own", "turn", F.array_distinct(F.flatten(F.transform("clean", letters))).alias("tokens"))
 
     def word(k: int) -> Column:
         own = F.filter(F.transform("tokens", lambda t: F.xxhash64(t)), lambda h: F.pmod(h, F.lit(4)) == k)
@@ -111,11 +117,11 @@ def duplicates(corpus: Corpus) -> DataFrame:
     """
     poems = poem_texts(corpus)
     turn = F.struct((-F.col("marks")).alias("m"), F.col("priority").alias("p"), F.col("id").alias("i"))
-    keys = poems.select("id", "signature", "own", turn.alias("turn"))
+    keys = written(poems.select("id", "signature", "own", turn.alias("turn")), "poem-keys")  # read by several joins
     # poems of equal lines differ in nothing: each of them has the first one as its survivor
     firsts = keys.groupBy("signature", "own").agg(F.min("turn").alias("turn"), F.count(F.lit(1)).alias("copies"))
     # the first in turn of all that hold a poem's marks is never one that goes: what held its marks would come before it
-    targets = supersets(written(readings_of(poems, firsts), "readings"))
+    targets = supersets(written(readings_of(corpus.lines, firsts), "readings"))
     targets = firsts.join(targets, ["signature", "own"], "left").where("copies > 1 OR to IS NOT NULL")
     targets = targets.select("signature", "own", F.coalesce("to.i", "turn.i").alias("survivor"))
     return keys.join(targets, ["signature", "own"]).where(F.col("id") != F.col("survivor")).select("id", "survivor")

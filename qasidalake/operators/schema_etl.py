@@ -7,9 +7,11 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import title_of, verses
+from ..functions.arrow import verses
+from ..functions.text import title_of
 from ..sources.batches import BATCH, batches_written, in_batches
 from ..sources.corpus import SOURCES, Corpus, line_id
+from ..sources.snapshots import written
 
 
 def names_of(rows: DataFrame, column: str) -> DataFrame:
@@ -159,6 +161,7 @@ def with_tables(corpus: Corpus, new: dict[str, DataFrame]) -> Corpus:
     """The corpus with tables that ``imported`` made."""
     known = corpus.poet.select(F.col("name").alias("poet"))
     unknown = new["poem"].select("poet").where("poet IS NOT NULL").distinct().join(known, "poet", "left_anti")
+    unknown = written(unknown, "poets-unknown")  # numbered by two jobs, which else both read the texts
     highest = corpus.poet.agg(F.coalesce(F.max("id"), F.lit(0)).alias("highest"))
     added = names_of(unknown, "poet").crossJoin(F.broadcast(highest))  # one row
     poet = corpus.poet.unionByName(added.select((F.col("highest") + F.col("id")).alias("id"), "name"))
