@@ -11,34 +11,16 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import clean_line, without_marks
-from ..functions.text import MARKS
+from ..functions.arrow import clean_line, mark_sets, without_marks
 from ..sources.corpus import Corpus
 from ..sources.snapshots import written
 
 NO_SOURCE = 99
 
 
-def letters_with_marks(clean: Column) -> Column:
-    """array<struct<letter, marks array>> of a line; marks before the first letter are left out."""
-    letters = F.regexp_extract_all(clean, F.lit(f"([^{MARKS}])([{MARKS}]*)"), 1)
-    marks = F.regexp_extract_all(clean, F.lit(f"([^{MARKS}])([{MARKS}]*)"), 2)
-    return F.zip_with(letters, marks, lambda a, m: F.struct(a.alias("letter"), F.array_remove(F.split(m, ""), "").alias("marks")))
-
-
-def holds_all_marks(a: Column, b: Column) -> Column:
-    """Whether a poem's cleaned lines ``a`` have the letters of ``b`` and at least its marks."""
-
-    def line(x: Column, y: Column) -> Column:
-        both = F.zip_with(letters_with_marks(x), letters_with_marks(y), lambda p, q: F.coalesce((p["letter"] == q["letter"]) & (F.size(F.array_except(q["marks"], p["marks"])) == 0), F.lit(False)))
-        return F.forall(both, lambda ok: ok)
-
-    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, line), lambda ok: ok)
-
-
 def poem_texts(corpus: Corpus) -> DataFrame:
     """(id, signature, own, marks, priority) of each poem that has lines."""
     poems = cleaned_lines(corpus.lines).withColumn("text", F.array_join("clean", "\u0001")).drop("clean").withColumn("bare", without_marks(F.col("text")))
@@ -59,19 +41,13 @@ BLOCK = 1024
 
 
 def readings_of(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(signature, own, turn, tokens, size, sketch) of each vocalization in a group of several; a token is (line, place of the letter, mark)."""
+    """(signature, own, turn, tokens, size, sketch) of each vocalization in a group of several; a token stands for the place of a letter and a mark."""
     several = firsts.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature")
     mixed = firsts.join(several, "signature", "left_semi").select("signature", "own", "turn", F.col("turn.i").alias("id"))
-    letters = lambda line, i: F.flatten(F.transform(letters_with_marks(line), lambda x, j: F.transform(x["marks"], lambda m: F.struct(i.alias("line"), j.alias("place"), m.alias("mark")))))
     # only the lines of poems in such groups are read into texts again
     poems = cleaned_lines(lines.join(mixed.select(F.col("id").alias("poem_id")), "poem_id", "left_semi"))
-    rows = mixed.join(poems, "id").select("signature", "own", "turn", F.array_distinct(F.flatten(F.transform("clean", letters))).alias("tokens"))
-
-    def word(k: int) -> Column:
-        own = F.filter(F.transform("tokens", lambda t: F.xxhash64(t)), lambda h: F.pmod(h, F.lit(4)) == k)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 2), F.lit(64)).cast("int"))))
-
-    return rows.withColumns({"size": F.size("tokens"), "sketch": F.array(*(word(k) for k in range(4)))})
+    poems = poems.select("id", mark_sets(F.array_join("clean", "\u0001")).alias("marks"))
+    return mixed.join(poems, "id").select("signature", "own", "turn", "marks.tokens", F.size("marks.tokens").alias("size"), "marks.sketch")
 
 
 def supersets(readings: DataFrame) -> DataFrame:

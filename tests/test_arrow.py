@@ -51,3 +51,17 @@ def test_control_characters_are_no_cuts(spark):
     """Points were the places of a control character, which a text may hold itself."""
     df = spark.createDataFrame([("قل\u0001ب",)], "t string").select(A.stretch_points(F.col("t")).alias("p"), A.stretched(F.col("t"), F.lit(2)).alias("s")).head()
     assert df["p"] == [1] and df["s"] == "قـ" + "ـل\u0001ب"
+
+
+def test_mark_sets(texts):
+    """Against a loop over the characters; a text without U+0001 has one line, and sketches of equal sets are equal."""
+    cut = F.translate("t", " ", "\u0001")
+    for r in texts.select(cut.alias("t"), A.mark_sets(cut).alias("m")).collect():
+        wanted, place, before = set(), -1, None
+        for c in r["t"] or "":
+            if c not in T.MARKS_LISTED:
+                place, before = place + 1, c
+            elif before not in (None, "\u0001"):
+                wanted.add((place, c))
+        got = [(x >> 6, T.MARKS_LISTED[x & 63]) for x in r["m"]["tokens"]]
+        assert sorted(got) == sorted(wanted) and len(r["m"]["sketch"]) == 4 and any(r["m"]["sketch"]) == bool(wanted)
