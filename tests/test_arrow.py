@@ -65,3 +65,11 @@ def test_mark_sets(texts):
                 wanted.add((place, c))
         got = [(x >> 6, T.MARKS_LISTED[x & 63]) for x in r["m"]["tokens"]]
         assert sorted(got) == sorted(wanted) and len(r["m"]["sketch"]) == 4 and any(r["m"]["sketch"]) == bool(wanted)
+
+
+def test_search_columns(texts):
+    """Both columns of one pass, among them marks that stand alone between spaces and at the ends."""
+    more = texts.sparkSession.createDataFrame([(-1, " َ ا َ َ  ب َ"), (-2, "َ"), (-3, "ا . ـ ."), (-4, ". . ا")], "id long, t string")
+    own = texts.unionByName(more).withColumn("got", A.search_columns(F.col("t")))
+    lost = own.where("t IS NOT NULL").select("t", "got", T.strip_all(F.col("t")).alias("plain"), T.strip_punct(F.col("t")).alias("stripped"))
+    assert lost.where("NOT (got.plain <=> plain AND got.stripped <=> stripped)").take(3) == []

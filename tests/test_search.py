@@ -519,3 +519,42 @@ def test_plain_corpus_follows_its_input(spark, tmp_path):
             own = getattr(wanted, name)
             assert sorted(map(str, getattr(found, name).select(own.columns).collect())) == sorted(map(str, own.collect()))
     assert found.lines.where("poem_id = 2").count() == 2 and found.postings is None
+
+
+def test_only_lines_up_to_the_cap_are_sent(spark):
+    """Lines behind the last candidate of all sources take no part, and results are those of all lines."""
+    poem = [(i, 1 + i % 2, f"p{i}", "", None, 30, None, None, i % 3) for i in range(40)]
+    lines = [(i * 100 + k, i, "قال زيد" if k % 2 else "كان", k, "") for i in range(40) for k in range(30)] + [(None, 5, "قال", 0, "")]
+    none, poet = [spark.createDataFrame([], C.SCHEMAS[n]) for n in ("book", "type", "poem_alias")], spark.createDataFrame([(1, "زيد"), (2, "عمرو")], C.SCHEMAS["poet"])
+    corpus = C.build_index(C.Corpus(spark.createDataFrame(poem, C.SCHEMAS["poem"]), spark.createDataFrame(lines, C.SCHEMAS["lines"]), poet, none[0], none[1], C.source_table(spark), none[2]))
+    held = S.poem_sources(corpus).withColumn("source_rank", F.col("source_id"))
+    assert S.up_to_cap(corpus, S.simple_term("قال"), held, 20).count() <= 6 * 30 + 1
+    assert S.up_to_cap(corpus, S.simple_term("خالد"), held, 20).count() == 1  # the one without an id
+    for ask, poems in ((S.Ask(candidate_cap=20), range(40)), (S.Ask(candidate_cap=20, poet="عمرو", sources=(2, 0)), range(1, 40, 2)), (S.Ask(candidate_cap=0), ())):
+        wanted = []
+        for s in ask.sources or range(3):
+            own = sorted((x[0] is not None, x[0] or 0) for x in lines if x[1] in poems and x[1] % 3 == s and "قال" in x[2])
+            wanted += [(s, i if known else None) for known, i in own[: ask.candidate_cap]]
+        found = S.search(corpus, "قال", ask).select("source_id", "line_id").collect()
+        assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, wanted)), ask
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    """A stored corpus holds what its lines are made of; documents were read again for them.  Copies, also of one id, stay away."""
+    at = str(tmp_path / "docs")
+    docs = [(7, "a=b\nc", "en", "s"), (3, "é x", "en", "s"), (9, "ö x", "de", "s"), (4, None, None, None), (None, "q", "en", "s"), (7, "é x", "en", "s"), (7, "d", "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(at)
+    wanted = sorted(map(tuple, C.corpus_of_documents(spark, spark.read.parquet(at)).lines.collect()))
+    found = C.corpus_of_documents(spark, spark.read.parquet(at), stored=True)
+    for p in (tmp_path / "docs").glob("*.parquet"):
+        p.unlink()
+    assert sorted(map(tuple, found.lines.collect())) == wanted and len(wanted) == 5
+
+
+def test_known_line_counts_need_no_lines(spark, tmp_path):
+    corpus, at = tiny(spark), str(tmp_path / "lines")
+    corpus.lines.write.parquet(at)
+    known = C.replace(corpus, lines=spark.read.parquet(at), poem=corpus.poem.withColumn("line_count", F.lit(7)))
+    for p in (tmp_path / "lines").glob("*.parquet"):
+        p.unlink()
+    assert {r["line_count"] for r in C.with_titles(known).poem.collect()} == {7}
