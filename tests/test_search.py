@@ -558,3 +558,17 @@ def test_known_line_counts_need_no_lines(spark, tmp_path):
     for p in (tmp_path / "lines").glob("*.parquet"):
         p.unlink()
     assert {r["line_count"] for r in C.with_titles(known).poem.collect()} == {7}
+
+
+def test_uncapped_matches_send_no_texts(spark):
+    """Without caps lines are matched before they meet their poems: what is asked for, without texts, needs none behind the join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = S.search(C.build_index(tiny(spark)), "قال", S.Ask(candidate_cap=None, result_cap=None)).select("line_id", "tightness")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    top = plan[: plan.index("pythonUDF")] if "pythonUDF" in plan else plan
+    assert "Join" in top and "stripped" not in top
+    key = results.with_group_key(spark.createDataFrame([("قَال",), ("قـال",), ("قول",)], "t string"), "t").select("group_key").distinct()
+    assert key.count() == 2
