@@ -1,4 +1,4 @@
-"""Curation of a stored corpus: each step writes all tables anew beside the old ones and counts as one change.
+"""Curation of a stored corpus: each step writes the tables that it changes anew beside the old ones and counts as one change.
 
 A step has a name and is carried out once; asked for again it changes nothing.  Its tables are checked
 by metrics that Spark gathers while it writes them.  A step whose checks fail, that breaks off, or that another run has
@@ -27,10 +27,12 @@ class Refused(RuntimeError):
         self.broken = broken or {}
 
 
-def _write(corpus: Corpus, folder: str) -> dict[str, int]:
-    """Writes all tables; the rows of each.  Raises ``Refused`` where a needed column is null."""
+def _write(corpus: Corpus, folder: str, but: tuple[str, ...] = ()) -> dict[str, int]:
+    """Writes all tables ``but`` some; the rows of each.  Raises ``Refused`` where a needed column is null."""
     rows = {}
     for name, table in corpus.tables().items():
+        if name in but:
+            continue
         metrics = Observation(name)
         gaps = [F.count_if(F.col(c).isNull()).alias(c) for c in NEEDED.get(name, ())]
         table.observe(metrics, F.count(F.lit(1)).alias("all_rows"), *gaps).write.parquet(f"{folder}/{name}.parquet")
@@ -52,10 +54,13 @@ def carry_out(spark: SparkSession, folder: str, step: str, change: Callable[[Cor
         return False
 
     def write(data: str) -> dict:
-        rows = _write(change(read_stored(spark, folder)), data)
+        old = read_stored(spark, folder)
+        new = change(old)
+        same = tuple(name for name in SCHEMAS if getattr(new, name) is getattr(old, name))
+        rows = {name: before["rows"][name] for name in same} | _write(new, data, but=same)
         if wrong := check and check(before["rows"], rows):
             raise Refused(f"{step}: {wrong}")
-        return {"rows": rows, "steps": [*before["steps"], step], "input": before.get("input")}
+        return {"rows": rows, "steps": [*before["steps"], step], "input": before.get("input"), "at": {name: _at(before, name) for name in same}}
 
     if before is None:
         raise ValueError(f"no corpus is stored in {folder}")
@@ -80,17 +85,27 @@ def store_corpus(corpus: Corpus, folder: str, check: Callable[[dict, Corpus], di
     store.commit(store.latest()[0], write)
 
 
+def _at(found: dict, table: str) -> str:
+    """The folder that holds a table of a snapshot: that of the last step which changed it."""
+    return found.get("at", {}).get(table, found["data"])
+
+
 def _read(spark: SparkSession, folder: str) -> Corpus:
     return Corpus(**{name: spark.read.parquet(f"{folder}/{name}.parquet") for name in SCHEMAS})
 
 
 def read_stored(spark: SparkSession, folder: str) -> Corpus:
-    return _read(spark, f"{folder}/{Snapshots(spark, folder).latest()[1]['data']}")
+    _, found = Snapshots(spark, folder).latest()
+    return Corpus(**{name: spark.read.parquet(f"{folder}/{_at(found, name)}/{name}.parquet") for name in SCHEMAS})
+
+
+def is_stored(spark: SparkSession, folder: str, input: str) -> bool:
+    _, found = Snapshots(spark, folder).latest()
+    return found is not None and found.get("input") == input
 
 
 def open_stored(spark: SparkSession, folder: str, build: Callable[[], Corpus], input: str) -> Corpus:
     """The stored corpus, if it was made of this input; otherwise that of ``build()``, stored first."""
-    _, found = Snapshots(spark, folder).latest()
-    if found is None or found.get("input") != input:
+    if not is_stored(spark, folder, input):
         store_corpus(build(), folder, input=input)
     return read_stored(spark, folder)

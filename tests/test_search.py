@@ -572,3 +572,17 @@ def test_uncapped_matches_send_no_texts(spark):
     assert "Join" in top and "stripped" not in top
     key = results.with_group_key(spark.createDataFrame([("قَال",), ("قـال",), ("قول",)], "t string"), "t").select("group_key").distinct()
     assert key.count() == 2
+
+
+def test_steps_leave_unchanged_tables_in_place(spark, tmp_path):
+    """A step writes only tables that it changes; the next one reads the others where they are."""
+    from qasidalake.sources import curation
+
+    folder = str(tmp_path / "store")
+    curation.store_corpus(tiny(spark), folder)
+    first = curation.read_stored(spark, folder)
+    for step in ("one", "two"):
+        assert curation.carry_out(spark, folder, step, lambda c: C.replace(c, poet=c.poet.withColumn("name", F.concat("name", F.lit("+")))))
+    found = curation.read_stored(spark, folder)
+    assert found.lines.inputFiles() == first.lines.inputFiles() and found.poet.inputFiles() != first.poet.inputFiles()
+    assert {r["name"] for r in found.poet.collect()} == {r["name"] + "++" for r in first.poet.collect()}
