@@ -586,3 +586,22 @@ def test_steps_leave_unchanged_tables_in_place(spark, tmp_path):
     found = curation.read_stored(spark, folder)
     assert found.lines.inputFiles() == first.lines.inputFiles() and found.poet.inputFiles() != first.poet.inputFiles()
     assert {r["name"] for r in found.poet.collect()} == {r["name"] + "++" for r in first.poet.collect()}
+
+
+def test_queries_without_lines_store_none(spark, tmp_path):
+    """A corpus asked for without lines is stored without them, its other tables the same; a later one has them."""
+    docs = [(7, "a=b\nc", "en", "s"), (3, "é x", "en", "t"), (9, "ö x", "de", "s"), (4, None, None, None), (7, "é x", "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    bare, whole = Q.corpus(spark, str(tmp_path), lines=False), Q.corpus(spark, str(tmp_path))
+    assert bare.lines.count() == 0 and whole.lines.count() == 4
+    for name in C.SCHEMAS:
+        if name != "lines":
+            assert sorted(map(str, getattr(bare, name).collect())) == sorted(map(str, getattr(whole, name).collect())), name
+
+
+def test_lines_without_texts_kept(spark, tmp_path):
+    """Copies stay away from lines made of texts that are not kept, also where rows of one id stay and go."""
+    docs = [(7, "a=b\nc", "en", "s"), (3, "é x", "en", "s"), (9, "ö x", "de", "s"), (4, None, None, None), (None, "q", "en", "s"), (7, "é x", "en", "s"), (7, "d", "en", "s"), (11, "d", "en", "s")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    wanted = sorted(map(tuple, C.corpus_of_documents(spark, table).lines.collect()))
+    assert sorted(map(tuple, C.corpus_of_documents(spark, table, stored=True, texts_kept=False).lines.collect())) == wanted and len(wanted) == 5
