@@ -605,3 +605,15 @@ def test_lines_without_texts_kept(spark, tmp_path):
     table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
     wanted = sorted(map(tuple, C.corpus_of_documents(spark, table).lines.collect()))
     assert sorted(map(tuple, C.corpus_of_documents(spark, table, stored=True, texts_kept=False).lines.collect())) == wanted and len(wanted) == 5
+
+
+def test_digests_wait_for_a_refresh(spark, tmp_path):
+    """A whole index is stored without digests of its poems; refreshes take them and follow the input."""
+    folder, corpus = str(tmp_path / "index"), tiny(spark)
+    I.refresh(spark, folder, corpus)
+    assert not list((tmp_path / "index").glob("*/states.parquet"))
+    for mark in ("١", "٢"):
+        corpus = C.replace(corpus, lines=corpus.lines.where(F.col("poem_id") > corpus.lines.agg(F.min("poem_id")).head()[0]).withColumn("line", F.concat("line", F.lit(mark))))
+        I.refresh(spark, folder, corpus)
+        found = I.open_index(spark, folder, None).lines
+        assert sorted(map(str, found.select(corpus.lines.columns).collect())) == sorted(map(str, corpus.lines.collect()))
