@@ -551,6 +551,32 @@ def test_texts_are_read_once(spark, tmp_path):
     assert sorted(map(tuple, found.lines.collect())) == wanted and len(wanted) == 5
 
 
+def test_layout_sends_texts_once(spark, tmp_path, monkeypatch):
+    """Texts meet their poems whole and are cut where they are written; rows are those of lines that meet their poems."""
+    at, row = str(tmp_path / "docs"), "doc_id long, text string, lang string, source string"
+    docs = [(7, "a=b\nc\n\nd", "en", "s"), (3, "é x", "en", "s"), (9, "ö x", "de", "s"), (4, None, None, None), (None, "q", "en", "s"), (7, "é x", "en", "s"), (7, "d", "en", None), (6, "é x", "en", "s"), (10, "d", "de", "r")]
+    spark.createDataFrame(docs, row).write.parquet(f"{at}/documents.parquet")
+    monkeypatch.setattr(Q, "open_by_source", lambda spark, folder, build, *more: build())
+    found = Q.by_source(spark, at)["lines"]
+    wanted = S.source_rows(C.corpus_of_documents(spark, spark.createDataFrame(docs, row)))
+    shown = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert found.columns == wanted.columns and shown(found) == shown(wanted) and len(shown(found)) > 8
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Generate")[0] and "hashpartitioning(text" not in plan
+
+
+def test_layout_files_follow_ids(spark, tmp_path):
+    """A file holds one source with its ids ascending, and of the search columns the one that the scan filters by."""
+    corpus = C.corpus_of_documents(spark, spark.createDataFrame([(i, "a b\n" * (i % 5) + str(i), "en", "s") for i in range(200)], "doc_id long, text string, lang string, source string"), stored=True, cut=False)
+    assert L.write_by_source(S.source_rows(corpus), str(tmp_path / "by")) == [0, 1, 2, 3]
+    files = list(tmp_path.glob("by/source_id=*/*.parquet"))
+    for path in files:
+        rows = spark.read.parquet(str(path))
+        ids = [r["row_id"] for r in rows.collect()]
+        assert ids == sorted(ids) and "plain" in rows.columns and "stripped" not in rows.columns
+    assert sum(spark.read.parquet(str(p)).count() for p in files) == sum(i % 5 + 1 for i in range(200))
+
+
 def test_known_line_counts_need_no_lines(spark, tmp_path):
     corpus, at = tiny(spark), str(tmp_path / "lines")
     corpus.lines.write.parquet(at)
