@@ -565,6 +565,15 @@ def test_layout_sends_texts_once(spark, tmp_path, monkeypatch):
     assert "Exchange" not in plan.split("Generate")[0] and "hashpartitioning(text" not in plan
 
 
+def test_titles_are_stored_without_lines(spark, tmp_path, monkeypatch):
+    """A search of titles stores the layout of titles only."""
+    at, row = str(tmp_path / "docs"), "doc_id long, text string, lang string, source string"
+    spark.createDataFrame([(1, "of the\nthe", "en", "s"), (2, "the", "en", "s"), (3, "x", "en", None)], row).write.parquet(f"{at}/documents.parquet")
+    monkeypatch.setattr(Q, "open_by_source", lambda spark, folder, *more: L.open_by_source(spark, str(tmp_path / "by"), *more))
+    assert [r["poem_id"] for r in Q.QUERIES["search_staged_titles"](spark, at).orderBy("rank").collect()] == [1, 2]
+    assert {p.name for p in tmp_path.glob("by/data-*/*.parquet")} == {"titles.parquet"}
+
+
 def test_layout_files_follow_ids(spark, tmp_path):
     """A file holds one source with its ids ascending, and of the search columns the one that the scan filters by."""
     corpus = C.corpus_of_documents(spark, spark.createDataFrame([(i, "a b\n" * (i % 5) + str(i), "en", "s") for i in range(200)], "doc_id long, text string, lang string, source string"), stored=True, cut=False)
