@@ -377,6 +377,18 @@ def test_staged_search(spark, tmp_path):
     assert L.open_by_source(spark, folder, build, "b").lines.count() == 78 and built == [1, 1]
 
 
+def test_stages_send_candidates_only(spark, tmp_path, monkeypatch):
+    """Of each source no rows beyond the last candidate reach the cap, however many files hold them; those of null ids count first."""
+    corpus = C.build_index(verses(spark, {i: ["قال زيد", "قال", "ذهب"] for i in range(1, 60)}))
+    rows = S.source_rows(corpus)
+    stored = L.open_by_source(spark, str(tmp_path / "by"), lambda: {"lines": rows.withColumn("row_id", F.when(F.col("row_id") != 600, F.col("row_id")))}, names=("lines",))
+    sent, capped = [], S.candidates_capped
+    monkeypatch.setattr(S, "candidates_capped", lambda rows, cap: (sent.append(rows.count()), capped(rows, cap))[1])
+    found = S.search_staged(stored, "قال", S.Ask(candidate_cap=4)).collect()
+    assert sent == [4] * 6 and len(found) == 24
+    assert {(r["poem_id"], r["line_id"]) for r in found if r["source_id"] == 0} == {(6, None), (6, 601), (12, 1200), (12, 1201)}
+
+
 def test_layout_of_an_empty_corpus(spark, tmp_path):
     corpus = C.build_index(verses(spark, {}))
     stored = L.open_by_source(spark, str(tmp_path / "by"), lambda: {"lines": S.source_rows(corpus), "titles": S.source_rows(corpus, titles=True)})
